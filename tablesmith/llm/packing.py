@@ -9,6 +9,7 @@ and the patterns (bounded by the capacity, not by the number of documents) pass
 from __future__ import annotations
 
 import bisect
+import functools
 import os
 import zlib
 from array import array
@@ -42,24 +43,53 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.cache: dict[bytes, bytes] = {}
+        special = [(i, t.content) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not t.normalized]
+        self.mark, self.between = special[0] if special else (-1, "")
+
+    def _encode(self, chunks: list[bytes]) -> None:
+        """Put chunks in the cache, many to a call: a special token, of which no ids are part, stands between them."""
+        texts = [c.decode("utf-8", "replace") for c in chunks]
+        if not self.between or any(self.between in t for t in texts):
+            found = [array("I", e.ids).tobytes() for e in self.batch(texts, add_special_tokens=False)]
+        else:
+            ids = np.array(self.batch([self.between.join(texts)], add_special_tokens=False)[0].ids, "<u4")
+            raw, cut = ids.tobytes(), np.flatnonzero(ids == self.mark).tolist()
+            found = [raw[4 * a : 4 * b] for a, b in zip([0, *(c + 1 for c in cut)], [*cut, len(ids)], strict=True)]
+        self.cache.update(zip(chunks, found, strict=True))
+
+    def _add(self, missing: set[bytes]) -> None:
+        """Put chunks in the cache. A full stop or comma after an ASCII letter or digit is a pre-token of its own, so
+        only what stands before it is encoded."""
+        cut = [c for c in missing if c[-1] in b".," and len(c) > 1 and c[-2] < 128 and c[-2:-1].isalnum()]
+        rest = missing.difference(cut).union([c[:-1] for c in cut], (b".", b",")).difference(self.cache)
+        odd = [c for c in rest if b"<|" in c]
+        plain = list(rest.difference(odd))
+        for part in [odd, *(plain[i : i + 4096] for i in range(0, len(plain), 4096))]:
+            if part:
+                self._encode(part)
+        cache = self.cache
+        cache.update((c, cache[c[:-1]] + cache[c[-1:]]) for c in cut)
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         # the ids don't depend on the case of A to Z, but the strings of special tokens do
         chunks = [(r if b"<|" in r else r.lower()).split() for r in raw]
-        missing = list(set().union(*chunks).difference(self.cache))
+        missing = set().union(*chunks).difference(self.cache)
         if len(self.cache) + len(missing) > CACHE_ENTRIES:
             self.cache.clear()
-            missing = list(set().union(*chunks))
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            found = self.batch([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)
-            self.cache.update((c, array("I", e.ids).tobytes()) for c, e in zip(part, found, strict=True))
+            missing = set().union(*chunks)
+        self._add(missing)
         get = self.cache.__getitem__
         for c in chunks:
             yield b"".join(map(get, c))
 
 
+@functools.cache
+def _encoder(path: str) -> Encoder:
+    """One encoder a worker process: its cache serves all tasks that the process runs."""
+    return Encoder(path)
+
+
 def _slices(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:
     """Ids and texts of a batch, about `most` characters at a time, so that memory doesn't follow the longest texts."""
     ids, texts, size = [], [], 0
@@ -80,7 +110,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     end = array("I", [end_id]).tobytes()
 
     def run(batches):
-        encode = Encoder(tokenizer_path)
+        encode = _encoder(tokenizer_path)
         for batch in batches:
             for ids, texts in _slices(batch):
                 out = []

@@ -2,6 +2,7 @@
 
 import base64
 import binascii
+import functools
 import hashlib
 import itertools
 import random
@@ -598,3 +599,17 @@ def test_pipeline_keeps_what_it_should(spark, sf):
     assert {r.doc_id for r in third.collect()} == want
     check_packing(corpus_pipeline.run(spark, sf).collect(), [(i, texts[i]) for i in want])
     assert stages["language_id"](spark, odd(spark, []), sf).count() == 0
+
+
+@functools.cache
+def encoder():
+    return packing.Encoder(TOKENIZER)
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.text(alphabet="aB1.,'<|>é́ \u0085 \n\x0bİſ中…-", max_size=40))
+def test_encoder_equals_whole_text(text):
+    own = encoder()
+    tok = own.tokenizer
+    for t in (text, text + " <|startoftext|> x. <|ENDOFTEXT|>, a<|endoftext|>."):
+        assert np.frombuffer(next(iter(own([t]))), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
