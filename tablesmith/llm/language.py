@@ -112,7 +112,7 @@ class Profiles:
     def judge(self, text: str | None) -> tuple[str, float]:
         """(language, score): the nearest profile, ties to the first name; score: 1 less the distance over the largest."""
         own = ranked(*grams(text), self.size)
-        if not len(own) or not self.langs:
+        if not any(map(str.isalpha, text or "")) or not self.langs:
             return UNKNOWN, 0.0
         spot = np.minimum(np.searchsorted(self.codes, own), len(self.codes) - 1)
         known = self.codes[spot] == own

@@ -312,6 +312,11 @@ def test_language_held_out_accuracy(spark, sf):
     assert sum(r.lang_pred == r.lang for r in held) / len(held) > 0.95 and all(0 <= r.score <= 1 for r in found)
 
 
+def test_language_without_letters():
+    judge = language.Profiles({"en": [1, 2]}, 4).judge
+    assert [judge(t)[0] for t in (None, "", "12 _ ²½", "é", "x²")] == ["und", "und", "und", "en", "en"]
+
+
 def test_language_odd_rows(spark):
     profiles = {"en": [ord("a"), ord("x")]}
     found = rows(language.identify(odd(spark), profiles).select("doc_id", "text", "lang_pred", "score"))
