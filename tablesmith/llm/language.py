@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 PROFILE = 300
 LONGEST = 3
 FIT_DOCUMENTS = 4_000
+#: Documents ranked for a language's sample, as a multiple of the sample.
+SPARE = 1.25
 UNKNOWN = "und"
 #: A document's n-grams are taken from so many characters at a time and summed.
 CHARACTERS = 1_000_000
@@ -65,8 +67,12 @@ def fit(docs: DataFrame, size: int = PROFILE, per_language: int = FIT_DOCUMENTS)
     per_language bounds what is fitted, whatever the corpus holds. Rows with a null lang or text don't count.
     """
     picked = docs.where("lang is not null and text is not null and lang <> 'und'")
+    # at most SPARE times the sample reaches the task that ranks a language: hashes are even, so those under this share
+    many = picked.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    share = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
+    near = picked.select("doc_id", "lang").join(F.broadcast(many), "lang").where(share <= F.lit(SPARE * per_language) / F.col("_n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = picked.select("doc_id", "lang").withColumn("_r", rank).where(F.col("_r") <= per_language).select("doc_id", "lang").distinct()
+    ids = near.withColumn("_r", rank).where(F.col("_r") <= per_language).select("doc_id", "lang").distinct()
     texts = picked.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", "text")
 
     def run(batches):

@@ -317,6 +317,14 @@ def test_language_without_letters():
     assert [judge(t)[0] for t in (None, "", "12 _ ²½", "é", "x²")] == ["und", "und", "und", "en", "en"]
 
 
+def test_language_sample_is_the_smallest_hashes(spark, sf, monkeypatch):
+    docs = documents(spark, sf).select("doc_id", "text", "lang")
+    monkeypatch.setattr(language, "SPARE", 1e9)
+    every = language.fit(docs, per_language=20)
+    monkeypatch.setattr(language, "SPARE", 4)
+    assert language.fit(docs, per_language=20) == every
+
+
 def test_language_odd_rows(spark):
     profiles = {"en": [ord("a"), ord("x")]}
     found = rows(language.identify(odd(spark), profiles).select("doc_id", "text", "lang_pred", "score"))
