@@ -33,7 +33,7 @@ MEMBERS = 200
 #: Bits of the map by which texts that no candidate needs are left out before the shuffle (8 MB, whatever the input).
 MAP_BITS = 1 << 26
 #: Shingles that a task counts before it passes the counts on, and entries of its cache of word hashes.
-COUNTED, CACHED = 4_000_000, 1_000_000
+COUNTED, CACHED = 4_000_000, 250_000
 
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import bisect
 import functools
 import os
+import threading
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -26,6 +27,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Entries of a worker's cache of encoded chunks; it is emptied when it is full.
 CACHE_ENTRIES = 1_000_000
+#: Seconds after which a worker process without a packing task gives the cache's memory to the operators that follow.
+IDLE_S = 3
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -43,9 +46,27 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.cache: dict[bytes, bytes] = {}
+        self.lock, self.users = threading.Lock(), 0
         special = [(i, t.content) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not t.normalized]
         self.mark, self.between = special[0] if special else (-1, "")
 
+    def __enter__(self) -> Encoder:
+        with self.lock:
+            self.users += 1
+        return self
+
+    def __exit__(self, *_) -> None:
+        with self.lock:
+            self.users -= 1
+        timer = threading.Timer(IDLE_S, self._free)
+        timer.daemon = True
+        timer.start()
+
+    def _free(self) -> None:
+        with self.lock:
+            if not self.users:
+                self.cache.clear()
+
     def _encode(self, chunks: list[bytes]) -> None:
         """Put chunks in the cache, many to a call: a special token, of which no ids are part, stands between them."""
         texts = [c.decode("utf-8", "replace") for c in chunks]
@@ -110,17 +131,17 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     end = array("I", [end_id]).tobytes()
 
     def run(batches):
-        encode = _encoder(tokenizer_path)
-        for batch in batches:
-            for ids, texts in _slices(batch):
-                out = []
-                for doc_id, data in zip(ids, encode(texts), strict=True):
-                    data += end
-                    for k, at in enumerate(range(0, len(data), 4 * capacity)):
-                        part = data[at : at + 4 * capacity]
-                        out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        with _encoder(tokenizer_path) as encode:
+            for batch in batches:
+                for ids, texts in _slices(batch):
+                    out = []
+                    for doc_id, data in zip(ids, encode(texts), strict=True):
+                        data += end
+                        for k, at in enumerate(range(0, len(data), 4 * capacity)):
+                            part = data[at : at + 4 * capacity]
+                            out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
+                    cols = list(zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
