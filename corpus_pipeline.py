@@ -10,6 +10,8 @@ from tablesmith.llm.common import materialize
 
 #: A document whose nearest profile is as far off as this is in no known language.
 LEAST_SCORE = 0.15
+#: Words of a shingle and percent of shared shingles of near copies in the corpus (op7 by itself has 4 and 85).
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +23,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each component of similar documents the one with the smallest doc_id."""
-    found = jaccard.group_similar(docs)
+    found = jaccard.group_similar(docs, size=NEAR_WORDS, percent=NEAR_PERCENT)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
