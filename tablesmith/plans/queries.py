@@ -283,6 +283,12 @@ def sources_concat(s, d):
     return c.groupBy(F.col("c_nationkey").cast("long").alias("nation")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_mktsegment"))), lambda x: x["c_mktsegment"]), ", ").alias("segments"))
 
 
+@query("select c_nationkey::bigint as nation, string_agg(c_mktsegment, ', ' order by c_custkey) as segments from customer group by 1")
+def all_sources_concat(s, d):
+    c = table(s, d, "customer")
+    return c.groupBy(F.col("c_nationkey").cast("long").alias("nation")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_mktsegment"))), lambda x: x["c_mktsegment"]), ", ").alias("segments"))
+
+
 @query("""with c as (select case when event_id % 4 = 0 then 'search' else 'llm' end as kind, event_id % 5000 as p, event_id % 900 as c from events),
 s as (select sum(case kind when 'search' then 5000 else greatest(1, (p * 15 + c * 60 + 99) // 100) end)::bigint as spent, count(*) filter (kind = 'llm') as llm_calls, count(*) filter (kind = 'search') as search_calls from c)
 select *, greatest(0, 10000000 - spent)::bigint as remaining, spent >= 10000000 as exceeded, spent * 5 > 40000000 as warn from s""")
