@@ -206,6 +206,14 @@ def rows_with_sources(s, d):
     return rows.select(F.col("entity_row_id").alias("o_orderkey"), F.size("sources").cast("long").alias("n_sources"), F.array_join(F.transform("sources", lambda x: x["url"]), "; ").alias("sources"))
 
 
+@query("""select o_orderkey, count(l_orderkey) as n_sources, coalesce(string_agg('u' || l_suppkey, '; ' order by l_linenumber, 'u' || l_suppkey), '') as sources
+from orders left join lineitem on l_orderkey = o_orderkey group by 1""")
+def rows_with_all_sources(s, d):
+    src = table(s, d, "lineitem").select(F.col("l_orderkey").alias("entity_row_id"), F.concat(F.lit("u"), "l_suppkey").alias("url"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("snippet"), F.col("l_linenumber").cast("long").alias("created_at"))
+    rows = sinks.with_sources(table(s, d, "orders").select(F.col("o_orderkey").alias("entity_row_id")), src)
+    return rows.select(F.col("entity_row_id").alias("o_orderkey"), F.size("sources").cast("long").alias("n_sources"), F.array_join(F.transform("sources", lambda x: x["url"]), "; ").alias("sources"))
+
+
 @query("""select c_custkey, count(distinct o_orderkey) as n_orders, count(l_orderkey) as n_lines, count(distinct l_partkey) as n_parts
 from customer join orders on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey group by 1""")
 def lineage(s, d):

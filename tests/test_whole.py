@@ -18,3 +18,7 @@ def count(sf, table):
 def test_all_customers_are_concatenated(spark, sf):
     found = run("all_sources_concat", spark, sf)
     assert found.agg(F.sum(F.size(F.split("segments", ", ")))).first()[0] == count(sf, "customer")
+
+
+def test_rows_have_all_their_sources(spark, sf):
+    assert run("rows_with_all_sources", spark, sf).agg(F.sum("n_sources")).first()[0] == count(sf, "lineitem")
