@@ -101,6 +101,15 @@ def fetch_pages(s, d):
     return providers.fetch(u, p, 20_000).select("url", F.octet_length("html").cast("long").alias("n_bytes"), "error")
 
 
+@query(f"""with u as (select url from pages union all values ('http://nowhere.example/x')),
+b as (select url, arg_min(html, page_id) as html from pages group by url)
+select u.url, strlen(case when strlen(html) <= {5_000 * 1024} then html end)::bigint as n_bytes, case when html is null then 'not_found' when strlen(html) > {5_000 * 1024} then 'too_large' end as error from u left join b using (url)""")
+def fetch_all_pages(s, d):
+    p = table(s, d, "pages")
+    u = p.select("url").unionByName(values(s, [("http://nowhere.example/x",)], "url string"))
+    return providers.fetch(u, p).select("url", F.octet_length("html").cast("long").alias("n_bytes"), "error")
+
+
 _ROBOTS = "User-agent: *\nDisallow: /en/1\nDisallow:\nuser-agent: other\nDisallow: /\nUser-agent: *\ndisallow: /fr/"
 
 

@@ -22,3 +22,16 @@ def test_all_customers_are_concatenated(spark, sf):
 
 def test_rows_have_all_their_sources(spark, sf):
     assert run("rows_with_all_sources", spark, sf).agg(F.sum("n_sources")).first()[0] == count(sf, "lineitem")
+
+
+def test_all_urls_are_fetched(spark, sf):
+    found = run("fetch_all_pages", spark, sf)
+    assert found.count() == count(sf, "pages") + 1 and [r.error for r in found.where("error is not null").collect()] == ["not_found"]
+
+
+def test_fetch_too_large(spark):
+    pages = spark.createDataFrame([(1, "a", "x" * 5_120_000), (2, "b", "x" * 5_119_999 + "é"), (3, "c", "xyz")], "page_id long, url string, html string")
+    urls = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "url string")
+    size = lambda r: r.html and len(r.html)
+    assert {r.url: (size(r), r.error) for r in providers.fetch(urls, pages).collect()} == {"a": (5_120_000, None), "b": (None, "too_large"), "c": (3, None), "d": (None, "not_found")}
+    assert {r.url: r.error for r in providers.fetch(urls, pages, 2).collect()} == {"a": "too_large", "b": "too_large", "c": "too_large", "d": "not_found"}
