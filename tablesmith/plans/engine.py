@@ -18,9 +18,9 @@ from tablesmith.sources import providers, sinks
 
 
 def page_rows(pages: DataFrame, fields: list[Field], model=None) -> DataFrame:
-    """pages (url, html) -> extracted rows with seq, in order of url."""
+    """pages (url, html) -> extracted rows with seq, in order of url. Only a model's texts are cut, not the offline extractor's."""
     docs = pages.select("url", parse_html("html").alias("p")).select("url", "p.title", "p.text")
-    found = providers.extract(docs, model or providers.TitleExtractor(), fields)
+    found = providers.extract(docs, model, fields) if model else providers.extract(docs, providers.TitleExtractor(), fields, None)
     return found.withColumn("seq", F.xxhash64("source_url", "data"))
 
 

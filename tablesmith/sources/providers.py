@@ -94,10 +94,11 @@ class TitleExtractor:
         return [(json.dumps(data, ensure_ascii=False), min(1.0, len(text) / 1000))] if title else []
 
 
-def extract(docs: DataFrame, model: ModelProvider, fields: list, most_chars: int = 12_000) -> DataFrame:
+def extract(docs: DataFrame, model: ModelProvider, fields: list, most_chars: int | None = 12_000) -> DataFrame:
     """docs (url, title, text) of more than 50 bytes -> data, confidence, source_url, source_title; a failing document
-    gives no rows."""
-    gated = docs.where(F.octet_length("text") > 50).select("url", "title", F.left("text", F.lit(most_chars)).alias("text"))
+    gives no rows. The model sees the first most_chars characters of a text, all of it if that is None."""
+    text = F.col("text") if most_chars is None else F.left("text", F.lit(most_chars))
+    gated = docs.where(F.octet_length("text") > 50).select("url", "title", text.alias("text"))
 
     def run(frames):
         for f in frames:

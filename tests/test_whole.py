@@ -1,9 +1,13 @@
 """Queries and operators pass whole tables and whole texts."""
 
+import json
+
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from tablesmith.operators.validate import Field
+from tablesmith.plans import engine
 from tablesmith.sources import providers
 
 
@@ -35,3 +39,14 @@ def test_fetch_too_large(spark):
     size = lambda r: r.html and len(r.html)
     assert {r.url: (size(r), r.error) for r in providers.fetch(urls, pages).collect()} == {"a": (5_120_000, None), "b": (None, "too_large"), "c": (3, None), "d": (None, "not_found")}
     assert {r.url: r.error for r in providers.fetch(urls, pages, 2).collect()} == {"a": "too_large", "b": "too_large", "c": "too_large", "d": "not_found"}
+
+
+class Measure(providers.TitleExtractor):
+    pass
+
+
+def test_offline_extraction_sees_whole_texts(spark):
+    pages = spark.createDataFrame([("http://a", f"<title>t</title><p>{'word ' * 4_000}</p>")], "url string, html string")
+    fields = [Field("name", "text", True), Field("length", "number")]
+    whole, cut = (json.loads(engine.page_rows(pages, fields, m).first().data)["length"] for m in (None, Measure()))
+    assert whole > 19_000 and cut == 12_000
