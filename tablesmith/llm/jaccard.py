@@ -321,8 +321,9 @@ def group_similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     led = led.groupBy("gid").agg(F.max(F.struct("k", -F.col("lead"), "lead")).alias("l")).select("gid", F.col("l.lead").alias("lead"))
     across = led.join(first, "gid").join(first.select(F.col("gid").alias("lead"), F.col("rep").alias("b"), F.col("krep").alias("kb")), "lead").select(F.col("rep").alias("a"), F.col("krep").alias("ka"), "b", "kb")
     links = verify(docs, within.unionByName(across), size, percent)
-    several = named.join(classes, ["c1", "c2", "n"]).groupBy("doc_id").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x <> y")
-    several = several.select(F.col("doc_id").alias("a"), F.col("x").alias("b")).unionByName(several.select(F.col("doc_id").alias("a"), F.col("y").alias("b")))
+    differ = [f"min({c}) <> max({c})" for c in ("c1", "c2", "n")]
+    repeated = named.groupBy("doc_id").agg(F.expr(" or ".join(differ)).alias("several")).where("several").select("doc_id")
+    several = named.join(repeated, "doc_id", "left_semi").join(classes, ["c1", "c2", "n"]).select(F.col("doc_id").alias("a"), F.col("cid").alias("b")).distinct()
     links = links.unionByName(several)
     found = components(links)
 

@@ -1,6 +1,7 @@
 """The corpus pipeline's stages on small documents made for them."""
 
 import corpus_pipeline
+from tablesmith.llm import jaccard
 
 DOCS = "doc_id long, text string"
 
@@ -28,3 +29,10 @@ def test_near_copies_of_five_words_and_eighty_percent_go(spark):
     assert likeness(made[10], made[12], 5) < 0.8
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in made.items()], DOCS)
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [1, 10, 12]
+
+
+def test_all_texts_of_a_document_are_linked(spark):
+    texts = [" ".join(words(x, 8)) for x in "abcd"]
+    rows = [(1, texts[0]), (3, texts[1]), (4, texts[2]), (5, texts[3]), *[(7, t) for t in texts], (9, "on its own here")]
+    found = {(r.doc_id, r.component_id) for r in jaccard.group_similar(spark.createDataFrame(rows, DOCS)).collect()}
+    assert found == {(1, 1), (3, 1), (4, 1), (5, 1), (7, 1), (9, 9)}
