@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,11 +10,30 @@ from pyspark.sql import functions as F
 
 #: Keys that a lookup broadcasts at most; see :func:`lookup`.
 HEAVY_KEYS = 1_000
+#: Rows and bytes of a batch that Python workers get at most; see :func:`small_batches`.
+BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}").rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder of this machine
+    serves a session whose executor is the driver itself (tests); any other session is refused."""
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    if told:
+        return told.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches, so that a worker's memory follows neither the rows of a partition nor, but for
+    a single longer one, the size of texts. Smaller settings of the session's own stay."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    size = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")
+    if not (size.isdigit() and 0 < int(size) <= BATCH_BYTES):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def new_path(spark: SparkSession, name: str) -> str:

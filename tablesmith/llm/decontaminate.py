@@ -2,7 +2,8 @@
 
 The index is document-partitioned: every block of whole documents stores, per term, the positions of the term as one
 posting list. Blocks are rows of a table in the shared folder and have a bounded number of words (but for a single
-longer document). Phrases are found per block from the rarest term, by intersecting offset-adjusted posting lists.
+longer document). Phrases are found per block from the rarest term, by intersecting offset-adjusted posting lists;
+proximity matches start from the rarest term as well and keep the places that have every other term near.
 """
 
 from __future__ import annotations
@@ -12,23 +13,27 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.llm.common import materialize
+from tablesmith.llm.common import materialize, small_batches
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
-#: The test vocabulary is sent to the tasks up to so many terms; beyond, the index keeps all terms of the documents.
-VOCABULARY_TERMS = 2_000_000
-#: Items are matched in passes of about so many.
-ITEMS_A_PASS = 20_000
+#: Bits of the map of hashed test terms that is sent to the tasks (1 MB, whatever the benchmark): a term whose bit is
+#: not set occurs in no item and gets no posting list.
+VOCABULARY_BITS = 1 << 23
+#: Words of items matched in a pass, about, and of the overlapping parts that longer items are cut into: they bound the
+#: phrases that the driver and a task hold.
+WORDS_A_PASS, WORDS_A_PART = 500_000, 50_000
+#: Further words among which the words of a phrase may stand, in any order, for a proximity match.
+SLOP = 3
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _NONE = hashlib.sha256(b"").hexdigest()
 INDEX = "block string, doc_ids array<long>, starts array<int>, lens array<int>, terms array<binary>, postings array<binary>"
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -41,18 +46,41 @@ def windows(item: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]]:
     return [tuple(item[i : i + size]) for i in range(max(1, len(item) - size + 1))] if item else []
 
 
-def build_index(docs: DataFrame, vocabulary: Iterable[bytes] | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
+def vocabulary(items: DataFrame) -> np.ndarray:
+    """The map of hashed terms of items (text): VOCABULARY_BITS bits, made by the tasks."""
+    text = F.translate(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    terms = items.select(F.explode(F.split(text, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")).alias("w")).where("w <> ''")
+    h = F.pmod(F.xxhash64("w"), F.lit(VOCABULARY_BITS)) + 1
+    found = terms.groupBy(F.bitmap_bucket_number(h).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("bits")).collect()
+    bits = np.zeros(VOCABULARY_BITS // 8, np.uint8)
+    for r in found:
+        bits[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return bits
+
+
+def build_index(docs: DataFrame, bits: np.ndarray | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Positional inverted index of documents (doc_id, text): one row a block, written to the shared folder.
 
     Positions run on through a block, with one empty place after each document, so no phrase spans two documents.
-    With a vocabulary, other terms get no posting list (they still count as words and hold their position).
+    With a vocabulary's map, terms whose bit is not set get no posting list (they still count as words and hold their
+    position).
     """
     spark = docs.sparkSession
-    known = None if vocabulary is None else spark.sparkContext.broadcast({w: i for i, w in enumerate(sorted(vocabulary))})
+    small_batches(spark)
+    held = None if bits is None else spark.sparkContext.broadcast(bits)
 
     def run(batches):
-        numbers = dict(known.value) if known else {}
-        fixed = known is not None
+        known = None if held is None else held.value
+        numbers: dict[bytes, int] = {}
+        names: list[bytes] = []
+
+        def number(w: bytes) -> int:
+            if known is not None:
+                h = xxhash.xxh64_intdigest(w, 42) & (VOCABULARY_BITS - 1)  # as Spark's xxhash64
+                if not known[h >> 3] >> (h & 7) & 1:
+                    return -1
+            names.append(w)
+            return len(names) - 1
 
         def block(rows: list[tuple], number: int) -> pa.RecordBatch:
             lens = np.array([len(r[1]) for r in rows], np.int64)
@@ -64,7 +92,6 @@ def build_index(docs: DataFrame, vocabulary: Iterable[bytes] | None = None, bloc
             order = np.argsort(codes, kind="stable")
             codes, at = codes[order], at[order]
             first = np.flatnonzero(np.append(True, np.diff(codes) != 0)) if len(codes) else np.zeros(0, np.int64)
-            names = list(numbers)
             terms = [names[c] for c in codes[first]]
             ends = [*first[1:].tolist(), len(codes)] if len(codes) else []
             lists = [at[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)]
@@ -76,17 +103,15 @@ def build_index(docs: DataFrame, vocabulary: Iterable[bytes] | None = None, bloc
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = words(text.as_py())
-                if fixed:
-                    codes = np.fromiter((numbers.get(w, -1) for w in found), np.int32, len(found))
-                else:
-                    codes = np.fromiter((numbers.setdefault(w, len(numbers)) for w in found), np.int32, len(found))
-                rows.append((doc_id, codes))
+                for w in set(found).difference(numbers):
+                    numbers[w] = number(w)
+                rows.append((doc_id, np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))))
                 size += len(found) + 1
                 if size >= block_words:
                     yield block(rows, made)
                     rows, size, made = [], 0, made + 1
-                    if not fixed:
-                        numbers.clear()
+                    numbers.clear()
+                    names.clear()
         if rows:
             yield block(rows, made)
 
@@ -135,23 +160,40 @@ def find_phrases(postings: dict[int, np.ndarray], phrases: Phrases) -> Iterator[
             yield int(i), at
 
 
-def near_phrases(postings: dict[int, np.ndarray], phrases: Phrases, starts: np.ndarray, lens: np.ndarray, slop: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(phrase, documents of the block) where all terms of the phrase lie within len(phrase) + slop words, in any order."""
-    for i in range(len(phrases.codes)):
-        own = list(dict.fromkeys(phrases.codes[i, : phrases.lengths[i]].tolist()))
-        lists = [postings.get(c) for c in own]
-        if any(p is None for p in lists):
-            continue
-        span, found = int(phrases.lengths[i]) + slop, []
-        rare = min(lists, key=len)
-        doc = np.searchsorted(starts, rare, "right") - 1
-        for at, d in zip(rare.tolist(), doc.tolist(), strict=True):
-            near = [p[(p > at - span) & (p < at + span) & (p >= starts[d]) & (p < starts[d] + lens[d])] for p in lists]
-            # a window that holds every term starts at one of these positions
-            if all(map(len, near)) and any(all(((p >= s) & (p < s + span)).any() for p in near) for s in np.concatenate(near)):
-                found.append(d)
-        if found:
-            yield i, np.unique(found)
+def near_phrases(postings: dict[int, np.ndarray], phrases: Phrases, starts: np.ndarray, lens: np.ndarray, slop: int = SLOP) -> Iterator[tuple[int, np.ndarray]]:
+    """(phrase, documents of the block) where all terms of the phrase lie within len(phrase) + slop words, in any order.
+
+    From the rarest term on, the places stay that have each further term less than that many words away in their
+    document; only what then remains is tried window by window.
+    """
+    if not len(phrases.codes):
+        return
+    many = np.zeros(len(phrases.terms) + 1, np.int64)
+    for t, p in postings.items():
+        many[t] = len(p)
+    many[-1] = np.iinfo(np.int64).max
+    sizes = many[phrases.codes]
+    for i in np.flatnonzero(sizes.min(axis=1) > 0):
+        n = int(phrases.lengths[i])
+        order = np.argsort(sizes[i], kind="stable")[:n]
+        own = list(dict.fromkeys(phrases.codes[i, order].tolist()))
+        span, at = n + slop, postings[own[0]].astype(np.int64)
+        for c in own[1:]:
+            p = postings[c]
+            spot = np.searchsorted(p, at - (span - 1))
+            at = at[(spot < len(p)) & (p[np.minimum(spot, len(p) - 1)] < at + span)]
+            if not len(at):
+                break
+        else:
+            doc, found = np.searchsorted(starts, at, "right") - 1, []
+            for a, d in zip(at.tolist(), doc.tolist(), strict=True):
+                lo, hi = max(a - span + 1, int(starts[d])), min(a + span, int(starts[d] + lens[d]))
+                near = [p[np.searchsorted(p, lo) : np.searchsorted(p, hi)] for p in (postings[c] for c in own)]
+                # a window that holds every term starts at one of these places
+                if all(map(len, near)) and any(all(k < len(p) and p[k] < s + span for p in near for k in (np.searchsorted(p, s),)) for s in np.unique(np.concatenate(near)).tolist() if s <= a):
+                    found.append(d)
+            if found:
+                yield int(i), np.unique(found)
 
 
 def _postings(row: dict, terms: dict[bytes, int]) -> dict[int, np.ndarray]:
@@ -164,90 +206,82 @@ def _rows(batches) -> Iterator[dict]:
             yield {n: batch.column(k)[i].as_py() for k, n in enumerate(("block", "doc_ids", "starts", "lens", "terms", "postings"))}
 
 
-def match_exact(index: DataFrame, phrases: Phrases) -> DataFrame:
-    """Per document of the index: hit words as runs (run_starts, run_ends) and the items of which a phrase occurs."""
+def match(index: DataFrame, phrases: Phrases, slop: int | None = SLOP) -> DataFrame:
+    """Per document of the index: hit words as runs (run_starts, run_ends), the items of which a phrase occurs, and those
+    of which all words of a phrase stand within its length and slop more words (near_items; none where slop is null)."""
     held = index.sparkSession.sparkContext.broadcast(phrases)
 
+    def listed(pairs: list[np.ndarray], n: int, own: Phrases) -> list[list[str]]:
+        m = max(1, len(own.items))
+        code = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+        edges = np.searchsorted(code // m, np.arange(n + 1))
+        return [[own.items[c % m] for c in code[edges[d] : edges[d + 1]]] for d in range(n)]
+
     def run(batches):
         own = held.value
         for row in _rows(batches):
             starts, lens = np.array(row["starts"], np.int64), np.array(row["lens"], np.int64)
             n, m = len(starts), max(1, len(own.items))
-            diff, pairs = np.zeros(int(starts[-1] + lens[-1] + 2) if n else 1, np.int32), []
-            for i, at in find_phrases(_postings(row, own.terms), own):
+            diff, pairs, near = np.zeros(int(starts[-1] + lens[-1] + 2) if n else 1, np.int32), [], []
+            postings = _postings(row, own.terms)
+            for i, at in find_phrases(postings, own):
                 diff[at] += 1
                 diff[at + own.lengths[i]] -= 1
                 doc = np.unique(np.searchsorted(starts, at, "right") - 1)
                 pairs.append((doc[:, None] * m + own.owners[i][None, :]).ravel())
+            for i, doc in near_phrases(postings, own, starts, lens, slop) if slop is not None else ():
+                near.append((doc[:, None] * m + own.owners[i][None, :]).ravel())
             hit = (np.cumsum(diff) > 0).astype(np.int8)
             turn = np.diff(np.concatenate([[0], hit, [0]]))
             begin, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
-            doc = np.searchsorted(starts, begin, "right") - 1
-            edges = np.searchsorted(doc, np.arange(n + 1))
-            code = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-            code_edges = np.searchsorted(code // m, np.arange(n + 1))
-            out = [[], [], []]
-            for d in range(n):
-                a, b = edges[d], edges[d + 1]
-                out[0].append((begin[a:b] - starts[d]).tolist())
-                out[1].append((end[a:b] - starts[d]).tolist())
-                out[2].append([own.items[c % m] for c in code[code_edges[d] : code_edges[d + 1]]])
-            cols = [pa.array([row["block"]] * n), pa.array(row["doc_ids"], pa.int64()), pa.array(range(n), pa.int32()), pa.array(lens, pa.int64()), pa.array(out[0], pa.list_(pa.int64())), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["block", "doc_id", "place", "n_words", "run_starts", "run_ends", "items"])
-
-    return index.mapInArrow(run, "block string, doc_id long, place int, n_words long, run_starts array<long>, run_ends array<long>, items array<string>")
-
-
-def match_near(index: DataFrame, phrases: Phrases, slop: int) -> DataFrame:
-    """(doc_id, item_id) where all words of a phrase of the item stand within len(phrase) + slop words."""
-    held = index.sparkSession.sparkContext.broadcast(phrases)
+            edges = np.searchsorted(np.searchsorted(starts, begin, "right") - 1, np.arange(n + 1))
+            runs = [[(x[edges[d] : edges[d + 1]] - starts[d]).tolist() for d in range(n)] for x in (begin, end)]
+            cols = [pa.array([row["block"]] * n), pa.array(row["doc_ids"], pa.int64()), pa.array(range(n), pa.int32()), pa.array(lens, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in runs), *(pa.array(listed(x, n, own), pa.list_(pa.string())) for x in (pairs, near))]
+            yield pa.RecordBatch.from_arrays(cols, names=["block", "doc_id", "place", "n_words", "run_starts", "run_ends", "items", "near_items"])
 
-    def run(batches):
-        own = held.value
-        for row in _rows(batches):
-            starts, lens = np.array(row["starts"], np.int64), np.array(row["lens"], np.int64)
-            pairs = {(int(d), int(o)) for i, docs in near_phrases(_postings(row, own.terms), own, starts, lens, slop) for d in docs for o in own.owners[i]}
-            pairs = sorted(pairs)
-            yield pa.RecordBatch.from_arrays([pa.array([row["doc_ids"][d] for d, _ in pairs], pa.int64()), pa.array([own.items[o] for _, o in pairs], pa.string())], names=["doc_id", "item_id"])
-
-    return index.mapInArrow(run, "doc_id long, item_id string").distinct()
+    return index.mapInArrow(run, "block string, doc_id long, place int, n_words long, run_starts array<long>, run_ends array<long>, items array<string>, near_items array<string>")
 
 
 def summarize(matches: DataFrame) -> DataFrame:
-    """The report per document from match_exact's rows."""
+    """The report per document from match's rows."""
     total = F.aggregate(F.zip_with("run_starts", "run_ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
     ids = F.array_sort("items")
     return matches.select(
         "doc_id", "n_words", total.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.when(F.size("items") == 0, F.lit(_NONE)).otherwise(F.sha2(F.array_join(ids, ","), 256)).alias("items_sha256"), (total > 0).alias("contaminated"),
+        F.array_join(F.array_sort("near_items"), ",").alias("near_items"),
     )
 
 
-def _items(benchmark: DataFrame) -> DataFrame:
-    return benchmark.where(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("n")).drop("n")
+def _items(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """Distinct items (item_id, text, words: about how many); longer ones in parts that overlap by a phrase less a word."""
+    rows = benchmark.where(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
+    rows = rows.groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("n")).drop("n").withColumn("w", F.split("text", "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"))
+    part = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (size - 1), F.lit(1)), F.lit(WORDS_A_PART)), lambda a: F.array_join(F.slice("w", a, WORDS_A_PART + size - 1), " "))
+    parts = F.when(F.size("w") <= WORDS_A_PART + size - 1, F.array("text")).otherwise(part)
+    return rows.select("item_id", F.explode(parts).alias("text")).withColumn("words", F.size(F.split("text", "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, items_a_pass: int = ITEMS_A_PASS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, words_a_pass: int = WORDS_A_PASS, slop: int | None = None) -> DataFrame:
     """Which words of each document (doc_id, text) belong to an occurrence of a benchmark phrase (item_id, text).
 
     Null or wordless texts have no words and no hits; items without words have no phrases; an item_id that is null
     counts as the empty string, rows of one item_id as one item. Repeated documents are reported each. The items are
-    matched in passes of about items_a_pass, so neither the driver nor a task holds an unbounded benchmark.
+    matched in passes of about words_a_pass words, longer items in overlapping parts, so neither the driver nor a task
+    holds an unbounded benchmark. With a slop, near_items are the items of proximity matches (sorted as strings,
+    comma-joined), else it is empty.
     """
-    items = _items(benchmark)
-    n = items.count()
-    passes = max(1, -(-n // items_a_pass))
-    text = F.translate(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    terms = items.select(F.explode(F.split(text, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")).alias("w")).where("w <> ''").distinct()
-    few = [r["w"].encode() for r in terms.limit(VOCABULARY_TERMS + 1).collect()]
-    index = build_index(docs, few if len(few) <= VOCABULARY_TERMS else None)
+    items = materialize(_items(benchmark, window), "items")
+    total = items.agg(F.sum("words").alias("n")).first()["n"] or 0
+    passes = max(1, -(-total // words_a_pass))
+    index = build_index(docs, vocabulary(items))
 
     def matched(k: int) -> DataFrame:
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k)
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
         by_id: dict[str, list[str]] = {}
-        for r in own.collect():
+        for r in own.select("item_id", "text").collect():  # about words_a_pass words
             by_id.setdefault(r["item_id"], []).append(r["text"])
-        return match_exact(index, _Merged(by_id, window))
+        return match(index, _Merged(by_id, window), slop)
 
     found = matched(0)
     for k in range(1, passes):
@@ -270,5 +304,6 @@ class _Merged(Phrases):
 def _merge_passes(found: DataFrame) -> DataFrame:
     """One row a document from the rows of several passes: hit words counted once, items of all passes."""
     places = F.flatten(F.zip_with("run_starts", "run_ends", lambda a, b: F.sequence(a, b - 1)))
-    merged = found.groupBy("block", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list(places))).alias("hit"), F.flatten(F.collect_list("items")).alias("items"))
-    return merged.select("block", "doc_id", "place", "n_words", F.col("hit").alias("run_starts"), F.transform("hit", lambda x: x + 1).alias("run_ends"), "items")
+    every = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    merged = found.groupBy("block", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), every(places).alias("hit"), every("items").alias("items"), every("near_items").alias("near_items"))
+    return merged.select("block", "doc_id", "place", "n_words", F.col("hit").alias("run_starts"), F.transform("hit", lambda x: x + 1).alias("run_ends"), "items", "near_items")

@@ -12,28 +12,30 @@ is compared, exactly, so no link between components is lost.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablesmith.llm.common import components, lookup, materialize
+from tablesmith.llm.common import components, lookup, materialize, small_batches
 
 SHINGLE = 4
 PERCENT = 85
 #: Shingles that are put last in the order, by their counts over all documents; the others are ordered by hash. The
 #: number bounds what is broadcast. It only steers how long lists get, not the result.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 16
+#: Postings of one frequent shingle, by its count, that one task takes; longer lists are split by their groups.
+LIST = 4_000
 #: Members compared with one copy of their leader in a task.
 MEMBERS = 200
 #: Bits of the map by which texts that no candidate needs are left out before the shuffle (8 MB, whatever the input).
 MAP_BITS = 1 << 26
 #: Shingles that a task counts before it passes the counts on, and entries of its cache of word hashes.
-COUNTED, CACHED = 4_000_000, 250_000
+COUNTED, CACHED = 500_000, 100_000
 
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
@@ -154,27 +156,35 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "kind int, a long, b long, c long, n long")
 
 
-def _prefixes(docs: DataFrame, size: int, percent: int, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """(gid, key, key, n, prefix) once per set and task: gid stands for the prefix and the size."""
-    held = docs.sparkSession.sparkContext.broadcast((frequent, rank))
+def _prefixes(docs: DataFrame, size: int, percent: int, frequent: np.ndarray, rank: np.ndarray, many: np.ndarray) -> DataFrame:
+    """(gid, key, key, n, prefix, salts) once per set and task: gid stands for the prefix and the size.
+
+    A shingle of the prefix whose list is split has the number of the part (by the gid) as its salt, others -1.
+    """
+    held = docs.sparkSession.sparkContext.broadcast((frequent, rank, -(-many // LIST)))
 
     def run(batches):
-        (often, place), shingles, seen = held.value, Shingles(size), set()
+        (often, place, parts), shingles, seen = held.value, Shingles(size), set()
         for batch in batches:
             rows = []
             for text in batch.column(0):
                 s = shingles(text.as_py())
                 key = set_key(s)
                 if len(s) and key not in seen:
-                    if len(seen) > CACHED:
+                    if len(seen) > CACHED // 2:
                         seen.clear()
                     seen.add(key)
                     p = prefix(s, often, place, percent)
                     gid = xxhash.xxh3_64_intdigest(p.tobytes(), len(s))
-                    rows.append((gid - (1 << 63), *key, len(s), p.view(np.int64)))
-            yield _batch(rows, "gid c1 c2 n prefix", [_L, _L, _L, _L, pa.list_(_L)])
+                    salts = np.full(len(p), -1, np.int32)
+                    if len(often):
+                        at = np.minimum(np.searchsorted(often, p), len(often) - 1)
+                        k = np.where(often[at] == p, parts[at], 1)
+                        salts[k > 1] = gid % k[k > 1].astype(np.uint64)
+                    rows.append((gid - (1 << 63), *key, len(s), p.view(np.int64), salts))
+            yield _batch(rows, "gid c1 c2 n prefix salts", [_L, _L, _L, _L, pa.list_(_L), pa.list_(pa.int32())])
 
-    return docs.select("text").mapInArrow(run, "gid long, c1 long, c2 long, n long, prefix array<long>")
+    return docs.select("text").mapInArrow(run, "gid long, c1 long, c2 long, n long, prefix array<long>, salts array<int>")
 
 
 def _possible(n: Column, i: Column, m: Column, j: Column, percent: int) -> Column:
@@ -186,25 +196,29 @@ def _possible(n: Column, i: Column, m: Column, j: Column, percent: int) -> Colum
 
 
 def _shared(postings: DataFrame, percent: int) -> DataFrame:
-    """Postings (s, pos, gid, n) of shingles that several groups have, with the shingle's leader where it is possible.
+    """Postings (s, salt, pos, gid, n) of shingles that several groups have, with the list's leader where it is possible.
 
-    Rows come sorted by (s, pos, gid); the first of a shingle leads: it has the fewest rarer shingles, as the text from
-    which copies are made does. Runs through the rows once and holds two of them.
+    Rows come sorted by (s, salt, pos, gid), some of them repeated; the first of a list leads: it has the fewest rarer
+    shingles, as the text from which copies are made does. All of a split list is kept (salt from 0). Runs through the
+    rows once and holds two of them.
     """
 
     def run(batches):
         last = None  # the row held back, and whether it was emitted as part of a list
         lead = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            s, pos, gid, n = (batch.column(k).to_numpy() for k in range(4))
+            cols = [batch.column(k).to_numpy() for k in range(5)]
             if last is not None:
-                s, pos, gid, n = (np.append(x, y) for x, y in zip(last[:4], (s, pos, gid, n), strict=True))
-            more = np.append(s[1:] == s[:-1], False)  # the next row has the same shingle
+                cols = [np.append(x, y) for x, y in zip(last[:5], cols, strict=True)]
+            if not len(cols[0]):
+                continue
+            s, salt, pos, gid, n = cols
+            new = np.append(True, (s[1:] != s[:-1]) | (gid[1:] != gid[:-1]))  # a group comes once for each task that met it
+            s, salt, pos, gid, n = (x[new] for x in cols)
+            more = np.append((s[1:] == s[:-1]) & (salt[1:] == salt[:-1]), False)  # the next row is of the same list
             again = np.append(False, more[:-1])
             if last is not None:
-                again[0] = last[4]
+                again[0] = last[5]
             first = np.flatnonzero(~again)
             at = np.searchsorted(first, np.arange(len(s)), "right") - 1
             leads = np.stack([pos, gid, n])[:, first] if len(first) else np.zeros((3, 0), np.int64)
@@ -213,19 +227,19 @@ def _shared(postings: DataFrame, percent: int) -> DataFrame:
             lp, lg, ln = leads[:, at]
             lead = leads[:, at[-1]].tolist()
             end = len(s) - 1
-            last = ([s[end]], [pos[end]], [gid[end]], [n[end]], bool(again[end]))
-            s, pos, gid, n, lp, lg, ln, keep = s[:end], pos[:end], gid[:end], n[:end], lp[:end], lg[:end], ln[:end], (more | again)[:end]
-            yield emit(*(x[keep] for x in (s, pos, gid, n, lp, lg, ln)))
-        if last is not None and last[4]:
-            yield emit(*(np.array(x, np.int64) for x in (*last[:4], *([x] for x in lead))))
+            last = (*([x[end]] for x in (s, salt, pos, gid, n)), bool(again[end]))
+            keep = (more | again | (salt >= 0))[:end]
+            yield emit(*(x[:end][keep] for x in (s, salt, pos, gid, n, lp, lg, ln)))
+        if last is not None and (last[5] or last[1][0] >= 0):
+            yield emit(*(np.array(x, np.int64) for x in (*last[:5], *([x] for x in lead))))
 
-    def emit(s, pos, gid, n, lp, lg, ln):
+    def emit(s, salt, pos, gid, n, lp, lg, ln):
         large, small = np.maximum(n, ln), np.minimum(n, ln)
         at_small = np.where(n < ln, pos, np.where(n > ln, lp, np.minimum(pos, lp)))
         ok = (gid != lg) & (100 * small >= percent * large) & (np.minimum(n - pos, ln - lp) >= least_overlap(n, ln, percent)) & (at_small < index_length(small, percent))
-        return pa.RecordBatch.from_arrays([pa.array(s), pa.array(pos), pa.array(gid), pa.array(n), pa.array(lg, mask=~ok)], names=["s", "pos", "gid", "n", "lead"])
+        return pa.RecordBatch.from_arrays([pa.array(s), pa.array(salt.astype(np.int32)), pa.array(pos), pa.array(gid), pa.array(n), pa.array(lg, mask=~ok)], names=["s", "salt", "pos", "gid", "n", "lead"])
 
-    return postings.mapInArrow(run, "s long, pos long, gid long, n long, lead long")
+    return postings.mapInArrow(run, "s long, salt int, pos long, gid long, n long, lead long")
 
 
 def _bitmap(ids: DataFrame) -> dict[int, bytes]:
@@ -295,29 +309,35 @@ def group_similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     doc_id has a null component_id and links nothing. Rows that share a doc_id are one document for the components.
     No documents: no rows. Further columns are ignored.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     facts = materialize(_sets(docs, size), "sets")
     rows = facts.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("c1"), F.col("c").alias("c2"), "n")
     named = rows.where("n > 0 and doc_id is not null")
     classes = materialize(named.groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("docs")), "classes")
     counts = facts.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).where("n >= 8")
-    often = counts.orderBy(F.desc("n"), "a").limit(FREQUENT).toPandas()  # FREQUENT rows at most
-    code, many = often["a"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)
+    often = counts.orderBy(F.desc("n"), "a").limit(FREQUENT).toArrow()  # FREQUENT rows at most
+    code, many = often.column("a").to_numpy().view(np.uint64), often.column("n").to_numpy()
     order = np.argsort(code)
     code, many = code[order], many[order]
     rank = np.empty(len(code), np.int64)
     rank[np.lexsort((code, many))] = np.arange(len(code))
 
-    sets = materialize(_prefixes(docs.where("doc_id is not null"), size, percent, code, rank), "prefixes")
-    postings = sets.select("gid", "n", F.posexplode("prefix").alias("pos", "s")).select("s", F.col("pos").cast("long"), "gid", "n")
-    postings = postings.repartition("s").sortWithinPartitions("s", "pos", "gid")
-    shared = materialize(_shared(postings, percent), "shared").distinct()
+    sets = materialize(_prefixes(docs.where("doc_id is not null"), size, percent, code, rank, many), "prefixes")
+    postings = sets.select("gid", "n", F.posexplode(F.arrays_zip("prefix", "salts")).alias("pos", "p"))
+    postings = postings.select(F.col("p.prefix").alias("s"), F.col("p.salts").alias("salt"), F.col("pos").cast("long"), "gid", "n")
+    postings = postings.repartition("s", "salt").sortWithinPartitions("s", "salt", "pos", "gid")
+    shared = materialize(_shared(postings, percent), "shared")
     members = materialize(sets.select("gid", "c1", "c2", "n").distinct().join(classes, ["c1", "c2", "n"]).select("gid", "cid", "c1"), "members")
 
     # members against the first of their group, and that one against the leader that most shared shingles name
     first = members.groupBy("gid").agg(F.min(F.struct("cid", "c1")).alias("f")).select("gid", F.col("f.cid").alias("rep"), F.col("f.c1").alias("krep"))
     within = members.join(first, "gid").where("cid <> rep").select(F.col("cid").alias("a"), F.col("c1").alias("ka"), F.col("rep").alias("b"), F.col("krep").alias("kb"))
-    led = shared.where("lead is not null").groupBy("gid", "lead").agg(F.count(F.lit(1)).alias("k"))
+    # the first of each part of a split list follows the first of all its parts (of FREQUENT lists at most)
+    part = shared.where("salt >= 0").groupBy("s", "salt").agg(F.min(F.struct("pos", "gid")).alias("f"))
+    whole = part.groupBy("s").agg(F.min("f").alias("l"))
+    parted = part.join(F.broadcast(whole), "s").where("f.gid <> l.gid").select(F.col("f.gid").alias("gid"), F.col("l.gid").alias("lead"))
+    led = shared.where("lead is not null").select("gid", "lead").unionByName(parted).groupBy("gid", "lead").agg(F.count(F.lit(1)).alias("k"))
     led = led.groupBy("gid").agg(F.max(F.struct("k", -F.col("lead"), "lead")).alias("l")).select("gid", F.col("l.lead").alias("lead"))
     across = led.join(first, "gid").join(first.select(F.col("gid").alias("lead"), F.col("rep").alias("b"), F.col("krep").alias("kb")), "lead").select(F.col("rep").alias("a"), F.col("krep").alias("ka"), "b", "kb")
     links = verify(docs, within.unionByName(across), size, percent)
@@ -338,7 +358,10 @@ def group_similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     x, y = (kinds.select("s", *[F.col(c).alias(f"{p}{c}") for c in ("comp", "n", "pos")]) for p in "xy")
     ordered = (F.col("xn") > F.col("yn")) | (F.col("xn") == F.col("yn")) & (F.col("xpos") >= F.col("ypos"))
     apart = F.coalesce(F.col("xcomp") != F.col("ycomp"), F.lit(True))
-    pairs = x.join(y, "s").where(ordered & apart & _possible(F.col("xn"), F.col("xpos"), F.col("yn"), F.col("ypos"), percent))
+    # similar sizes lie in one band or in neighbouring ones, so a hot shingle's kinds meet by size
+    band = lambda n: F.floor(F.log(n) / F.lit(1.0001 * math.log(100 / percent)))
+    x = x.withColumn("band", F.explode(F.array(band(F.col("xn")), band(F.col("xn")) - 1)))
+    pairs = x.join(y.withColumn("band", band(F.col("yn"))), ["s", "band"]).drop("band").where(ordered & apart & _possible(F.col("xn"), F.col("xpos"), F.col("yn"), F.col("ypos"), percent))
     for p in "xy":
         own = rest.select(F.col("s").alias("s_"), F.col("gid").alias(f"{p}gid"), *[F.col(c).alias(f"{p}{c}_") for c in ("comp", "n", "pos")])
         pairs = pairs.join(own, (F.col("s") == F.col("s_")) & F.col(f"{p}comp").eqNullSafe(F.col(f"{p}comp_")) & (F.col(f"{p}n") == F.col(f"{p}n_")) & (F.col(f"{p}pos") == F.col(f"{p}pos_"))).drop("s_", f"{p}comp_", f"{p}n_", f"{p}pos_")

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablesmith.llm.common import small_batches
+
 #: Length of a profile, longest n-gram, and labelled documents per language that a profile is fitted on at most.
 PROFILE = 300
 LONGEST = 3
@@ -17,7 +19,9 @@ FIT_DOCUMENTS = 4_000
 SPARE = 1.25
 UNKNOWN = "und"
 #: A document's n-grams are taken from so many characters at a time and summed.
-CHARACTERS = 1_000_000
+CHARACTERS = 250_000
+#: N-grams that a task sums before it passes the sums on.
+HELD = 500_000
 _GAP = re.compile(r"[\W\d_]+")
 
 
@@ -66,6 +70,7 @@ def fit(docs: DataFrame, size: int = PROFILE, per_language: int = FIT_DOCUMENTS)
     The documents of a language are those with the smallest hash of doc_id, so the sample is the same in every run;
     per_language bounds what is fitted, whatever the corpus holds. Rows with a null lang or text don't count.
     """
+    small_batches(docs.sparkSession)
     picked = docs.where("lang is not null and text is not null and lang <> 'und'")
     # at most SPARE times the sample reaches the task that ranks a language: hashes are even, so those under this share
     many = picked.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
@@ -90,7 +95,7 @@ def fit(docs: DataFrame, size: int = PROFILE, per_language: int = FIT_DOCUMENTS)
                 pair = grams(text.as_py())
                 sums.setdefault(lang, []).append(pair)
                 held += len(pair[0])
-                if held > 2_000_000:
+                if held > HELD:
                     yield from flush()
                     sums, held = {}, 0
         yield from flush()
@@ -134,6 +139,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFIL
     With no profiles every document is `und`. Whole texts are judged; repeated rows each. Columns lang_pred and score
     that docs has are replaced.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     held = docs.sparkSession.sparkContext.broadcast(Profiles(profiles, size))
     names = list(docs.columns)

@@ -10,33 +10,36 @@ from __future__ import annotations
 
 import bisect
 import functools
+import json
 import os
-import threading
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablesmith.llm.common import materialize, partitions
+from tablesmith.llm.common import materialize, partitions, small_batches
 
 CAPACITY = 4096
 END_ID = 1
-#: Entries of a worker's cache of encoded chunks; it is emptied when it is full.
-CACHE_ENTRIES = 1_000_000
-#: Seconds after which a worker process without a packing task gives the cache's memory to the operators that follow.
-IDLE_S = 3
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Entries of each of the two generations of a worker's cache of encoded chunks, and the longest chunk it keeps (bytes).
+CACHE_ENTRIES, CACHE_CHUNK = 100_000, 48
+#: Characters encoded at a time.
+SLICE = 1_000_000
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal int"
 
 
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes; equal to encoding the whole text.
 
-    The tokenizer's normaliser and pre-tokenizer never join or change text across ASCII white space, so every chunk
-    between white space is encoded once and reused.
+    Where the tokenizer lower-cases and never joins or changes text across ASCII white space, every chunk between white
+    space is encoded once and reused; see _by_words. Texts are encoded whole for any other tokenizer. The cache has two
+    generations: chunks met since the last change of generations are in the new one, and the old one goes when the new
+    one is full, so a worker holds 2 * CACHE_ENTRIES short chunks at most beside the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -45,28 +48,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.cache: dict[bytes, bytes] = {}
-        self.lock, self.users = threading.Lock(), 0
+        self.by_words = _by_words(path)
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         special = [(i, t.content) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not t.normalized]
         self.mark, self.between = special[0] if special else (-1, "")
 
-    def __enter__(self) -> Encoder:
-        with self.lock:
-            self.users += 1
-        return self
-
-    def __exit__(self, *_) -> None:
-        with self.lock:
-            self.users -= 1
-        timer = threading.Timer(IDLE_S, self._free)
-        timer.daemon = True
-        timer.start()
-
-    def _free(self) -> None:
-        with self.lock:
-            if not self.users:
-                self.cache.clear()
-
     def _encode(self, chunks: list[bytes]) -> None:
         """Put chunks in the cache, many to a call: a special token, of which no ids are part, stands between them."""
         texts = [c.decode("utf-8", "replace") for c in chunks]
@@ -76,42 +63,65 @@ class Encoder:
             ids = np.array(self.batch([self.between.join(texts)], add_special_tokens=False)[0].ids, "<u4")
             raw, cut = ids.tobytes(), np.flatnonzero(ids == self.mark).tolist()
             found = [raw[4 * a : 4 * b] for a, b in zip([0, *(c + 1 for c in cut)], [*cut, len(ids)], strict=True)]
-        self.cache.update(zip(chunks, found, strict=True))
+        self.new.update(zip(chunks, found, strict=True))
 
     def _add(self, missing: set[bytes]) -> None:
         """Put chunks in the cache. A full stop or comma after an ASCII letter or digit is a pre-token of its own, so
         only what stands before it is encoded."""
+        new = self.new
         cut = [c for c in missing if c[-1] in b".," and len(c) > 1 and c[-2] < 128 and c[-2:-1].isalnum()]
-        rest = missing.difference(cut).union([c[:-1] for c in cut], (b".", b",")).difference(self.cache)
+        rest = missing.difference(cut).union([c[:-1] for c in cut], (b".", b",")).difference(new)
         odd = [c for c in rest if b"<|" in c]
         plain = list(rest.difference(odd))
         for part in [odd, *(plain[i : i + 4096] for i in range(0, len(plain), 4096))]:
             if part:
                 self._encode(part)
-        cache = self.cache
-        cache.update((c, cache[c[:-1]] + cache[c[-1:]]) for c in cut)
+        new.update((c, new[c[:-1]] + new[c[-1:]]) for c in cut)
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        if not self.by_words:
+            for e in self.batch(texts, add_special_tokens=False):
+                yield array("I", e.ids).tobytes()
+            return
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         # the ids don't depend on the case of A to Z, but the strings of special tokens do
         chunks = [(r if b"<|" in r else r.lower()).split() for r in raw]
-        missing = set().union(*chunks).difference(self.cache)
-        if len(self.cache) + len(missing) > CACHE_ENTRIES:
-            self.cache.clear()
-            missing = set().union(*chunks)
-        self._add(missing)
-        get = self.cache.__getitem__
+        wanted = set().union(*chunks).difference(self.new)
+        self.new.update((c, self.old[c]) for c in wanted.intersection(self.old))
+        self._add(wanted.difference(self.new))
+        get = self.new.__getitem__
         for c in chunks:
             yield b"".join(map(get, c))
-
-
-@functools.cache
+        for c in wanted:
+            if len(c) > CACHE_CHUNK:
+                del self.new[c]
+        if len(self.new) > CACHE_ENTRIES:
+            self.old, self.new = self.new, {}
+
+
+def _by_words(path: str) -> bool:
+    """Whether a tokenizer file's normaliser lower-cases, and its pre-tokenizer removes white space and cuts letters,
+    single digits and marks apart (then bytes): what the encoding by chunks relies on."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    norm, pre = told.get("normalizer") or {}, told.get("pre_tokenizer") or {}
+    norms = {n["type"] for n in norm.get("normalizers", [norm]) if n}
+    split, *rest = pre.get("pretokenizers") or [{}]
+    pattern = (split.get("pattern") or {}).get("Regex", "")
+    removed = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") is True
+    # a pattern of letters, single digits and marks (with English endings after an apostrophe) that matches no white space
+    plain = pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    bytes_ = all(p.get("type") == "ByteLevel" and not p.get("add_prefix_space") and not p.get("use_regex", True) for p in rest)
+    return "Lowercase" in norms and norms <= {"NFC", "Replace", "Lowercase"} and removed and plain and bytes_ and told["model"]["type"] == "BPE" and not told["model"].get("continuing_subword_prefix")
+
+
+@functools.lru_cache(maxsize=1)
 def _encoder(path: str) -> Encoder:
-    """One encoder a worker process: its cache serves all tasks that the process runs."""
+    """One encoder a worker process: its cache, of bounded size, serves all tasks that the process runs."""
     return Encoder(path)
 
 
-def _slices(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:
+def _slices(batch: pa.RecordBatch, most: int = SLICE) -> Iterator[tuple[list, list[str]]]:
     """Ids and texts of a batch, about `most` characters at a time, so that memory doesn't follow the longest texts."""
     ids, texts, size = [], [], 0
     for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -127,21 +137,25 @@ def _slices(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[tuple[list
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """The pieces of every document: its ids and end_id, cut after every `capacity` ids."""
+    """The pieces of every document: its ids and end_id, cut after every `capacity` ids. `deal` numbers the pieces of a
+    task in turn, so that equal rows can be told apart and spread once the pieces are written."""
     end = array("I", [end_id]).tobytes()
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
-        with _encoder(tokenizer_path) as encode:
-            for batch in batches:
-                for ids, texts in _slices(batch):
-                    out = []
-                    for doc_id, data in zip(ids, encode(texts), strict=True):
-                        data += end
-                        for k, at in enumerate(range(0, len(data), 4 * capacity)):
-                            part = data[at : at + 4 * capacity]
-                            out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-                    cols = list(zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        encode, deal = _encoder(tokenizer_path), TaskContext.get().partitionId()
+        for batch in batches:
+            for ids, texts in _slices(batch):
+                out = []
+                for doc_id, data in zip(ids, encode(texts), strict=True):
+                    data += end
+                    for k, at in enumerate(range(0, len(data), 4 * capacity)):
+                        part = data[at : at + 4 * capacity]
+                        deal = (deal + 7919) % (1 << 20)
+                        out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), deal))
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "deal"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
@@ -184,7 +198,7 @@ def reduce_and_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[tu
             if two <= room:
                 break
             k = others[-1]
-            take(((j, 2),) if k == j else ((j, 1), (k, 1)), 1 if k == j else min(left[j], left[k]))
+            take(((j, 2),) if k == j else ((j, 1), (k, 1)), left[j] // 2 if k == j else min(left[j], left[k]))
     return fixed + best_fit(left, capacity)
 
 
@@ -244,17 +258,19 @@ def pack(items: DataFrame, capacity: int = CAPACITY, solve: Callable = reduce_an
     """Adds sequence_id and offset to rows (doc_id, piece, length, ...): no sequence exceeds the capacity.
 
     A size that many rows share is ranked by (size, salt), so no task holds all rows of a size. Lengths must lie in
-    1..capacity. No rows: no rows. Rows may repeat; each gets its own place.
+    1..capacity. No rows: no rows. Rows may repeat; each gets its own place. Equal rows differ in `deal`, by which (with
+    doc_id and piece) rows are dealt to the salts; without such a column equal rows share a salt.
     """
     spark = items.sparkSession
-    salted = items.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(partitions(spark))))
+    dealt = ["doc_id", "piece", *(c for c in ("deal",) if c in items.columns)]
+    salted = items.withColumn("_salt", F.pmod(F.xxhash64(*dealt), F.lit(partitions(spark))))
     counts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `capacity` rows
     if any(not 1 <= w <= capacity for w in histogram):
         raise ValueError(f"a length lies outside 1..{capacity}")
     table = spark.sparkContext.broadcast(places(solve(histogram, capacity), capacity))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1
+    within = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*dealt)) - 1
     ranked = salted.withColumn("_within", within).join(counts.withColumn("_before", before).drop("_n"), ["length", "_salt"])
     ranked = ranked.select(*items.columns, (F.col("_before") + F.col("_within")).alias("_rank"))
     names = list(items.columns)
@@ -283,4 +299,4 @@ def best_fit_packing(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
     Null or empty text: only end_id. Longer documents are cut into pieces of `capacity`, the last may be shorter. A
     null doc_id stays null, repeated rows are packed each. No documents: no rows. Further columns are ignored.
     """
-    return pack(materialize(pieces(docs, tokenizer_path, capacity, end_id), "pieces"), capacity)
+    return pack(materialize(pieces(docs, tokenizer_path, capacity, end_id), "pieces"), capacity).drop("deal")
