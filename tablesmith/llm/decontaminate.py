@@ -22,6 +22,8 @@ from tablesmith.llm.common import materialize, small_batches
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
+#: Distinct words of which a task remembers the number beyond a block.
+NUMBERED = 300_000
 #: Bits of the map of hashed test terms that is sent to the tasks (1 MB, whatever the benchmark): a term whose bit is
 #: not set occurs in no item and gets no posting list.
 VOCABULARY_BITS = 1 << 23
@@ -110,8 +112,9 @@ def build_index(docs: DataFrame, bits: np.ndarray | None = None, block_words: in
                 if size >= block_words:
                     yield block(rows, made)
                     rows, size, made = [], 0, made + 1
-                    numbers.clear()
-                    names.clear()
+                    if len(numbers) > NUMBERED:
+                        numbers.clear()
+                        names.clear()
         if rows:
             yield block(rows, made)
 

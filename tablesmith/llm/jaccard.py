@@ -27,7 +27,7 @@ SHINGLE = 4
 PERCENT = 85
 #: Shingles that are put last in the order, by their counts over all documents; the others are ordered by hash. The
 #: number bounds what is broadcast. It only steers how long lists get, not the result.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 18
 #: Postings of one frequent shingle, by its count, that one task takes; longer lists are split by their groups.
 LIST = 4_000
 #: Members compared with one copy of their leader in a task.

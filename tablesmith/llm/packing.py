@@ -12,6 +12,7 @@ import bisect
 import functools
 import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -27,9 +28,14 @@ from tablesmith.llm.common import materialize, partitions, small_batches
 CAPACITY = 4096
 END_ID = 1
 #: Entries of each of the two generations of a worker's cache of encoded chunks, and the longest chunk it keeps (bytes).
-CACHE_ENTRIES, CACHE_CHUNK = 100_000, 48
+CACHE_ENTRIES, CACHE_CHUNK = 150_000, 48
 #: Characters encoded at a time.
 SLICE = 1_000_000
+#: Lower-case letters of Latin-1 in UTF-8: normalising leaves them as they are, and a word of them is one pre-token.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: The character that stands for a byte in a byte-level vocabulary: itself if it can be printed, else the next from 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_AS_TEXT = dict(zip((b for b in range(256) if b not in _PRINTED), range(256, 512)))
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal int"
 
 
@@ -48,7 +54,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.by_words = _by_words(path)
+        self.by_words, self.model = _by_words(path), self.tokenizer.model
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         special = [(i, t.content) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not t.normalized]
@@ -71,6 +77,10 @@ class Encoder:
         new = self.new
         cut = [c for c in missing if c[-1] in b".," and len(c) > 1 and c[-2] < 128 and c[-2:-1].isalnum()]
         rest = missing.difference(cut).union([c[:-1] for c in cut], (b".", b",")).difference(new)
+        for c in (c for c in rest if _LETTERS.fullmatch(c)):
+            word = c.decode() if c.isascii() else c.decode("latin-1").translate(_AS_TEXT)
+            new[c] = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        rest = rest.difference(new)
         odd = [c for c in rest if b"<|" in c]
         plain = list(rest.difference(odd))
         for part in [odd, *(plain[i : i + 4096] for i in range(0, len(plain), 4096))]:
