@@ -86,7 +86,7 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     named = known.where("text is not null and license_id is not null").withColumn("canonical_digest", digest(F.col("text"))).where(canonical(F.col("text")) != "")
     named = named.groupBy("canonical_digest").agg(F.min("license_id").alias("license_id"))
     rows = docs.select("doc_id", digest(F.col("text")).alias("canonical_digest"))
-    if len(named.limit(BROADCAST_LICENSES + 1).collect()) <= BROADCAST_LICENSES:
+    if named.limit(BROADCAST_LICENSES + 1).count() <= BROADCAST_LICENSES:
         return rows.join(F.broadcast(named), "canonical_digest", "left").select("doc_id", "canonical_digest", "license_id")
     counts = rows.groupBy("canonical_digest").agg(F.count(F.lit(1)).alias("n"))
     return lookup(rows, named.join(counts, "canonical_digest"), "canonical_digest", "n", F.col("doc_id")).select("doc_id", "canonical_digest", "license_id")
@@ -95,3 +95,9 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
 def known_licenses(spark) -> DataFrame:
     """The built-in texts as a table (license_id, text)."""
     return spark.createDataFrame(sorted(LICENSES.items()), "license_id string, text string")
+
+
+def read_licenses(spark, folder: str) -> DataFrame:
+    """A table (license_id, text) of the text files of a folder, such as a checked-out SPDX list: MIT.txt is `MIT`."""
+    files = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.txt)?$", 1).alias("license_id"), F.col("value").alias("text"))
+    return files.select(F.url_decode("license_id").alias("license_id"), "text")

@@ -19,7 +19,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.filter_urls(pages, url_filter.labels_of(pages, _table(spark, sf_dir, "labels")))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from tablesmith.llm.common import partitions
 
+#: Rows that a block has at most, about.
+BLOCK_ROWS = 50_000
 #: numpy draws up to so large a population; larger ones are drawn by _large.
 POPULATION = 10**9
 
@@ -80,21 +82,23 @@ def shuffle_shards(docs: DataFrame, shards: int = 8, seed: int = 42, blocks: int
     """All rows and columns of docs, plus shard (int, from 0) and slot (long, gapless from 0 in each shard).
 
     The law is `rows`: shard sizes differ by one at most. Every shard is made of `blocks` blocks (by default so many
-    that all blocks together are the shuffle partitions), each of which one task permutes. Null and repeated rows are
+    that all blocks together are the shuffle partitions and none has more than BLOCK_ROWS rows), each of which one task
+    permutes. Null and repeated rows are
     dealt like any other; no rows: no rows. docs must give the same partitions whenever it is computed, as a scan of
     files or a written table does: a task that meets another number of rows than was counted fails.
     """
     spark = docs.sparkSession
     if {"shard", "slot", "_block", "_key"} & set(docs.columns):
         docs = docs.drop("shard", "slot", "_block", "_key")
-    blocks = blocks or max(1, -(-partitions(spark) // shards))
 
     def count(batches):
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([sum(b.num_rows for b in batches)], pa.int64())], names=["p", "n"])
 
     found = {r["p"]: r["n"] for r in docs.select(docs.columns[:1]).mapInArrow(count, "p int, n long").collect()}  # a number a partition
     counts = np.array([found.get(i, 0) for i in range(max(found, default=-1) + 1)], np.int64)
-    sizes = block_sizes(int(counts.sum()), shards, blocks)
+    total = int(counts.sum())
+    blocks = blocks or max(1, -(-partitions(spark) // shards), -(-total // (shards * BLOCK_ROWS)))
+    sizes = block_sizes(total, shards, blocks)
     held, names = spark.sparkContext.broadcast(counts), list(docs.columns)
 
     def deal(batches):
@@ -114,10 +118,12 @@ def shuffle_shards(docs: DataFrame, shards: int = 8, seed: int = 42, blocks: int
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
     dealt = docs.mapInArrow(deal, f"{kinds}, _block int, _key long")
-    starts = [int(sizes[i - i % blocks : i].sum()) for i in range(len(sizes))]
-    start = F.array(*[F.lit(x).cast("long") for x in starts])[F.col("_block")]
+    # where a block begins in its shard: shards, and blocks of a shard, are as even as can be, the larger ones first
+    shard, at = F.expr(f"_block div {blocks}"), F.pmod(F.col("_block"), F.lit(blocks)).cast("long")
+    size = F.lit(total // shards) + F.when(shard < total % shards, 1).otherwise(0)
+    start = at * F.floor(size / blocks) + F.least(at, F.pmod(size, F.lit(blocks)))
     place = F.row_number().over(Window.partitionBy("_block").orderBy("_key"))
-    return dealt.withColumn("slot", start + place - 1).withColumn("shard", F.floor(F.col("_block") / blocks).cast("int")).drop("_block", "_key").select(*docs.columns, "shard", "slot")
+    return dealt.withColumn("slot", start + place - 1).withColumn("shard", shard.cast("int")).drop("_block", "_key").select(*docs.columns, "shard", "slot")
 
 
 def digests(sharded: DataFrame) -> DataFrame:

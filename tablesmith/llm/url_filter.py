@@ -13,10 +13,10 @@ from tablesmith.llm.common import partitions
 
 #: Fixed list: (verdict, rule).
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-#: Tokens of a URL that mining looks at (matching looks at all), and of a rule. With a support of s there are at most
-#: (16 + 120 + 560) / s rules of one to three tokens, whatever the number of URLs: that bounds what is broadcast.
-TOKENS, RULE_TOKENS = 16, 3
-SUPPORT, CONFIDENCE = 0.002, 0.8
+#: Tokens of a rule. Rules hold for at least SUPPORT of the labelled URLs and LEAST_ROWS of them, with at least this
+#: CONFIDENCE, and are wrong CONVICTION times as seldom as their verdict is at large, so that rules for a rare verdict can
+#: arise and rules for a common one must better the base rate. Tokens below that support are in no rule and no itemset.
+RULE_TOKENS, SUPPORT, LEAST_ROWS, CONFIDENCE, CONVICTION = 3, 0.002, 10, 0.5, 1.5
 
 
 def host(url: Column) -> Column:
@@ -58,10 +58,12 @@ class Rule(NamedTuple):
     verdict: str
     confidence: float
     support: float
+    lift: float = 1.0
 
     def order(self) -> tuple:
-        """The best rule first: confidence, support, more tokens, block, then the tokens themselves."""
-        return (-self.confidence, -self.support, -len(self.tokens), self.verdict != "block", self.tokens)
+        """The best rule first: lift (confidence over the verdict's share), confidence, support, more tokens, block,
+        then the tokens themselves."""
+        return (-self.lift, -self.confidence, -self.support, -len(self.tokens), self.verdict != "block", self.tokens)
 
 
 def prune(rules: list[Rule]) -> list[Rule]:
@@ -76,18 +78,23 @@ def prune(rules: list[Rule]) -> list[Rule]:
     return sorted((r for r in rules if not needless(r)), key=Rule.order)
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[Rule]:
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, conviction: float = 0.0, least_rows: int = 1) -> list[Rule]:
     """Rules from rows (tokens array, label block or allow) by Spark's FP-growth; none from no rows.
 
-    Rows are transactions of up to TOKENS tokens and the label. Kept are rules of up to RULE_TOKENS tokens with at
-    least this support and confidence that no shorter rule makes needless.
+    Rows are transactions of all their tokens and the label. Kept are rules of up to RULE_TOKENS tokens with at least
+    this support, confidence and conviction ((1 - the label's share) / (1 - confidence)) that no shorter rule makes
+    needless. What reaches the driver is bounded by the support, whatever the number of rows.
     """
-    made = labelled.select(F.concat(F.array(F.concat(F.lit("="), "label")), F.slice("tokens", 1, TOKENS)).alias("items"))
-    if made.isEmpty():
+    made = labelled.select(F.concat(F.array(F.concat(F.lit("="), "label")), "tokens").alias("items"))
+    share = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    total = sum(share.values())
+    if not total:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, numPartitions=partitions(labelled.sparkSession)).fit(made)
+    least = min(1.0, max(support, least_rows / total))
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=confidence, numPartitions=partitions(labelled.sparkSession)).fit(made)
     found = model.associationRules.where(F.col("consequent")[0].startswith("=") & (F.size("antecedent") <= RULE_TOKENS) & ~F.exists("antecedent", lambda t: t.startswith("=")))
-    return prune([Rule(tuple(sorted(r["antecedent"])), r["consequent"][0][1:], r["confidence"], r["support"]) for r in found.collect()])
+    rules = [Rule(tuple(sorted(r["antecedent"])), r["consequent"][0][1:], r["confidence"], r["support"], r["confidence"] / (share[r["consequent"][0][1:]] / total)) for r in found.collect()]
+    return prune([r for r in rules if 1 - share[r.verdict] / total >= conviction * (1 - r.confidence)])
 
 
 class Index:
@@ -126,18 +133,25 @@ def match(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     return rows.mapInArrow(run, f"{kinds}, mined string, mined_verdict string, mined_confidence double")
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, labels: DataFrame | None = None, default: str = "allow", support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def with_tokens(df: DataFrame) -> DataFrame:
+    """Adds host, path and tokens to rows (url, ...)."""
+    return df.withColumns({"host": host(F.col("url")), "path": path(F.col("url"))}).withColumn("tokens", tokens(F.col("host"), F.col("path"), F.col("url")))
+
+
+def labels_of(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(url, label) of the pages (page_id, url) that have labels (doc_id, toxic): block where any is toxic, else allow."""
+    told = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max("toxic").alias("toxic")).where("toxic is not null")
+    return pages.select("page_id", "url").join(told, "page_id").select("url", F.when(F.col("toxic") > 0, "block").otherwise("allow").alias("label"))
+
+
+def filter_urls(pages: DataFrame, labels: DataFrame | None = None, rules: list[tuple[str, str]] = RULES, default: str = "allow", support: float = SUPPORT, confidence: float = CONFIDENCE, conviction: float = CONVICTION, least_rows: int = LEAST_ROWS) -> DataFrame:
     """Judge every page (page_id, url): page_id, host, path, rule, verdict, and the mined rule that fits.
 
     The verdict is the list rule's, else the best mined rule's, else `default`. Rules are mined from labels (url,
-    label), by default from the pages, labelled by the list and `default` beyond it. Null urls, and those without ://, have an empty host and
-    path, no rule and the default verdict. Repeated rows are judged each; no pages: no rows.
+    label block or allow), none without labels. Null urls, and those without ://, have an empty host and path, no rule
+    and no mined rule by host. Repeated rows are judged each; no pages: no rows; pages' further columns are ignored.
     """
-
-    def parts(df: DataFrame) -> DataFrame:
-        return df.withColumns({"host": host(F.col("url")), "path": path(F.col("url"))}).withColumn("tokens", tokens(F.col("host"), F.col("path"), F.col("url")))
-
-    rows = with_rule(parts(pages.select("page_id", "url")), rules)
-    known = rows.select("tokens", F.coalesce("rule_verdict", F.lit(default)).alias("label")) if labels is None else parts(labels.select("url", "label")).where("label in ('block', 'allow')").select("tokens", "label")
-    found = match(rows.select("page_id", "host", "path", "rule", "rule_verdict", "tokens"), mine(known, support, confidence))
+    rows = with_rule(with_tokens(pages.select("page_id", "url")), rules)
+    mined = [] if labels is None else mine(with_tokens(labels.select("url", "label")).where("label in ('block', 'allow')").select("tokens", "label"), support, confidence, conviction, least_rows)
+    found = match(rows.select("page_id", "host", "path", "rule", "rule_verdict", "tokens"), mined)
     return found.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "mined_verdict", F.lit(default)).alias("verdict"), "mined", "mined_confidence")

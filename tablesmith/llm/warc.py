@@ -1,8 +1,9 @@
 """Operator 3: WARC archives through a chunked record table.
 
-Payloads are written and read as rows (record id, chunk number) of bounded size. Reading carries the byte count and
-the digest from chunk to chunk, so no record is ever held whole; the last chunk of a record has its totals. Of records
-with equal payloads, one is written as a response and the others as revisits.
+Archives are read as rows (record id, chunk number) of bounded size: reading carries the byte count and the digest from
+chunk to chunk and holds a chunk at a time, and the last chunk of a record has its totals. Writing compresses chunk by
+chunk, but takes each payload from a table's row, which Spark holds whole. Of records with equal payloads, one is
+written as a response and the others as revisits. The headers Page-ID and Refers-To-Page-ID tie records to pages.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.llm.common import lookup, materialize, new_path
+from tablesmith.llm.common import lookup, materialize, new_path, small_batches
 
 CHUNK_BYTES = 1 << 20
 #: Level of the gzip members, one a record.
@@ -33,21 +34,9 @@ CHUNKS = (
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record_id(page_id: int | None) -> str:
-    """A version 8 UUID whose low 62 bits and two further ones hold the page id; null: the nil UUID."""
-    if page_id is None:
-        return f"<urn:uuid:{uuid.UUID(int=0)}>"
-    bits = page_id & ((1 << 64) - 1)
-    return f"<urn:uuid:{uuid.UUID(int=(bits >> 62) << 126 | 8 << 76 | 1 << 64 | 2 << 62 | bits & ((1 << 62) - 1))}>"
-
-
-def page_of(record: str) -> int | None:
-    """The inverse of record_id."""
-    n = uuid.UUID(record.strip("<>").rpartition(":")[2]).int
-    if not n:
-        return None
-    bits = (n >> 126) << 62 | n & ((1 << 62) - 1)
-    return bits - (1 << 64) if bits >> 63 else bits
+def record_id(path: str, number: int) -> str:
+    """The id of a record, unique by its file (whose name no other task attempt has) and its number there."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{path}#{number}')}>"
 
 
 def _digest(sha1) -> str:
@@ -55,7 +44,7 @@ def _digest(sha1) -> str:
 
 
 def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Adds payload (UTF-8), payload_bytes, payload_sha1, record_type and refers_to to pages (page_id, url, html).
+    """Adds payload (UTF-8), payload_bytes, payload_sha1, record_type, refers_to and refers_to_url to pages (page_id, url, html).
 
     Equal payloads meet by digest only; the digest that most pages share is spread (see common.lookup). Among pages
     with equal payloads of at least least_bytes the smallest page_id is the response (repeated rows of it too; a null
@@ -64,11 +53,12 @@ def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_sha1": F.sha1("payload")})
-    first = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_sha1").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    first = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_sha1").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("_first"), F.count(F.lit(1)).alias("_n"))
     first = first.where("_n > 1 and _first is not null")
     rows = lookup(rows, first, "payload_sha1", "_n", F.struct("page_id", "url"))
-    revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
-    return rows.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("_first"))}).drop("_first")
+    revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first.page_id"))
+    named = {"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("_first.page_id")), "refers_to_url": F.when(revisit, F.col("_first.url"))}
+    return rows.withColumns(named).drop("_first")
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -95,7 +85,7 @@ def write_archives(planned: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYT
     def run(batches):
         ctx, out, n, path = TaskContext.get(), None, 0, ""
         for batch in batches:
-            ids, urls, payloads, sizes, sha, kinds, refers = (batch.column(i) for i in range(7))
+            ids, urls, payloads, sizes, sha, kinds, refers, refers_url = (batch.column(i) for i in range(8))
             for i in range(batch.num_rows):
                 if out is None:
                     path = f"{folder}/part-{ctx.partitionId():06d}-{ctx.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc.gz"
@@ -107,10 +97,10 @@ def write_archives(planned: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYT
                 page, kind, size = ids[i].as_py(), kinds[i].as_py(), sizes[i].as_py()
                 digest = base64.b32encode(bytes.fromhex(sha[i].as_py())).decode()
                 url = " ".join((urls[i].as_py() or "").split())
-                fields = [("WARC-Record-ID", record_id(page)), ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")]
+                fields = [("WARC-Record-ID", record_id(path, n)), *([("Page-ID", str(page))] if page is not None else []), ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")]
                 http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
                 if kind == "revisit":
-                    fields += [("WARC-Profile", _REVISIT), ("WARC-Refers-To", record_id(refers[i].as_py()))]
+                    fields += [("WARC-Profile", _REVISIT), ("WARC-Refers-To-Target-URI", " ".join((refers_url[i].as_py() or "").split())), ("WARC-Refers-To-Date", date), ("Refers-To-Page-ID", str(refers[i].as_py()))]
                     member(out, [header(kind, fields, len(http)), http, b"\r\n\r\n"])
                 else:
                     data = payloads[i].as_buffer()
@@ -122,7 +112,8 @@ def write_archives(planned: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYT
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], names=["path", "records", "bytes"])
 
-    chosen = planned.select("page_id", "url", "payload", "payload_bytes", "payload_sha1", "record_type", "refers_to")
+    small_batches(planned.sparkSession)
+    chosen = planned.select("page_id", "url", "payload", "payload_bytes", "payload_sha1", "record_type", "refers_to", "refers_to_url")
     return materialize(chosen.mapInArrow(run, "path string, records long, bytes long"), "warc-manifest")
 
 
@@ -189,8 +180,8 @@ def read_records(stream: io.BufferedReader, chunk_bytes: int) -> Iterator[tuple]
             if line.lower().startswith(b"content-length:"):
                 total = int(line.partition(b":")[2])
         left = before - http - 2
-        page = page_of(head["warc-record-id"])
-        base = (head["warc-record-id"], page, head.get("warc-target-uri"), kind, page_of(head["warc-refers-to"]) if kind == "revisit" else None)
+        page, refers = (int(head[k]) if k in head else None for k in ("page-id", "refers-to-page-id"))
+        base = (head["warc-record-id"], page, head.get("warc-target-uri"), kind, refers)
         sha, done, k = hashlib.sha1(), 0, 0
         while True:
             data = stream.read(min(chunk_bytes, left - done))
@@ -249,6 +240,13 @@ def archive(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, c
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Archive the pages and read the archives back: per page the totals of its record."""
-    chunks = read_archives(archive(pages, None, least_bytes), with_data=False)
-    return chunks.where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Archive the pages and read the archives back: per page the totals of its record.
+
+    A response's size is that of all its chunks in the record table and its digest the last chunk's, carried on from
+    the first; a revisit, which has no payload, has those of the response it refers to.
+    """
+    chunks = read_archives(archive(pages, None, least_bytes))
+    own = lambda c: F.max(F.when(F.col("last"), F.col(c))).alias(c)
+    sums = chunks.groupBy("record_id").agg(F.sum(F.octet_length("data")).alias("read"), *[own(c) for c in ("page_id", "payload_bytes", "payload_digest", "digest_so_far", "record_type", "refers_to")])
+    response = F.col("record_type") == "response"
+    return sums.select("page_id", F.when(response, F.col("read")).otherwise(F.col("payload_bytes")).cast("long").alias("payload_bytes"), F.when(response, F.col("digest_so_far")).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to")

@@ -239,9 +239,12 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.where("false")).count() == 0
 
 
-@given(st.integers(-(2**63), 2**63 - 1))
-def test_record_ids(i):
-    assert warc.page_of(warc.record_id(i)) == i and warc.record_id(i)[24] == "8"
+def test_record_ids_are_unique(spark):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", t) for i, t in [(1, "a"), (1, "a"), (1, "b"), (None, "c"), (None, "c"), (2, "a"), (-5, "d")]], "page_id long, url string, html string")
+    chunks = warc.read_archives(warc.archive(pages), chunk_bytes=1).collect()
+    assert len({(r.record_id, r.chunk_no) for r in chunks}) == len(chunks) and len({r.record_id for r in chunks}) == 7
+    found = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect())
+    assert found == Counter({(1, 1, "response", None): 3, (None, 1, "response", None): 2, (2, 1, "revisit", 1): 1, (-5, 1, "response", None): 1})
 
 
 def test_damaged_archive_is_noticed(spark):
@@ -269,7 +272,21 @@ def test_sharding_is_exact_and_whole(spark, sf):
         by.setdefault(r.shard, []).append(r.slot)
     assert set(by) == set(range(8)) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
-    assert {r.shard: r for r in found}
+    again = sharding.digests(sharding.shuffle_shards(docs)).collect()
+    place = lambda rs: {r.doc_id: (r.shard, r.slot) for r in rs}
+    assert place(again) == place(found) != place(sharding.shuffle_shards(docs, seed=7).collect())
+
+
+def test_sharding_is_uniform(spark):
+    """Over many seeds each of 12 rows (in 3 partitions) is in each of the 12 places about equally often."""
+    docs = spark.range(0, 12, 1, 3).withColumnRenamed("id", "doc_id").withColumn("text", F.lit("t"))
+    seen, runs = np.zeros((12, 12)), 60
+    for seed in range(runs):
+        for r in sharding.shuffle_shards(docs, shards=4, seed=seed, blocks=1).collect():
+            seen[r.doc_id, 3 * r.shard + r.slot] += 1
+    assert seen.sum(axis=0).tolist() == [runs] * 12
+    chi = ((seen - runs / 12) ** 2 / (runs / 12)).sum()
+    assert chi < 121 + 4 * (2 * 121) ** 0.5
 
 
 def test_sharding_odd_rows(spark):
@@ -471,17 +488,54 @@ URLS = [
 
 
 def test_url_rules(spark):
-    pages = spark.createDataFrame([(r[0], r[1], "h", "r") for r in URLS], "page_id long, url string, html string, rule string")
-    found = url_filter.filter_urls(pages)
+    pages = spark.createDataFrame([(r[0], r[1], "h", "r", "x", ["y"]) for r in URLS], "page_id long, url string, html string, rule string, verdict string, tokens array<string>")
+    found = url_filter.filter_urls(pages.unionByName(pages))
     by = {(r.page_id, r.host): r for r in found.collect()}
     for i, _, h, p, rule, verdict in URLS:
-        r = by[(i, h)]
-        assert (r.path, r.rule) == (p, rule) and r.verdict == (verdict or r.mined_verdict if hasattr(r, "mined_verdict") else verdict or r.verdict)
-        assert r.verdict in ("allow", "block")
-    assert found.count() == len(URLS) and url_filter.filter_urls(pages.where("false")).count() == 0
+        assert (by[(i, h)].path, by[(i, h)].rule, by[(i, h)].verdict) == (p, rule, verdict or "allow")
+    assert found.count() == 2 * len(URLS) and url_filter.filter_urls(pages.where("false")).count() == 0
+    deep = spark.createDataFrame([(1, "http://a.example.org/" + "x/" * 30_000 + "?k=1")], "page_id long, url string")
+    assert url_filter.filter_urls(deep).first().verdict == "allow"
+
+
+def test_verdicts_come_from_planted_labels(spark):
+    """Pages without a list rule are judged by rules mined from labels that are not the list's; against brute force."""
+    rng = random.Random(3)
+    urls = [(k, f"http://{rng.choice(['spam', 'shop', 'blog', 'm'])}.{rng.choice(['alpha', 'beta', 'gamma'])}.example.{rng.choice(['org', 'com'])}/{rng.choice(['en', 'es', 'casino'])}/{k}{rng.choice(['', '?ref=x', '?utm=1&aff=2'])}") for k in range(600)]
+    bad = lambda u: "spam." in u and "/en/" in u or "aff=" in u and "/casino/" in u
+    told = [(k, int(bad(u) and rng.random() < 0.9 or rng.random() < 0.03)) for k, u in urls if k % 2]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    labels = url_filter.labels_of(pages, spark.createDataFrame(told, "doc_id long, toxic int"))
+    found = {r.page_id: r for r in url_filter.filter_urls(pages, labels, support=0.02).collect()}
+    made = [(r.tokens, r.label) for r in url_filter.with_tokens(labels).select("tokens", "label").collect()]
+    share = Counter(label for _, label in made)
+    want = [r for r in brute_rules(made, max(0.02, 10 / len(made)), 0.5, False) if 1 - share[r.verdict] / len(made) >= 1.5 * (1 - r.confidence)]
+    want = url_filter.prune([r._replace(lift=r.confidence / (share[r.verdict] / len(made))) for r in want])
+    own = {r.page_id: set(r.tokens) for r in url_filter.with_tokens(pages).collect()}
+    for k, u in urls:
+        if found[k].rule is None:
+            fits = [r for r in want if set(r.tokens) <= own[k]]
+            assert found[k].verdict == (min(fits, key=url_filter.Rule.order).verdict if fits else "allow"), u
+    free = [found[k] for k, u in urls if found[k].rule is None and bad(u)]
+    assert free and all(r.verdict == "block" and r.mined for r in free)
+    assert {r.verdict for r in url_filter.filter_urls(pages).where("rule is null").collect()} == {"allow"}
+
+
+def test_url_query_is_the_list_then_the_mined_rules(spark, sf):
+    found = queries.op1_url_filter(spark, sf).collect()
+    pages = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    assert len(found) == len(pages)
+    for r in found:
+        rest = pages[r.page_id].partition("://")[2]
+        h = "".join(itertools.takewhile(lambda c: c not in "/?#", rest))
+        p = "".join(itertools.takewhile(lambda c: c not in "?#", rest[len(h) :]))
+        fits = [(len(x), v, x) for v, x in url_filter.RULES for d, _, q in (x.partition("/"),) if ("." + h.lower()).endswith("." + d) and p.startswith("/" + q)]
+        best = max(fits, default=None)
+        assert (r.host, r.path, r.rule) == (h.lower(), p, best and best[2])
+        assert r.verdict == (best[1] if best else r.mined and ("block" if r.verdict == "block" else "allow") or "allow")
 
 
-def brute_rules(rows_, support, confidence):
+def brute_rules(rows_, support, confidence, pruned=True):
     n = len(rows_)
     sets = {frozenset(c) for t, _ in rows_ for k in (1, 2, 3) for c in itertools.combinations(sorted(t), k)}
     out = []
@@ -491,7 +545,7 @@ def brute_rules(rows_, support, confidence):
             both = have.count(label)
             if both >= support * n and both / len(have) >= confidence:
                 out.append(url_filter.Rule(tuple(sorted(s)), label, both / len(have), both / n))
-    return url_filter.prune(out)
+    return url_filter.prune(out) if pruned else out
 
 
 def test_mined_rules_against_brute_force(spark):
@@ -522,6 +576,22 @@ def test_license_scan(spark):
     assert licenses.scan(odd(spark, []), licenses.known_licenses(spark)).count() == 0
 
 
+def test_licenses_of_a_folder(spark, tmp_path):
+    body = " ".join(f"clause{k} applies" for k in range(400))
+    (tmp_path / "X-1.0.txt").write_text("Copyright 1999 Someone\n" + body)
+    (tmp_path / "Zlib.txt").write_text(licenses.LICENSES["Zlib"])
+    known = licenses.read_licenses(spark, f"file://{tmp_path}")
+    found = {(r.doc_id, r.license_id) for r in licenses.scan(odd(spark, [(1, body.upper()), (2, body + " x"), (3, licenses.LICENSES["Zlib"])]), known).collect()}
+    assert found == {(1, "X-1.0"), (2, None), (3, "Zlib")}
+
+
+def test_license_query_finds_planted_texts(spark, tmp_path):
+    docs = [(k, t) for k, t in enumerate(licenses.LICENSES.values())] + [(100, "none of these")]
+    odd(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.license_id for r in queries.op4_license_scan(spark, str(tmp_path)).collect()}
+    assert found == {**dict(enumerate(licenses.LICENSES)), 100: None}
+
+
 def test_license_scan_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(licenses, "BROADCAST_LICENSES", 1)
     docs = [(k, licenses.LICENSES["MIT"]) for k in range(9)] + [(20, "x"), (21, None), (22, licenses.LICENSES["Zlib"])]
