@@ -46,8 +46,8 @@ hits as (select doc_id, count(distinct i + j) as n_hit from m, range(0, m.k) u(j
 pt as (select row_number() over () as p, item, k, list_distinct(string_split(phrase, ' ')) as t from ph),
 df as (select w, count(*) as n from (select unnest(w) as w from dw) group by 1),
 rare as (select p, arg_min(w, n) as w, count(*) as c from (select p, unnest(t) as w from pt) join df using (w) group by p),
-at as (select doc_id, unnest(w) as w, unnest(range(1, len(w) + 1)) as i from dw),
-tried as (select distinct doc_id, item, pt.k + {SLOP} as span, t, s from rare join pt using (p) join at using (w), range(greatest(1, i - pt.k - {SLOP} + 1), i + 1) r(s) where c = len(t)),
+spots as (select doc_id, unnest(w) as w, unnest(range(1, len(w) + 1)) as i from dw),
+tried as (select distinct doc_id, item, pt.k + {SLOP} as span, t, s from rare join pt using (p) join spots using (w), range(greatest(1, i - pt.k - {SLOP} + 1), i + 1) r(s) where c = len(t)),
 near as (select doc_id, string_agg(item, ',' order by item) as near_items from (select distinct tried.doc_id, item from tried join dw using (doc_id) where list_has_all(dw.w[s : s + span - 1], t)) group by doc_id),
 items as (select doc_id, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as h from (select distinct doc_id, item from m) group by doc_id)
 select d.doc_id, len(d.w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,

@@ -502,7 +502,7 @@ def test_verdicts_come_from_planted_labels(spark):
     """Pages without a list rule are judged by rules mined from labels that are not the list's; against brute force."""
     rng = random.Random(3)
     urls = [(k, f"http://{rng.choice(['spam', 'shop', 'blog', 'm'])}.{rng.choice(['alpha', 'beta', 'gamma'])}.example.{rng.choice(['org', 'com'])}/{rng.choice(['en', 'es', 'casino'])}/{k}{rng.choice(['', '?ref=x', '?utm=1&aff=2'])}") for k in range(600)]
-    bad = lambda u: "/casino/" in u and "?" not in u or "aff=" in u and "/en/" in u
+    bad = lambda u: "/casino/" in u or "aff=" in u and "/en/" in u
     told = [(k, int(bad(u) and rng.random() < 0.9 or rng.random() < 0.03)) for k, u in urls if k % 2]
     pages = spark.createDataFrame(urls, "page_id long, url string")
     labels = url_filter.labels_of(pages, spark.createDataFrame(told, "doc_id long, toxic int"))
