@@ -19,6 +19,11 @@ def first_by_key(rows: DataFrame, key: str, order: list) -> DataFrame:
     return rows.groupBy(key).agg(best.alias("_b")).select("_b._row.*")
 
 
+def anti_seen(rows: DataFrame, seen: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The first row of each key that no row of the history has; rows without a key go."""
+    return first_by_key(rows.where(F.col(key).isNotNull()), key, order).join(seen.select(key).distinct(), key, "left_anti")
+
+
 def damerau(a: str, b: str) -> int:
     """Unrestricted Damerau-Levenshtein distance in characters."""
     last: dict[str, int] = {}
@@ -98,7 +103,8 @@ def fuzzy_pairs(names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def fuzzy_groups(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """rows (seq, name normalised) -> seq, name, leader: the seq of the group's first row.
 
-    In order of seq each row without a group leads one and takes every later row that is similar to it. Done in rounds
+    Rows without a name (null or empty) lead themselves. In order of seq each row without a group leads one and takes
+    every later row that is similar to it. Done in rounds
     over the graph of similar names: a name leads once all smaller neighbours are members of other groups.
     """
     nodes = rows.where("name <> ''").groupBy("name").agg(F.min("seq").alias("s"))
@@ -116,7 +122,7 @@ def fuzzy_groups(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     taken = edges.join(leaders, edges.lo == leaders.s).groupBy("hi").agg(F.min("lo").alias("by"))
     label = nodes.join(taken, nodes.s == taken.hi, "left").select("name", F.coalesce("by", "s").alias("leader"))
     out = rows.join(label, "name", "left")
-    return out.select("seq", "name", F.when(F.col("name") == "", F.col("seq")).otherwise(F.col("leader")).alias("leader"))
+    return out.select("seq", "name", F.when(F.coalesce("name", F.lit("")) == "", F.col("seq")).otherwise(F.col("leader")).alias("leader"))
 
 
 def best_row(value: Column, confidence: Column, seq: Column) -> Column:

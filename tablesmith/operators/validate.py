@@ -13,6 +13,15 @@ from tablesmith.functions.text import format_2dp
 NUMBER = r"(?i)^[+-]?(inf|infinity|nan|([0-9]+(\.[0-9]*)?|\.[0-9]+)(e[+-]?[0-9]+)?)\z"
 
 
+#: Strings that count as booleans, whatever their case.
+BOOLEANS = ["true", "false", "yes", "no", "1", "0"]
+#: The messages; %s stands for the column, then the value.
+MISSING = "Required column '%s' is missing or empty"
+NOT_NUMBER, NOT_NUMBER_TEXT = "Column '%s' expected number", "Column '%s' expected number, got text '%s'"
+NOT_A = {"url": "Column '%s' has invalid URL: '%s'", "boolean": "Column '%s' has invalid boolean: '%s'", "email": "Column '%s' has invalid email: '%s'"}
+NOT_OBJECT = "Row data is not a JSON object"
+
+
 class Field(NamedTuple):
     name: str
     type: str = "text"
@@ -29,28 +38,37 @@ def _field(f: Field) -> tuple[Column, Column, Column, Column]:
     return there, kind == "STRING", F.try_variant_get(F.col("_v"), path, "string"), kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)")
 
 
+def _said(message: str, name: str, text: Column) -> Column:
+    """The message with the column's name and the offending value."""
+    before, _, after = message.replace("%s", name, 1).partition("%s")
+    return F.concat(F.lit(before), text, F.lit(after))
+
+
 def _type_issue(f: Field) -> Column:
     there, is_text, text, is_number = _field(f)
-    checks = {"number": (is_text & text.rlike(NUMBER)) | is_number, "url": ~is_text | text.startswith("http://") | text.startswith("https://"), "boolean": ~is_text | F.lower(text).isin("true", "false", "yes", "no", "1", "0"), "email": ~is_text | (text.contains("@") & text.contains("."))}
-    if f.type not in checks:
+    if f.type == "number":
+        wrong = F.when(is_text & ~text.rlike(NUMBER), _said(NOT_NUMBER_TEXT, f.name, text)).when(~is_text & ~is_number, NOT_NUMBER % f.name)
+        return F.when(there, wrong)
+    good = {"url": text.startswith("http://") | text.startswith("https://"), "boolean": F.lower(text).isin(*BOOLEANS), "email": text.contains("@") & text.contains(".")}
+    if f.type not in good:
         return F.lit(None).cast("string")
-    return F.when(there & ~F.coalesce(checks[f.type], F.lit(False)), f"field '{f.name}' is not a valid {f.type}")
+    return F.when(there & is_text & ~good[f.type], _said(NOT_A[f.type], f.name, text))
 
 
 def _required_issue(f: Field) -> Column:
     there, is_text, text, _ = _field(f)
     if not f.required:
         return F.lit(None).cast("string")
-    return F.when(~F.coalesce(there, F.lit(False)) | (is_text & (text == "")), f"required field '{f.name}' is missing")
+    return F.when(~F.coalesce(there, F.lit(False)) | (is_text & (text == "")), MISSING % f.name)
 
 
 def validate(rows: DataFrame, fields: list[Field], min_confidence: float = 0.5) -> DataFrame:
     """Adds issues (array) and is_valid to rows (data JSON, confidence, ...): confidence, then required, then types."""
     v = F.col("_v")
     is_object = v.isNotNull() & F.schema_of_variant(v).startswith("OBJECT")
-    low = F.when(F.col("confidence") < min_confidence, F.concat(F.lit("confidence "), format_2dp(F.col("confidence")), F.lit(f" is below {min_confidence:.2f}")))
+    low = F.when(F.col("confidence") < min_confidence, F.concat(F.lit("Confidence "), format_2dp(F.col("confidence")), F.lit(f" below threshold {min_confidence:.2f}")))
     fields_ = [F.when(is_object, c) for c in [*map(_required_issue, fields), *map(_type_issue, fields)]]
-    issues = F.array_compact(F.array(low, *fields_, F.when(~F.coalesce(is_object, F.lit(False)), "data is not an object")))
+    issues = F.array_compact(F.array(low, *fields_, F.when(~F.coalesce(is_object, F.lit(False)), NOT_OBJECT)))
     return rows.withColumn("_v", F.try_parse_json(F.col("data"))).withColumn("issues", issues).drop("_v").withColumn("is_valid", F.size("issues") == 0)
 
 

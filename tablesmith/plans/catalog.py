@@ -72,18 +72,55 @@ class Catalog:
         writer = rows.write.mode("append")
         (writer.partitionBy("run_id") if "run_id" in names else writer).parquet(f"{self.root}/{table}")
 
+    def of_run(self, table: str, run_id: str) -> DataFrame:
+        return self.read(table).where(F.col("run_id") == run_id)
+
+    def replace_run(self, table: str, run_id: str, rows: DataFrame) -> None:
+        """Put rows in the place of the run's rows (rows may be made from them): an update of a status or a group."""
+        from tablesmith.operators.shared import written
+
+        kept = written(rows.withColumn("run_id", F.lit(run_id)), table)
+        self._drop(table, run_id)
+        self.append(table, kept)
+
+    def pending(self, run_id: str) -> DataFrame:
+        """The work queue: search results that are still to be fetched, in order of rank."""
+        return self.of_run("search_results", run_id).where(F.col("status") == "pending").orderBy("rank", "result_id")
+
+    def set_schema(self, run_id: str, columns: str, confirmed: bool, at: int) -> None:
+        self.replace_run("run_schemas", run_id, self.spark.createDataFrame([(columns, confirmed, at)], "columns string, confirmed boolean, created_at long"))
+
+    def schema_of(self, run_id: str):
+        """The run's row of run_schemas, or None."""
+        return self.of_run("run_schemas", run_id).first()
+
+    def log(self, run_id: str, at: int, message: str, level: str = "info", number: int = 0) -> None:
+        self.append("run_logs", self.spark.createDataFrame([(run_id, number, level, message, at)], TABLES["run_logs"]))
+
+    def settings(self) -> DataFrame:
+        """key, value: the defaults, and the last value that was set for each key."""
+        last = self.read("settings").groupBy("key").agg(F.max_by("value", "version").alias("value"))
+        return upsert(self.spark.createDataFrame(sorted(DEFAULTS.items()), "key string, value string"), last, "key")
+
+    def set_setting(self, key: str, value: str) -> None:
+        version = self.read("settings").agg(F.coalesce(F.max("version"), F.lit(0))).first()[0] + 1
+        self.append("settings", self.spark.createDataFrame([(key, value, version)], TABLES["settings"]))
+
     def set_status(self, run_id: str, seq: int, status: str, at: int, error: str | None = None, stats: str | None = None) -> None:
         row = self.spark.createDataFrame([(run_id, seq, status, error, stats, at)], TABLES["run_status"])
         self.append("run_status", row)
 
+    def _drop(self, table: str, run_id: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/run_id={run_id}")
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
     def delete(self, run_id: str) -> None:
         """Drop the run's partition of every table."""
-        jvm = self.spark._jvm
         for n, kinds in TABLES.items():
             if "run_id" in kinds:
-                p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}/run_id={run_id}")
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                self._drop(n, run_id)
 
-    def runs(self, limit: int = 50, offset: int = 0) -> DataFrame:
-        """History: newest first."""
-        return self.read("runs").join(latest_status(self.read("run_status")), "run_id", "left").orderBy(F.desc("created_at"), "run_id").offset(offset).limit(limit)
+    def runs(self, limit: int | None = 50, offset: int = 0) -> DataFrame:
+        """History: newest first; all runs, in any order, without a limit."""
+        found = self.read("runs").join(latest_status(self.read("run_status")), "run_id", "left")
+        return found if limit is None else found.orderBy(F.desc("created_at"), "run_id").offset(offset).limit(limit)

@@ -1,7 +1,8 @@
-"""The two pipelines: a question to a typed table, and to a ranked list of images."""
+"""The two pipelines, a question to a typed table and to a ranked list of images, and the verbs that control them."""
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 
@@ -9,96 +10,310 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablesmith.functions.html import parse_html
-from tablesmith.functions.text import normalize_name, query_variations
+from tablesmith.functions.text import data_url, format_2dp, normalize_name
+from tablesmith.operators import flow
 from tablesmith.operators.dedup import first_by_key, fuzzy_groups, merge_groups
 from tablesmith.operators.shared import written
 from tablesmith.operators.validate import Field, valid_only, validate
-from tablesmith.plans.catalog import Catalog
+from tablesmith.plans import images, planning
+from tablesmith.plans.catalog import TERMINAL, Catalog
 from tablesmith.sources import providers, sinks
 
+#: Pages that are read between two looks at the stop limits.
+BATCH_PAGES = 200
+#: Micro-dollars of a search.
+SEARCH_MICROS = 5000
 
-def page_rows(pages: DataFrame, fields: list[Field], model=None) -> DataFrame:
-    """pages (url, html) -> extracted rows with seq, in order of url. Only a model's texts are cut, not the offline extractor's."""
+
+def page_rows(pages: DataFrame, fields: list[Field], model=None, most_chars: int | None = 12_000) -> DataFrame:
+    """pages (url, html) -> extracted rows with their place in the page. Only a model's texts are cut, not the offline extractor's."""
     docs = pages.select("url", parse_html("html").alias("p")).select("url", "p.title", "p.text")
-    found = providers.extract(docs, model, fields) if model else providers.extract(docs, providers.TitleExtractor(), fields, None)
-    return found.withColumn("seq", F.xxhash64("source_url", "data"))
+    return providers.extract(docs, model, fields, most_chars) if model else providers.extract(docs, providers.TitleExtractor(), fields, None)
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """Adds seq to extracted rows: from 0, by source_url and place; rows that are equal in both by their data."""
+    return flow.numbered(rows, ["source_url", "place", "data"], "seq")
 
 
 def dedup_rows(valid: DataFrame, name: str, fields: list[Field], threshold: float = 0.85) -> DataFrame:
-    """Valid rows (seq, data, confidence, source_url) -> one merged row per entity."""
-    flat = valid.select("seq", "confidence", "source_url", *[F.get_json_object("data", f"$['{f.name}']").alias(f.name) for f in fields], normalize_name(F.get_json_object("data", f"$['{name}']")).alias("_name"))
+    """Valid rows (seq, data, confidence, source_url) -> one merged row per entity, with leader: its first row's seq.
+
+    seq is unique and bears the order. Rows meet by their names, so repeated rows count once each; a row without a name
+    is an entity of its own.
+    """
+    return merge_groups(with_leaders(valid, name, fields, threshold), "leader", [f.name for f in fields])
+
+
+def with_leaders(valid: DataFrame, name: str, fields: list[Field], threshold: float = 0.85) -> DataFrame:
+    """Valid rows with the fields as columns and leader, the seq of the first row of the entity."""
+    flat = valid.select("seq", "data", "confidence", "source_url", *[F.get_json_object("data", f"$['{f.name}']").alias(f.name) for f in fields], normalize_name(F.get_json_object("data", f"$['{name}']")).alias("_name"))
     flat = written(flat, "rows")
-    groups = fuzzy_groups(flat.select("seq", F.col("_name").alias("name")), threshold).select("seq", "leader")
-    return merge_groups(flat.drop("_name").join(groups, "seq"), "leader", [f.name for f in fields])
+    groups = fuzzy_groups(flat.select("seq", F.col("_name").alias("name")).where("name <> ''"), threshold)
+    label = groups.groupBy(F.col("name").alias("_name")).agg(F.min("leader").alias("leader"))  # one leader a name
+    return flat.join(label, "_name", "left").withColumn("leader", F.coalesce("leader", "seq")).drop("_name")
 
 
 class ResearchEngine:
-    """The control verbs over a catalog: start, status, rows, export, history, delete."""
+    """The control verbs over a catalog. A run's steps leave their results in the catalog's tables and a line in its log,
+    so a run that is paused, or whose driver is lost, is resumed at the first step that isn't done."""
 
-    def __init__(self, spark: SparkSession, root: str, pages: DataFrame, search=None, model=None):
+    def __init__(self, spark: SparkSession, root: str, pages: DataFrame, search=None, model=None, planner: planning.TextModel | None = None, image_search=None):
         self.spark, self.catalog, self.pages = spark, Catalog(spark, root), pages
-        self.search, self.model = search or providers.CorpusSearch(pages), model
+        self.search, self.model, self.planner = search or providers.CorpusSearch(pages), model, planner or planning.OfflineModel()
+        self.image_search = image_search or images.CorpusImages(pages)
 
-    def start_run(self, query: str, fields: list[Field] | None = None, target_rows: int = 50, min_confidence: float = 0.5, threshold: float = 0.85) -> str:
-        """Run the table pipeline: search, fetch, parse, extract, validate, deduplicate, store; returns the run's id."""
-        fields = fields or [Field("name", "text", True), Field("website", "url", True)]
-        run_id, now = uuid.uuid4().hex, int(time.time())
+    # runs
+
+    def start_run(self, query: str, fields: list[Field] | None = None, run_type: str = "table", confirm: bool = True, **limits) -> str:
+        """Start a run and take it as far as it goes; returns its id.
+
+        limits (target_row_count, max_budget_usd, max_duration_seconds, ...) override the settings for this run where
+        they are positive numbers. Without confirm a table run waits, pending, for confirm_schema.
+        """
         if not query.strip():
             raise ValueError("an empty query")
-        tag = lambda df: df.withColumns({"run_id": F.lit(run_id), "created_at": F.lit(now)})
-        self.catalog.append("runs", tag(self.spark.createDataFrame([(query, "table")], "query string, run_type string")))
+        run_id = uuid.uuid4().hex
+        settings = {r["key"]: r["value"] for r in self.catalog.settings().collect()}
+        config = settings | {k: str(planning.positive(v, float(settings[k]))) for k, v in limits.items()}
+        self.catalog.append("runs", self._tagged(run_id, self.spark.createDataFrame([(query, run_type, json.dumps(config))], "query string, run_type string, config string")))
+        self._set(run_id, "running")
+        try:
+            if run_type == "images":
+                self._image_run(run_id, query, config)
+                return run_id
+            intent = planning.interpret(query, self.planner)
+            fields = planning.named_only(fields or planning.plan_schema(intent, self.planner))
+            self.catalog.set_schema(run_id, json.dumps([f._asdict() for f in fields]), confirm, int(time.time()))
+            searches = planning.plan_searches(intent, fields, self.planner)
+            searches += planning.expand(searches, intent["languages"], self.planner)
+            rows = [(str(k), q["query_text"], q["language"], q["priority"], k // 5, "pending") for k, q in enumerate(searches)]
+            self.catalog.append("search_queries", self._tagged(run_id, self.spark.createDataFrame(rows, "query_id string, query_text string, language string, priority int, batch_number int, status string")))
+            self._done(run_id, "plan")
+        except Exception as e:
+            self._set(run_id, "failed", str(e)[:500])
+            raise
+        if not confirm:
+            self._set(run_id, "pending")
+            return run_id
+        return self._continue(run_id)
+
+    def confirm_schema(self, run_id: str, fields: list[Field] | None = None) -> str:
+        """Go on with a run that waits for its schema, with these columns if any are given."""
+        if self._status(run_id) != "pending":
+            raise ValueError("the run doesn't wait for a schema")
+        fields = planning.named_only(fields or self.get_run_schema(run_id))
+        self.catalog.set_schema(run_id, json.dumps([f._asdict() for f in fields]), True, int(time.time()))
+        self._set(run_id, "running")
+        return self._continue(run_id)
+
+    def cancel_run(self, run_id: str) -> None:
+        self._active(run_id)
+        self._set(run_id, "cancelled")
+
+    def pause_run(self, run_id: str) -> None:
+        """The run stops after the step or batch it is in."""
+        self._active(run_id)
+        self._set(run_id, "paused")
+
+    def resume_run(self, run_id: str) -> str:
+        if self._status(run_id) != "paused":
+            raise ValueError("the run isn't paused")
+        self._set(run_id, "running")
+        return self._continue(run_id)
+
+    def _active(self, run_id: str) -> None:
+        if self._status(run_id) in (None, *TERMINAL):
+            raise ValueError("the run isn't active")
+
+    def _status(self, run_id: str) -> str | None:
+        found = self.get_run(run_id)
+        return found["status"] if found else None
+
+    def _set(self, run_id: str, status: str, error: str | None = None, stats: str | None = None) -> None:
+        seq = self.catalog.of_run("run_status", run_id).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1
+        self.catalog.set_status(run_id, seq, status, int(time.time()), error, stats)
+
+    def _tagged(self, run_id: str, rows: DataFrame) -> DataFrame:
+        return rows.withColumns({"run_id": F.lit(run_id), "created_at": F.lit(int(time.time()))})
+
+    def _done(self, run_id: str, step: str) -> None:
+        number = self.catalog.of_run("run_logs", run_id).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] + 1
+        self.catalog.log(run_id, int(time.time()), f"done: {step}", number=number)
+
+    def _is_done(self, run_id: str, step: str) -> bool:
+        return not self.catalog.of_run("run_logs", run_id).where(F.col("message") == f"done: {step}").isEmpty()
+
+    def _continue(self, run_id: str) -> str:
+        config = json.loads(self.get_run(run_id)["config"])
+        fields = self.get_run_schema(run_id)
         try:
-            queries = self.spark.createDataFrame([(0, query, 1)], "query_id long, query_text string, priority int")
-            results = providers.collect_results(self.search.search(queries).join(queries.select("query_id", "priority"), "query_id"))
-            results = results.select(F.xxhash64("url").cast("string").alias("result_id"), F.col("query_id").cast("string").alias("query_id"), "url", "title", "snippet", F.col("position").alias("rank"), F.lit("pending").alias("status"))
-            self.catalog.append("search_results", tag(results))
-            fetched = written(providers.fetch(results.select("url"), self.pages), "fetched")
-            rows = written(validate(page_rows(fetched.where("error is null"), fields, self.model), fields, min_confidence), "validated")
-            merged = dedup_rows(valid_only(rows), fields[0].name, fields, threshold)
-            final = merged.orderBy(F.desc("confidence"), "leader").limit(target_rows)
-            final = written(final.select("*", F.to_json(F.struct(*[f.name for f in fields])).alias("data"), F.col("leader").cast("string").alias("entity_row_id")), "final")
-            self.catalog.append("entity_rows", tag(final.select("entity_row_id", F.col("leader").alias("seq"), "data", "confidence", F.lit("final").alias("status"), F.col("entity_row_id").alias("dedup_group_id"))))
-            self.catalog.append("row_sources", tag(final.select("entity_row_id", F.explode("sources").alias("url"))))
-            stats = rows.agg(F.count(F.lit(1)).alias("rows_found"), F.count_if("is_valid").alias("rows_valid")).crossJoin(fetched.agg(F.count_if(F.col("error").isNull()).alias("pages_fetched"), F.count_if(F.col("error").isNotNull()).alias("pages_failed")))
-            self.catalog.set_status(run_id, 1, "completed", now, None, stats.select(F.to_json(F.struct("*"))).first()[0])
+            for step, work in (("search", self._search), ("extract", self._extract), ("dedup", self._dedup)):
+                if self._status(run_id) != "running":
+                    return run_id
+                if not self._is_done(run_id, step):
+                    if not work(run_id, fields, config):
+                        return run_id
+                    self._done(run_id, step)
+            self._set(run_id, "completed", stats=json.dumps(self._stats(run_id)))
         except Exception as e:
-            self.catalog.set_status(run_id, 1, "failed", now, str(e)[:500])
+            self._set(run_id, "failed", str(e)[:500])
             raise
         return run_id
 
+    def _search(self, run_id: str, fields: list[Field], config: dict) -> bool:
+        queries = written(self.catalog.of_run("search_queries", run_id).withColumn("query_id", F.col("query_id").cast("long")), "queries")
+        found = written(self.search.search(queries.select("query_id", "query_text")).join(queries.select("query_id", "priority"), "query_id"), "results")
+        counts = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("result_count"))
+        ranked = flow.numbered(providers.collect_results(found), ["priority", "query_id", "position"], "rank")
+        results = ranked.select(F.xxhash64("url").cast("string").alias("result_id"), F.col("query_id").cast("string"), "url", "title", "snippet", "rank", F.lit("pending").alias("status"))
+        self.catalog.replace_run("search_results", run_id, results)
+        told = queries.drop("result_count", "status", "run_id").join(counts, "query_id", "left").withColumns({"status": F.lit("completed"), "result_count": F.coalesce("result_count", F.lit(0))})
+        self.catalog.replace_run("search_queries", run_id, told)
+        return True
+
+    def _extract(self, run_id: str, fields: list[Field], config: dict) -> bool:
+        """Fetch and extract pending results a batch at a time, until a limit is reached or none is left."""
+        n_queries = self.catalog.of_run("search_queries", run_id).count()
+        limits = {"target_rows": float(config["target_row_count"]), "max_cost_micros": float(config["max_budget_usd"]) * 1e6, "max_seconds": float(config["max_duration_seconds"]), "saturation": float(config["saturation_threshold"])}
+        began = time.time()
+        while True:
+            batch = written(self.catalog.pending(run_id).limit(BATCH_PAGES), "batch")
+            if batch.isEmpty():
+                return True
+            if self._status(run_id) != "running":
+                return False
+            fetched = written(providers.fetch(batch.select("result_id", "url"), self.pages), "fetched")
+            cut = int(float(config["max_extraction_text_chars"]))
+            rows = written(in_order(validate(page_rows(fetched.where("error is null"), fields, self.model, cut), fields, float(config["min_confidence_threshold"]))), "validated")
+            base = self.catalog.of_run("entity_rows", run_id).count()
+            made = rows.select(F.concat(F.lit(f"{run_id}-"), F.col("seq") + base).alias("entity_row_id"), (F.col("seq") + base).alias("seq"), "data", "confidence", F.when(F.col("is_valid"), "valid").otherwise("invalid").alias("status"), "source_url", "source_title")
+            made = written(made, "rows")
+            self.catalog.append("entity_rows", self._tagged(run_id, made))
+            self.catalog.append("row_sources", self._tagged(run_id, made.select("entity_row_id", F.col("source_url").alias("url"), F.col("source_title").alias("title"))))
+            self.catalog.append("fetched_pages", self._tagged(run_id, fetched.select("result_id", F.col("result_id").alias("page_id"), "url", "error", F.lit(int(time.time())).alias("fetched_at"))))
+            state = fetched.select("result_id", F.when(F.col("error").isNull(), "fetched").otherwise("failed").alias("_new"))
+            told = self.catalog.of_run("search_results", run_id).join(state, "result_id", "left").withColumn("status", F.coalesce("_new", "status")).drop("_new")
+            self.catalog.replace_run("search_results", run_id, told)
+            new = made.where("status = 'valid'").count()
+            total = self.catalog.of_run("entity_rows", run_id).where("status = 'valid'").count()
+            pages = self.catalog.of_run("fetched_pages", run_id).where("error is null").count()
+            cost = n_queries * SEARCH_MICROS + (pages if self.model else 0)
+            reason = self.spark.range(1).select(flow.stop_reason(F.lit(total), F.lit(cost), F.lit(time.time() - began), F.lit(new), F.lit(total), limits)).first()[0]
+            if reason:
+                self._done(run_id, f"stopped: {reason}")
+                return True
+
+    def _dedup(self, run_id: str, fields: list[Field], config: dict) -> bool:
+        """Keep the members with their group, and put a final row with merged data beside them for each group."""
+        rows = written(self.catalog.of_run("entity_rows", run_id), "members")
+        urls = self.catalog.of_run("row_sources", run_id).select("entity_row_id", F.col("url").alias("source_url"))
+        valid = rows.where("status = 'valid'").join(urls, "entity_row_id")
+        grouped = written(with_leaders(valid, fields[0].name, fields, float(config["dedup_similarity_threshold"])), "groups")
+        merged = merge_groups(grouped, "leader", [f.name for f in fields])
+        group = F.concat(F.lit(f"{run_id}-g"), F.col("leader"))
+        final = merged.select(group.alias("entity_row_id"), F.col("leader").alias("seq"), F.to_json(F.struct(*[f.name for f in fields])).alias("data"), "confidence", F.lit("final").alias("status"), group.alias("dedup_group_id"), "sources")
+        final = written(final, "final")
+        members = rows.drop("dedup_group_id").join(grouped.select("seq", group.alias("dedup_group_id")), "seq", "left")
+        members = members.withColumn("status", F.when(F.col("dedup_group_id").isNotNull(), "merged").otherwise(F.col("status")))
+        self.catalog.replace_run("entity_rows", run_id, members.select("entity_row_id", "seq", "data", "confidence", "status", "dedup_group_id", "created_at").unionByName(self._tagged(run_id, final).select("entity_row_id", "seq", "data", "confidence", "status", "dedup_group_id", F.col("created_at").cast("long"))))
+        self.catalog.append("row_sources", self._tagged(run_id, final.select("entity_row_id", F.explode("sources").alias("url"))))
+        return True
+
+    def _stats(self, run_id: str) -> dict:
+        rows, pages = self.catalog.of_run("entity_rows", run_id), self.catalog.of_run("fetched_pages", run_id)
+        found = rows.agg(F.count_if(F.col("status") != "final").alias("rows_found"), F.count_if(F.col("status") == "merged").alias("rows_valid"), F.count_if(F.col("status") == "final").alias("unique_rows")).first()
+        read = pages.agg(F.count_if(F.col("error").isNull()).alias("pages_fetched"), F.count_if(F.col("error").isNotNull()).alias("pages_failed")).first()
+        asked = self.catalog.of_run("search_queries", run_id).agg(F.count(F.lit(1)).alias("queries_executed")).first()
+        why = self.catalog.of_run("run_logs", run_id).where(F.col("message").startswith("done: stopped: ")).first()
+        return {**found.asDict(), **read.asDict(), **asked.asDict(), "stop_reason": why["message"].removeprefix("done: stopped: ") if why else None}
+
+    def _image_run(self, run_id: str, query: str, config: dict) -> None:
+        queries = written(images.image_queries(self.spark, query, self.planner if not isinstance(self.planner, planning.OfflineModel) else None), "queries")
+        self.catalog.append("search_queries", self._tagged(run_id, queries.select(F.col("query_id").cast("string"), "query_text", F.lit("completed").alias("status"))))
+        found = images.collect_images(self.image_search.search_images(queries))
+        best = images.best_images(images.score_images(found, query, self.planner), most=int(float(config["target_row_count"])))
+        self.catalog.append("image_results", self._tagged(run_id, best))
+        self._set(run_id, "completed", stats=json.dumps({"images": self.catalog.of_run("image_results", run_id).count()}))
+
+    # reads
+
     def get_run(self, run_id: str):
-        return self.catalog.runs().where(F.col("run_id") == run_id).first()
+        """The run with its status, or None."""
+        return self.catalog.runs(limit=None).where(F.col("run_id") == run_id).first()
+
+    def list_runs(self, limit: int = 50, offset: int = 0) -> DataFrame:
+        return self.catalog.runs(limit, offset).drop("config")
+
+    def get_run_schema(self, run_id: str) -> list[Field]:
+        """The columns; none for a run without a schema, or whose columns can't be read."""
+        found = self.catalog.schema_of(run_id)
+        try:
+            return [Field(**c) for c in json.loads(found["columns"])] if found else []
+        except (ValueError, TypeError):
+            return []
 
     def get_run_rows(self, run_id: str) -> DataFrame:
-        rows = self.catalog.read("entity_rows").where(F.col("run_id") == run_id)
-        return sinks.with_sources(rows, self.catalog.read("row_sources").where(F.col("run_id") == run_id).drop("run_id"))
+        """The final rows with their sources, in order of seq."""
+        rows = self.catalog.of_run("entity_rows", run_id).where("status = 'final'")
+        return sinks.with_sources(rows, self.catalog.of_run("row_sources", run_id).drop("run_id")).orderBy("seq")
 
-    def export_run(self, run_id: str, fields: list[str], path: str, kind: str) -> None:
-        sinks.export(self.get_run_rows(run_id), fields, path, kind)
+    def get_run_logs(self, run_id: str, level: str | None = None, most: int = 1000) -> DataFrame:
+        """The newest lines."""
+        logs = self.catalog.of_run("run_logs", run_id)
+        return (logs if level is None else logs.where(F.col("level") == level)).orderBy(F.desc("id")).limit(most)
 
-    def list_runs(self, limit: int = 50, offset: int = 0) -> DataFrame:
-        return self.catalog.runs(limit, offset)
+    def get_image_results(self, run_id: str) -> DataFrame:
+        return self.catalog.of_run("image_results", run_id).orderBy(F.desc_nulls_last("score"), "idx")
+
+    def proxy_image(self, pages: DataFrame, url: str) -> str | None:
+        """An image of a table (url, content, content_type) as a data URL; null if it is absent, no image or over 10 MiB."""
+        one = pages.where((F.col("url") == url) & F.col("content_type").startswith("image/") & (F.octet_length("content") <= 10 << 20))
+        found = one.select(data_url(F.col("content"), F.col("content_type")).alias("d")).first()
+        return found["d"] if found else None
+
+    def export_run(self, run_id: str, path: str, kind: str, fields: list[str] | None = None) -> None:
+        """Export a run's final rows, or its images: CSV, JSON or XLSX by kind."""
+        if self.get_run(run_id)["run_type"] == "images":
+            sinks.export(image_rows(self.get_image_results(run_id)), IMAGE_COLUMNS, path, kind)
+        else:
+            sinks.export(self.get_run_rows(run_id), fields or [f.name for f in self.get_run_schema(run_id)], path, kind)
 
     def delete_run(self, run_id: str) -> None:
         self.catalog.delete(run_id)
 
+    # settings
 
-def image_queries(query: DataFrame) -> DataFrame:
-    """query (query) -> query_id, query_text by the static variations."""
-    return query.select(F.posexplode(query_variations(F.col("query"))).alias("query_id", "query_text"))
+    def get_settings(self) -> dict[str, str]:
+        return {r["key"]: r["value"] for r in self.catalog.settings().collect()}
 
+    def get_setting(self, key: str) -> str | None:
+        return self.get_settings().get(key)
+
+    def update_setting(self, key: str, value: str) -> None:
+        self.catalog.set_setting(key, value)
 
-def rank_images(images: DataFrame, k: int, least: float = 0.7) -> DataFrame:
-    """images (idx, image_url, score) -> the k best distinct ones of at least this score, ties by idx."""
-    distinct = first_by_key(images, "image_url", ["idx"])
-    return distinct.where(F.col("score") >= least).orderBy(F.desc("score"), "idx").limit(k)
 
+#: The columns of an image export.
+IMAGE_COLUMNS = ["title", "image_url", "thumbnail_url", "source_url", "width", "height", "score"]
+
+
+def image_rows(found: DataFrame) -> DataFrame:
+    """Image results as rows to export: seq, data of IMAGE_COLUMNS (absent sizes and scores empty), confidence, sources."""
+    cell = {c: F.coalesce(format_2dp(F.col(c)) if c == "score" else F.col(c).cast("string"), F.lit("")).alias(c) for c in IMAGE_COLUMNS}
+    source = F.array(F.struct(F.col("source_url").alias("url"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("snippet")))
+    return found.select(F.col("idx").alias("seq"), F.to_json(F.struct(*cell.values())).alias("data"), F.coalesce("score", F.lit(0.0)).alias("confidence"), source.alias("sources"))
+
+
+def rank_images(found: DataFrame, k: int, least: float = images.LEAST_SCORE) -> DataFrame:
+    """images (idx, image_url, score) -> the k best distinct ones of at least this score, ties by idx."""
+    return images.best_images(first_by_key(found, "image_url", ["idx"]), least, k)
 
-def in_chunks(rows: DataFrame, order: str, size: int) -> DataFrame:
-    """Adds chunk: rows are scored in chunks of `size` in order."""
-    from tablesmith.operators.flow import numbered
 
-    return numbered(rows, [order], "position").withColumn("chunk", F.floor(F.col("position") / size))
+def run_stats(results: DataFrame) -> DataFrame:
+    """results (run_id, fetched boolean, query) -> counts and percent of a run."""
+    ok, n = F.count_if("fetched"), F.count(F.lit(1))
+    return results.groupBy("run_id").agg(n.alias("rows_found"), ok.alias("pages_fetched"), (n - ok).alias("pages_failed"), F.countDistinct("query").alias("queries_executed"), F.round(100.0 * ok / n).cast("long").alias("percent"))
 
 
 def last_of(rows: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:

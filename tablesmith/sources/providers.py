@@ -84,6 +84,71 @@ def fetch(urls: DataFrame, pages: DataFrame, most_bytes: int = 5_000 * 1024) ->
     return out.withColumn("error", error).withColumn("html", F.when(F.col("error").isNull(), F.col("html")))
 
 
+def decode_rows(answer: str) -> list[tuple[str, float]]:
+    """(data JSON, confidence) of each row of a model's answer {"rows": [{"data", "confidence"}]}.
+
+    A missing or null confidence is 0.5. Anything of a wrong type, wherever it stands, makes the whole answer a
+    ValueError, so a page gives all of its rows or none.
+    """
+    import json
+
+    found = json.loads(answer)
+    if not isinstance(found, dict) or not isinstance(found.get("rows"), list):
+        raise ValueError("an answer has no rows")
+    made = []
+    for r in found["rows"]:
+        if not isinstance(r, dict) or "data" not in r:
+            raise ValueError("a row has no data")
+        c = r.get("confidence")
+        if c is not None and (isinstance(c, bool) or not isinstance(c, (int, float))):
+            raise ValueError("a confidence is no number")
+        made.append((json.dumps(r["data"], ensure_ascii=False), 0.5 if c is None else float(c)))
+    return made
+
+
+class AnswerExtractor:
+    """Extraction by a model that answers texts; see decode_rows."""
+
+    def __init__(self, complete: Callable[[str, str], str]):
+        self.complete = complete
+
+    def extract(self, url: str, title: str, text: str, fields: list) -> list[tuple[str, float]]:
+        import json
+
+        return decode_rows(self.complete("extract", json.dumps({"columns": [f.name for f in fields], "title": title, "url": url, "text": text}, ensure_ascii=False)))
+
+
+class FallbackSearch:
+    """Searches with the first provider, again after errors worth it, then with the second."""
+
+    def __init__(self, primary: SearchProvider, fallback: SearchProvider | None = None, retries: int = 2, sleep: Callable[[float], None] = time.sleep):
+        self.primary, self.fallback, self.retries, self.sleep = primary, fallback, retries, sleep
+
+    def search(self, queries: DataFrame) -> DataFrame:
+        try:
+            return with_retry(lambda: self.primary.search(queries), self.retries, sleep=self.sleep)
+        except Exception:
+            if self.fallback is None:
+                raise
+            return with_retry(lambda: self.fallback.search(queries), self.retries, sleep=self.sleep)
+
+
+def rate_limit_slots(requests: DataFrame, interval_ms: int = 2000, burst: int = 3) -> DataFrame:
+    """requests (host, at_ms, seq) -> with slot_ms, the earliest time at which each may go: a token bucket per host.
+
+    A bucket holds `burst` tokens and gets one each interval. In order of (at_ms, seq) request k of a host (from 0) goes
+    at the latest of at_ms and, over all earlier ones j whose bucket is not refilled, their time and (k - j - burst + 1)
+    intervals: max(at[k], max over j <= k of (at[j] + (k - j - burst + 1) * interval)).
+    """
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("host").orderBy("at_ms", "seq")
+    k = F.row_number().over(w) - 1
+    placed = requests.withColumn("_k", k)
+    ahead = F.max(F.col("at_ms") - F.col("_k") * interval_ms).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return placed.withColumn("slot_ms", F.greatest(F.col("at_ms"), ahead + (F.col("_k") - (burst - 1)) * interval_ms)).drop("_k")
+
+
 class TitleExtractor:
     """Offline model: one row a document, named by its title."""
 
@@ -95,8 +160,8 @@ class TitleExtractor:
 
 
 def extract(docs: DataFrame, model: ModelProvider, fields: list, most_chars: int | None = 12_000) -> DataFrame:
-    """docs (url, title, text) of more than 50 bytes -> data, confidence, source_url, source_title; a failing document
-    gives no rows. The model sees the first most_chars characters of a text, all of it if that is None."""
+    """docs (url, title, text) of more than 50 bytes -> data, confidence, source_url, source_title, place (from 0 in
+    the document); a failing document gives no rows. The model sees the first most_chars characters of a text, all of it if that is None."""
     text = F.col("text") if most_chars is None else F.left("text", F.lit(most_chars))
     gated = docs.where(F.octet_length("text") > 50).select("url", "title", text.alias("text"))
 
@@ -105,12 +170,12 @@ def extract(docs: DataFrame, model: ModelProvider, fields: list, most_chars: int
             made = []
             for r in f.itertuples():
                 try:
-                    made += [(d, c, r.url, r.title) for d, c in model.extract(r.url, r.title, r.text, fields)]
+                    made += [(d, c, r.url, r.title, k) for k, (d, c) in enumerate(model.extract(r.url, r.title, r.text, fields))]
                 except ValueError:
                     continue
-            yield pd.DataFrame(made, columns=["data", "confidence", "source_url", "source_title"])
+            yield pd.DataFrame(made, columns=["data", "confidence", "source_url", "source_title", "place"])
 
-    return gated.mapInPandas(run, "data string, confidence double, source_url string, source_title string")
+    return gated.mapInPandas(run, "data string, confidence double, source_url string, source_title string, place long")
 
 
 def robots_rules(robots: DataFrame, agent: str = "*") -> DataFrame:

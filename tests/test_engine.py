@@ -13,7 +13,7 @@ from tablesmith.functions import html
 from tablesmith.functions import text as X
 from tablesmith.operators import dedup
 from tablesmith.operators.validate import Field, validate
-from tablesmith.plans import engine
+from tablesmith.plans import engine, images, planning
 from tablesmith.plans.catalog import DEFAULTS, Catalog
 from tablesmith.sources import pdf, providers, sinks
 from tablesmith.streaming import stream
@@ -64,7 +64,7 @@ def test_validate_cases(spark):
     rows = [(0, '{"name": "a", "website": "http://a", "employees": 5}', 0.9), (1, '{"website": "http://a"}', 0.9), (2, '{"name": "a"}', 0.3), (3, '{"name": "a", "website": "a.com"}', 0.9), (4, '{"name": "a", "employees": "12"}', 0.9), (5, '{"name": "a", "employees": "many"}', 0.9), (6, "3", 0.9), (7, "not json", 0.9), (8, None, 0.9), (9, '{"name": null, "employees": ""}', 0.9), (10, '{"name": 7, "employees": true}', None)]
     found = {r.seq: r for r in validate(spark.createDataFrame(rows, "seq long, data string, confidence double"), fields).collect()}
     assert {k for k, r in found.items() if r.is_valid} == {0, 4}
-    assert found[2].issues == ["confidence 0.30 is below 0.50"] and found[9].issues == ["required field 'name' is missing", "field 'employees' is not a valid number"]
+    assert found[2].issues == ["Confidence 0.30 below threshold 0.50"] and found[9].issues == ["Required column 'name' is missing or empty", "Column 'employees' expected number, got text ''"]
     assert all(found[k].issues == ["data is not an object"] for k in (6, 7, 8)) and found[10].issues == ["field 'employees' is not a valid number"]
 
 
@@ -120,12 +120,18 @@ def test_exports(spark, tmp_path):
 def test_engine_end_to_end(spark, sf, tmp_path):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     e = engine.ResearchEngine(spark, f"file://{tmp_path}/catalog", pages)
-    run = e.start_run("the and of", min_confidence=0.1)
-    assert e.get_run(run).status == "completed"
+    e.update_setting("min_confidence_threshold", "0.1")
+    run = e.start_run("the and of", max_budget_usd=0, target_row_count="x")
+    assert e.get_run(run).status == "completed" and json.loads(e.get_run(run)["config"])["max_budget_usd"] == "1.0"
     rows = e.get_run_rows(run).collect()
-    assert 0 < len(rows) <= 50 and all(r.sources for r in rows)
-    e.export_run(run, ["name"], f"{tmp_path}/out.csv", "csv")
-    assert len(list(csv.reader(open(f"{tmp_path}/out.csv")))) >= len(rows)
+    assert rows and all(r.sources for r in rows)
+    members = e.catalog.of_run("entity_rows", run).where("status = 'merged'").collect()
+    assert {m.dedup_group_id for m in members} == {r.entity_row_id for r in rows} and sum(len(r.sources) for r in rows) == len(members)
+    stats = json.loads(e.get_run(run).stats)
+    assert stats["rows_valid"] == len(members) and stats["unique_rows"] == len(rows) and stats["queries_executed"] == 1
+    assert {r.status for r in e.catalog.of_run("search_results", run).collect()} == {"fetched"} and e.get_run_schema(run)[0].name == "name"
+    e.export_run(run, f"{tmp_path}/out.csv", "csv")
+    assert len(list(csv.reader(open(f"{tmp_path}/out.csv")))) == len(rows) + 1
     empty = e.start_run("qqqqqq")
     assert e.get_run(empty).status == "completed" and e.get_run_rows(empty).count() == 0
     e.delete_run(run)
@@ -141,6 +147,120 @@ def test_engine_end_to_end(spark, sf, tmp_path):
     with pytest.raises(RuntimeError):
         e.start_run("x y")
     assert {r.status for r in e.list_runs().collect()} == {"completed", "failed"} and DEFAULTS["target_row_count"] == "50"
+    e.search = providers.FallbackSearch(Broken(), providers.CorpusSearch(pages), sleep=lambda s: None)
+    assert e.get_run(e.start_run("the and of")).status == "completed"
+
+
+def small_pages(spark, n=12):
+    html = lambda k: f"<html><head><title>word {'abcdef'[k % 6] * 12}</title></head><body><p>{'word text here ' * 90}</p></body></html>"
+    return spark.createDataFrame([(k, f"http://h/{k:03}", html(k)) for k in range(n)], "page_id long, url string, html string")
+
+
+def test_runs_stop_wait_pause_and_cancel(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(engine, "BATCH_PAGES", 2)
+    e = engine.ResearchEngine(spark, f"file://{tmp_path}/catalog", small_pages(spark))
+    run = e.start_run("word", target_row_count=3)
+    stats = json.loads(e.get_run(run).stats)
+    assert stats["stop_reason"] == "target_reached" and stats["pages_fetched"] == 4 and not e.catalog.pending(run).isEmpty()
+    assert json.loads(e.get_run(e.start_run("word", max_budget_usd=0.001)).stats)["stop_reason"] == "budget_exhausted"
+    waits = e.start_run("word", confirm=False)
+    assert e.get_run(waits).status == "pending"
+    with pytest.raises(ValueError):
+        e.resume_run(waits)
+    with pytest.raises(ValueError):
+        e.confirm_schema(waits, [Field(" ")])
+
+    class Pausing(providers.CorpusSearch):
+        def search(self, queries):
+            e.pause_run(waits)
+            return super().search(queries)
+
+    e.search = Pausing(e.pages)
+    e.confirm_schema(waits, [Field("name", "text", True), Field(" ")])
+    assert e.get_run(waits).status == "paused" and e.get_run_rows(waits).count() == 0 and [f.name for f in e.get_run_schema(waits)] == ["name"]
+    e.resume_run(waits)
+    assert e.get_run(waits).status == "completed"
+    rows = {json.loads(r.data)["name"]: len(r.sources) for r in e.get_run_rows(waits).collect()}
+    assert rows == {f"word {c * 12}": 2 for c in "abcdef"}
+    with pytest.raises(ValueError):
+        e.cancel_run(waits)
+    gone = e.start_run("word", confirm=False)
+    e.cancel_run(gone)
+    assert e.get_run(gone).status == "cancelled"
+    with pytest.raises(ValueError):
+        e.confirm_schema(gone)
+
+
+def test_equal_rows_of_a_page_count_once_each(spark):
+    class Twice:
+        def extract(self, url, title, text, fields):
+            return providers.decode_rows(json.dumps({"rows": [{"data": {"name": "Acme"}, "confidence": 0.9}] * 2}))
+
+    fields = [Field("name", "text", True)]
+    pages = spark.createDataFrame([("http://a", f"<title>t</title><p>{'word ' * 50}</p>")], "url string, html string")
+    rows = engine.in_order(engine.page_rows(pages, fields, Twice()))
+    assert [(r.name, r.member_count, r.sources) for r in engine.dedup_rows(rows, "name", fields).collect()] == [("Acme", 2, ["http://a"] * 2)]
+
+
+def test_rows_without_a_name_lead_themselves(spark):
+    rows = spark.createDataFrame([(1, None), (2, None), (3, ""), (4, "a")], "seq long, name string")
+    assert {r.seq: r.leader for r in dedup.fuzzy_groups(rows).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_extraction_envelope():
+    assert providers.decode_rows('{"rows": [{"data": {"a": 1, "b": []}, "more": 0}, {"data": 3, "confidence": 2}]}') == [('{"a": 1, "b": []}', 0.5), ("3", 2.0)]
+    for bad in ("[]", "{}", '{"rows": {}}', '{"rows": [1]}', '{"rows": [{"confidence": 1}]}', '{"rows": [{"data": 1, "confidence": "x"}]}', "no"):
+        with pytest.raises(ValueError):
+            providers.decode_rows(bad)
+
+
+def test_planning_is_strict():
+    class Model:
+        def __init__(self, **told):
+            self.told = told
+
+        def complete(self, task, prompt):
+            return self.told[task]
+
+    full = {"entity_type": "x", "attributes": [], "constraints": ["c"], "languages": [], "original_query": "other"}
+    assert planning.interpret("q", Model(interpret=json.dumps(full))) == {**full, "languages": ["en"], "original_query": "q"}
+    for bad in ({**full, "constraints": None}, {**full, "entity_type": 1}, []):
+        with pytest.raises(ValueError):
+            planning.interpret("q", Model(interpret=json.dumps(bad)))
+    with pytest.raises(ValueError):
+        planning.plan_schema(full, Model(schema='{"columns": []}'))
+    with pytest.raises(ValueError):
+        planning.plan_searches(full, [], Model(searches='{"queries": [{"query_text": "a", "priority": 256}]}'))
+    assert planning.expand([], ["de"], Model(expand='{"queries": [{"query_text": "a"}, {"query_text": "a"}]}')) == [{"query_text": "a", "language": "en", "priority": 1}] * 2
+    assert [planning.positive(v, 7) for v in ("3", -1, 0, None, "x", "nan")] == [3, 7, 7, 7, 7, 7]
+
+
+def test_image_run(spark, tmp_path):
+    tag = lambda k: f'<img src="http://i/{k % 9}.png" alt="red car {k}" width="{k}">'
+    pages = spark.createDataFrame([(k, f"http://h/{k}", "<p>x</p>" + tag(k) + '<IMG alt="none">') for k in range(20)], "page_id long, url string, html string")
+    asked = []
+
+    class Model(planning.OfflineModel):
+        def complete(self, task, prompt):
+            asked.append(task)
+            return "[0.9, 0.2]" if task == "scores" else '["blue", "car"]'
+
+    e = engine.ResearchEngine(spark, f"file://{tmp_path}/catalog", pages, planner=planning.OfflineModel())
+    run = e.start_run("red car", run_type="images", target_row_count=4)
+    found = e.get_image_results(run).collect()
+    assert [r.idx for r in found] == [0, 1, 2, 3] and {r.score for r in found} == {1.0} and found[0].thumbnail_url == found[0].image_url
+    e.export_run(run, f"{tmp_path}/i.json", "json")
+    assert [r["width"] for r in json.load(open(f"{tmp_path}/i.json"))] == ["0", "1", "2", "3"]
+    assert [r.query_text for r in images.image_queries(spark, "red car", Model()).orderBy("query_id").collect()] == ["red car", "blue", "car"]
+    assert [r.query_text for r in images.image_queries(spark, "red hd photo").orderBy("query_id").collect()] == ["red hd photo", "best red hd photo pictures", "red hd photo examples"]
+    scored = images.score_images(images.collect_images(images.CorpusImages(pages).search_images(images.image_queries(spark, "red car"))), "red car", Model(), size=5)
+    assert {r.idx: r.score for r in scored.collect()} == {k: (0.9, 0.2, 0, 0, 0)[k % 5] for k in range(9)}
+
+
+def test_proxy_image(spark, tmp_path):
+    e = engine.ResearchEngine(spark, f"file://{tmp_path}/catalog", small_pages(spark))
+    table = spark.createDataFrame([("a", b"12", "image/png"), ("b", b"12", "text/html"), ("c", b"1" * (11 << 20), "image/gif")], "url string, content binary, content_type string")
+    assert [e.proxy_image(table, u) for u in "abcd"] == ["data:image/png;base64,MTI=", None, None, None]
 
 
 def test_failing_documents_give_no_rows(spark):
@@ -169,6 +289,36 @@ def test_stream_stops(spark, tmp_path):
     assert sorted(r.batch for r in spark.read.parquet(f"{tmp_path}/out").select("batch").distinct().collect()) == [0, 1]
 
 
+def test_restart_after_a_stop_loses_nothing(spark, tmp_path):
+    spark.range(40).repartition(4).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    first = stream.append_until(source, f"{tmp_path}/out", f"{tmp_path}/cp", lambda b, n: n >= 1)
+    first.awaitTermination()
+    assert first.stopped and spark.read.parquet(f"{tmp_path}/out").count() < 40
+    stream.append_until(source, f"{tmp_path}/out", f"{tmp_path}/cp", lambda b, n: False).awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(40))
+
+
+def test_distinct_arrivals(spark, tmp_path):
+    made = spark.range(30).select(F.concat(F.lit("k"), F.col("id") % 7).alias("key"), F.timestamp_seconds(F.col("id")).alias("at"))
+    made.repartition(3).write.parquet(f"{tmp_path}/in")
+    rows = stream.distinct_arrivals(stream.stream_table(spark, f"{tmp_path}/in", made.schema), "key", "at")
+    stream.append_until(rows, f"{tmp_path}/out", f"{tmp_path}/cp", lambda b, n: False).awaitTermination()
+    assert sorted(r.key for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [f"k{k}" for k in range(7)]
+
+
+def test_shared_folder_is_demanded_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace as N
+
+    from tablesmith.operators import shared
+
+    session = lambda master, told: N(conf=N(get=lambda k, d=None: told), sparkContext=N(master=master, applicationId="a"))
+    assert shared.new_path(session("yarn", "s3://b/c/"), "x").startswith("s3://b/c/x-") and shared.new_path(session("local[4]", None), "x").startswith("file:///tmp/")
+    for master in ("yarn", "spark://h:7077", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError):
+            shared.new_path(session(master, None), "x")
+
+
 def test_scalars(spark):
     one = spark.createDataFrame([("[0.9, 2]", "a  b\n", 0.285)], "r string, t string, x double")
     r = one.select(X.parse_scores(F.col("r"), F.lit(3)).alias("s"), X.clean_whitespace(F.col("t")).alias("t"), X.format_2dp(F.col("x")).alias("x"), X.cap_queries(F.array(F.lit("A"), F.lit("b")), F.lit("a")).alias("q"), X.cap_queries(F.array(F.lit("b")), F.lit("a"), 1).alias("p")).first()

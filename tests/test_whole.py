@@ -20,16 +20,16 @@ def count(sf, table):
 
 
 def test_all_customers_are_concatenated(spark, sf):
-    found = run("all_sources_concat", spark, sf)
+    found = run("sources_concat", spark, sf)
     assert found.agg(F.sum(F.size(F.split("segments", ", ")))).first()[0] == count(sf, "customer")
 
 
 def test_rows_have_all_their_sources(spark, sf):
-    assert run("rows_with_all_sources", spark, sf).agg(F.sum("n_sources")).first()[0] == count(sf, "lineitem")
+    assert run("rows_with_sources", spark, sf).agg(F.sum("n_sources")).first()[0] == count(sf, "lineitem")
 
 
 def test_all_urls_are_fetched(spark, sf):
-    found = run("fetch_all_pages", spark, sf)
+    found = run("fetch_pages", spark, sf)
     assert found.count() == count(sf, "pages") + 1 and [r.error for r in found.where("error is not null").collect()] == ["not_found"]
 
 
