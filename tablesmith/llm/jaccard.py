@@ -35,7 +35,7 @@ MEMBERS = 200
 #: Bits of the map by which texts that no candidate needs are left out before the shuffle (8 MB, whatever the input).
 MAP_BITS = 1 << 26
 #: Shingles that a task counts before it passes the counts on, and entries of its cache of word hashes.
-COUNTED, CACHED = 500_000, 100_000
+COUNTED, CACHED = 4_000_000, 100_000
 
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
@@ -128,30 +128,33 @@ _L = pa.int64()
 def _sets(docs: DataFrame, size: int) -> DataFrame:
     """kind 0: (doc_id, key, key, n) per document; kind 1: (shingle, documents) for shingles met again in a task's share."""
 
-    def counted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        code, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        code, n = code[n > 1].view(np.int64), n[n > 1]
-        zero = np.zeros(len(code), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(code), np.int32)), pa.array(code), pa.array(n), pa.array(zero), pa.array(zero)], names=["kind", "a", "b", "c", "n"])
+    def counted(held: np.ndarray) -> pa.RecordBatch:
+        """The shingles that stand more than once in held (sorted in place: nothing of its size is allocated but a mask)."""
+        held.sort()
+        same = held[1:] == held[:-1]
+        turn = np.diff(np.concatenate([[False], same, [False]]).view(np.int8))
+        first, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+        zero = np.zeros(len(first), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(first), np.int32)), pa.array(held[first].view(np.int64)), pa.array(end - first + 1), pa.array(zero), pa.array(zero)], names=["kind", "a", "b", "c", "n"])
 
     def run(batches):
-        shingles, seen, held, many = Shingles(size), set(), [], 0
+        shingles, seen, held, used = Shingles(size), set(), np.empty(COUNTED, np.uint64), 0
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = shingles(text.as_py())
                 key = set_key(s)
                 rows.append((0, doc_id, *key, len(s)))
-                if len(s) and key not in seen:
-                    seen.add(key)
-                    held.append(s)
-                    many += len(s)
-                    if many > COUNTED:
-                        yield from counted(held)
-                        held, many = [], 0
+                if 0 < len(s) <= COUNTED and key not in seen:  # a set has no shingle twice, so a larger one adds nothing by itself
+                    if used + len(s) > COUNTED:
+                        yield counted(held[:used])
+                        used = 0
                         seen.clear()
+                    seen.add(key)
+                    held[used : used + len(s)] = s
+                    used += len(s)
             yield _batch(rows, "kind a b c n", [pa.int32(), _L, _L, _L, _L])
-        yield from counted(held)
+        yield counted(held[:used])
 
     return docs.mapInArrow(run, "kind int, a long, b long, c long, n long")
 
