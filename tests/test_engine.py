@@ -65,7 +65,7 @@ def test_validate_cases(spark):
     found = {r.seq: r for r in validate(spark.createDataFrame(rows, "seq long, data string, confidence double"), fields).collect()}
     assert {k for k, r in found.items() if r.is_valid} == {0, 4}
     assert found[2].issues == ["Confidence 0.30 below threshold 0.50"] and found[9].issues == ["Required column 'name' is missing or empty", "Column 'employees' expected number, got text ''"]
-    assert all(found[k].issues == ["data is not an object"] for k in (6, 7, 8)) and found[10].issues == ["field 'employees' is not a valid number"]
+    assert all(found[k].issues == ["Row data is not a JSON object"] for k in (6, 7, 8)) and found[10].issues == ["Column 'employees' expected number"]
 
 
 def test_merge_fields_by_brute_force(spark):
