@@ -13,6 +13,7 @@ is compared, exactly, so no link between components is lost.
 from __future__ import annotations
 
 import math
+import mmap
 from collections.abc import Iterator
 
 import numpy as np
@@ -138,7 +139,8 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.ones(len(first), np.int32)), pa.array(held[first].view(np.int64)), pa.array(end - first + 1), pa.array(zero), pa.array(zero)], names=["kind", "a", "b", "c", "n"])
 
     def run(batches):
-        shingles, seen, held, used = Shingles(size), set(), np.empty(COUNTED, np.uint64), 0
+        # mapped by itself, so that the system has it back when the task is over
+        shingles, seen, held, used = Shingles(size), set(), np.frombuffer(mmap.mmap(-1, 8 * COUNTED), np.uint64), 0
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
