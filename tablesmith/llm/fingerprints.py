@@ -8,7 +8,9 @@ their weighted terms. DataFrame functions only: no Python runs on the executors.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablesmith.llm.common import materialize, partitions
@@ -93,6 +95,12 @@ def fingerprint(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     return signatures(weighted, ["doc_id", "_t"], ["fingerprint"], samples).drop("_t")
 
 
+def _table(spark: SparkSession, rows: list[dict], kinds: str) -> DataFrame:
+    """A small table of these rows, as one literal of the plan."""
+    made = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kinds}>>")
+    return spark.range(1).select(F.inline(made))
+
+
 def _ranges(rows: DataFrame, buckets: int) -> DataFrame:
     """Ranges of _key, descending and of about equal numbers of rows, as a table of at most 65 * buckets rows.
 
@@ -107,9 +115,9 @@ def _ranges(rows: DataFrame, buckets: int) -> DataFrame:
     width = max(1, -(-(hi - lo + 1) // (64 * buckets)))
     made, end = [], hi
     for bucket, start in enumerate(starts):
-        made += [(cell, start, end, bucket) for cell in range((start - lo) // width, (end - lo) // width + 1)]
+        made += [{"cell": cell, "lo": start, "hi": end, "bucket": bucket} for cell in range((start - lo) // width, (end - lo) // width + 1)]
         end = start - 1
-    table = spark.createDataFrame(made, "cell long, lo long, hi long, bucket int")
+    table = _table(spark, made, "cell:bigint,lo:bigint,hi:bigint,bucket:int")
     cell = F.floor((F.col("_key").cast("decimal(20,0)") - F.lit(lo).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("long")
     return rows.withColumn("cell", cell).join(F.broadcast(table), "cell").where(F.col("_key").between(F.col("lo"), F.col("hi"))).drop("cell", "lo", "hi")
 
@@ -127,7 +135,8 @@ def edit_with_next(docs: DataFrame) -> DataFrame:
     rows = _ranges(rows, 4 * tasks)
     heads = rows.groupBy("bucket").agg(F.max("_key").alias("_key")).collect()  # a number a range
     order = sorted(r["bucket"] for r in heads)
-    turn = spark.createDataFrame([(r["bucket"], r["_key"], order[order.index(r["bucket"]) - 1]) for r in heads], "bucket int, _key long, _before int")
+    before = {b: order[k - 1] for k, b in enumerate(order)}
+    turn = _table(spark, [{"bucket": r["bucket"], "_key": r["_key"], "_before": before[r["bucket"]]} for r in heads], "bucket:int,_key:bigint,_before:int")
     sort = [F.desc("_key"), F.xxhash64("text")]
     first = rows.join(F.broadcast(turn), ["bucket", "_key"]).withColumn("_r", F.row_number().over(Window.partitionBy("bucket").orderBy(*sort))).where("_r = 1")
     first = first.select("doc_id", "text", "_key", F.col("_before").alias("bucket"), F.lit(True).alias("_tail"))
@@ -155,7 +164,7 @@ def compare_with_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     weighted = words.groupBy(*keys, F.xxhash64("word").alias("term")).agg(side(0, "fingerprint"), side(1, "edited_fingerprint"))
     rows = materialize(facts.join(signatures(weighted, keys, ["fingerprint", "edited_fingerprint"], samples), keys), "fingerprints")
     order = sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())  # a number a range
-    turn = docs.sparkSession.createDataFrame([(b, order[k - 1]) for k, b in enumerate(order)], "bucket int, _before int")
+    turn = _table(docs.sparkSession, [{"bucket": b, "_before": order[k - 1]} for k, b in enumerate(order)], "bucket:int,_before:int")
     heads = rows.where("place = 1").join(F.broadcast(turn), "bucket").select(*[F.col("_before").alias(c) if c == "bucket" else F.lit(2**31 - 1).alias(c) if c == "place" else c for c in rows.columns])
     after = F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("place"))
     both = rows.unionByName(heads).withColumn("_next", after).where(F.col("place") < 2**31 - 1)
