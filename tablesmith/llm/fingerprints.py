@@ -137,10 +137,11 @@ def edit_with_next(docs: DataFrame) -> DataFrame:
     order = sorted(r["bucket"] for r in heads)
     before = {b: order[k - 1] for k, b in enumerate(order)}
     turn = _table(spark, [{"bucket": r["bucket"], "_key": r["_key"], "_before": before[r["bucket"]]} for r in heads], "bucket:int,_key:bigint,_before:int")
-    sort = [F.desc("_key"), F.xxhash64("text")]
+    sort = [F.desc_nulls_last("doc_id"), F.xxhash64("text")]
     first = rows.join(F.broadcast(turn), ["bucket", "_key"]).withColumn("_r", F.row_number().over(Window.partitionBy("bucket").orderBy(*sort))).where("_r = 1")
-    first = first.select("doc_id", "text", "_key", F.col("_before").alias("bucket"), F.lit(True).alias("_tail"))
-    both = rows.select("doc_id", "text", "_key", "bucket", F.lit(False).alias("_tail")).unionByName(first).repartition(tasks, "bucket")
+    first = first.select("doc_id", "text", F.col("_before").alias("bucket"), F.lit(True).alias("_tail"))
+    # all columns are needed by the sort, so every use of the result has the same exchange, and texts are shuffled once
+    both = rows.select("doc_id", "text", "bucket", F.lit(False).alias("_tail")).unionByName(first).repartition(tasks, "bucket")
     w = Window.partitionBy("bucket").orderBy("_tail", *sort)
     placed = both.withColumns({"_next": F.lead("text").over(w), "place": F.row_number().over(w)}).where(~F.col("_tail"))
     n = F.length("text")
