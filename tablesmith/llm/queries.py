@@ -52,8 +52,8 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = token_counts.unigram_scores(_vocabulary("piece_bpe_32k.model"))
-    return token_counts.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), scores).drop("text")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, token_counts.fit(docs, _vocabulary("piece_bpe_32k.model"))).drop("text")
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,35 +1,68 @@
-"""Operator 9: token counts of a unigram model by dynamic programming over a trie of the distinct pre-tokens."""
+"""Operator 9: token counts of a unigram model by dynamic programming over a trie of the distinct pre-tokens.
+
+The pieces are those of a public vocabulary, whose segmentation is used as it is; their log probabilities are estimated
+from all documents (:func:`fit`). Tokens are then counted in each pre-token's most probable segmentation.
+"""
 
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tablesmith.llm.common import small_batches
 
-#: Nodes of a worker's trie; a full trie is dropped and begun anew.
+#: Nodes and terminal counts of a task's trie; a full trie is dropped and begun anew after the text that filled it.
 NODES = 1_000_000
+#: Distinct pre-tokens that a task of :func:`fit` gathers before it cuts them.
+WORDS = 100_000
 MARK = "▁"
 
 
-def unigram_scores(model_path: str) -> dict[str, float]:
-    """Log probabilities of a public vocabulary's pieces by Zipf's law over their ids: nothing is trained."""
+def fit(docs: DataFrame, model_path: str) -> dict[str, float]:
+    """Log probabilities of a public vocabulary's pieces, estimated from all documents (text, ...).
+
+    Each pre-token is cut as the vocabulary's own tokenizer cuts it and its pieces are counted as often as it occurs; a
+    score is the logarithm of (count + 1) / (all counts + pieces). Every task adds up its own counts, and the driver
+    gets one number a piece. Null and blank texts count nothing; without documents all pieces are equally likely.
+    """
     import sentencepiece
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
-    pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-    total = math.log(sum(1 / (k + 1) for k in range(len(pieces))))
-    return {p: -math.log(k + 1) - total for k, p in enumerate(pieces)}
+    small_batches(docs.sparkSession)
+    with open(model_path, "rb") as f:
+        model = f.read()
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+    size = sp.get_piece_size()
+    pieces = {i: sp.id_to_piece(i) for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, words, counts = sentencepiece.SentencePieceProcessor(model_proto=held.value), Counter(), np.zeros(size, np.int64)
 
-class Node:
-    """A prefix of pre-tokens: its best forward score and the tokens of the best segmentation of the prefix."""
+        def cut() -> None:
+            for word, n in words.items():
+                for i in cutter.encode(word):
+                    counts[i] += n
+            words.clear()
 
-    __slots__ = ("children", "score", "tokens")
+        for batch in batches:
+            for text in batch.column(0):
+                words.update(word_list(text.as_py()))
+                if len(words) > WORDS:
+                    cut()
+        cut()
+        met = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), pa.array(counts[met], pa.int64())], names=["id", "n"])
 
-    def __init__(self, score: float, tokens: int):
-        self.children: dict[str, Node] = {}
-        self.score, self.tokens = score, tokens
+    counted = docs.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = {r["id"]: r["n"] for r in counted.collect() if r["id"] in pieces}  # at most the vocabulary
+    total = math.log(sum(counts.values()) + len(pieces))
+    return {p: math.log(counts.get(i, 0) + 1) - total for i, p in pieces.items()}
 
 
 class Trie:
@@ -40,43 +73,59 @@ class Trie:
     """
 
     def __init__(self, scores: dict[str, float]):
-        self.scores = scores
-        self.longest = max(map(len, scores), default=1)
         self.unknown = min(scores.values(), default=0.0) - 10
+        # pieces from their last character to the first: a character leads to [score or None, the characters before it]
+        self.ends: dict = {}
+        for piece, score in scores.items():
+            here, step = self.ends, [None, None]
+            for ch in reversed(piece):
+                step = here.setdefault(ch, [None, {}])
+                here = step[1]
+            step[0] = score
         self.clear()
 
     def clear(self) -> None:
-        self.root, self.nodes, self.terminal = Node(0.0, 0), 0, {}
+        # nodes are numbers, 0 the empty prefix: (node, character) -> node, and each node's best score and its tokens
+        self.children, self.scores, self.tokens = {}, [0.0], [0]
+        self.terminal: dict[str, int] = {}
+
+    def total(self, words: list[str]) -> int:
+        """Tokens of all the words of a text; those met before are taken from the terminal counts."""
+        for word in set(words).difference(self.terminal):
+            self.terminal[word] = self.count(MARK + word)
+        n = sum(map(self.terminal.__getitem__, words))
+        if len(self.scores) + len(self.terminal) > NODES:
+            self.clear()
+        return n
 
     def count(self, word: str) -> int:
-        """Tokens of a pre-token, from the terminal counts if it was met before."""
-        if (n := self.terminal.get(word)) is not None:
-            return n
-        node, way = self.root, [self.root]
-        for i, ch in enumerate(word):
-            child = node.children.get(ch)
+        """Tokens of a pre-token."""
+        node, way, children = 0, [0], self.children
+        for k, ch in enumerate(word):
+            child = children.get(key := node << 21 | ord(ch))
             if child is None:
-                child = node.children[ch] = self._forward(word, i + 1, way)
-                self.nodes += 1
+                child = children[key] = self._forward(word, k, way)
             way.append(child)
             node = child
-        self.terminal[word] = node.tokens
-        if self.nodes + len(self.terminal) > NODES:
-            self.clear()
-        return node.tokens
+        return self.tokens[node]
 
-    def _forward(self, word: str, end: int, way: list[Node]) -> Node:
-        best, tokens = way[end - 1].score + self.scores.get(word[end - 1], self.unknown), way[end - 1].tokens + 1
-        for start in range(end - 2, max(-1, end - self.longest - 1), -1):
-            s = self.scores.get(word[start:end])
-            if s is not None and (s := s + way[start].score) >= best:
-                best, tokens = s, way[start].tokens + 1
-        return Node(best, tokens)
+    def _forward(self, word: str, at: int, way: list[int]) -> int:
+        """A new node for the prefix that ends with the character at this place; way has the nodes before it."""
+        scores, step, start, first = self.scores, self.ends.get(word[at]), at, at
+        best = scores[way[at]] + (self.unknown if step is None or step[0] is None else step[0])
+        while step is not None and start:
+            start -= 1
+            step = step[1].get(word[start])
+            if step is not None and step[0] is not None and (s := step[0] + scores[way[start]]) >= best:
+                best, first = s, start
+        scores.append(best)
+        self.tokens.append(self.tokens[way[first]] + 1)
+        return len(scores) - 1
 
 
-def pre_tokens(text: str | None) -> list[str]:
-    """The words between white space, each with a leading mark."""
-    return [MARK + w for w in text.split()] if text else []
+def word_list(text: str | None) -> list[str]:
+    """The words between white space; with a leading mark they are the pre-tokens."""
+    return text.split() if text else []
 
 
 def count_tokens(docs: DataFrame, scores: dict[str, float]) -> DataFrame:
@@ -86,6 +135,7 @@ def count_tokens(docs: DataFrame, scores: dict[str, float]) -> DataFrame:
     each.
     """
     docs = docs.drop("n_pre_tokens", "n_tokens")
+    small_batches(docs.sparkSession)
     names = list(docs.columns)
     at, held = names.index("text"), docs.sparkSession.sparkContext.broadcast(scores)
 
@@ -94,9 +144,9 @@ def count_tokens(docs: DataFrame, scores: dict[str, float]) -> DataFrame:
         for batch in batches:
             words, tokens = [], []
             for text in batch.column(at):
-                found = pre_tokens(text.as_py())
+                found = word_list(text.as_py())
                 words.append(len(found))
-                tokens.append(sum(map(trie.count, found)))
+                tokens.append(trie.total(found))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=[*names, "n_pre_tokens", "n_tokens"])
 
     return docs.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", n_pre_tokens long, n_tokens long")

@@ -5,6 +5,7 @@ import binascii
 import functools
 import hashlib
 import itertools
+import math
 import random
 import zlib
 from collections import Counter
@@ -12,6 +13,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -602,11 +604,11 @@ def test_license_scan_by_shuffle(spark, monkeypatch):
 # token counts
 
 
-def brute_tokens(word, scores):
-    unknown, best = min(scores.values()) - 10, [(0.0, 0)]
+def brute_tokens(word, scores, least=None, longest=99):
+    unknown, best = (min(scores.values()) if least is None else least) - 10, [(0.0, 0)]
     for end in range(1, len(word) + 1):
         options = []
-        for start in range(end):
+        for start in range(max(0, end - longest), end):
             s = scores.get(word[start:end], unknown if end - start == 1 else None)
             if s is not None:
                 options.append((best[start][0] + s, end - start, best[start][1] + 1))
@@ -625,16 +627,41 @@ def test_trie_against_brute_force(words):
     assert [trie.count("▁" + w) for w in words] == [brute_tokens("▁" + w, SCORES) for w in words]
 
 
+def brute_scores(texts):
+    """Scores of pieces by counting the library's pieces of every word by itself."""
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    plain = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+    counts = Counter(i for t in texts for w in (t or "").split() for i in sp.encode(w))
+    total = sum(counts[i] for i in plain) + len(plain)
+    return {sp.id_to_piece(i): math.log((counts[i] + 1) / total) for i in plain}
+
+
 def test_token_counts_real(spark, sf, monkeypatch):
     monkeypatch.setattr(token_counts, "NODES", 5_000)
+    monkeypatch.setattr(token_counts, "WORDS", 50)
     found = queries.op9_token_counts(spark, sf).collect()
-    scores = token_counts.unigram_scores(public_tokenizers.path("piece_bpe_32k.model"))
     texts = dict(rows(documents(spark, sf).select("doc_id", "text")))
-    for r in found[:3]:
-        assert r.n_tokens == sum(brute_tokens(w, scores) for w in token_counts.pre_tokens(texts[r.doc_id]))
+    scores = brute_scores(texts.values())
+    fitted = token_counts.fit(documents(spark, sf), public_tokenizers.path("piece_bpe_32k.model"))
+    assert fitted.keys() == scores.keys() and all(abs(fitted[p] - s) < 1e-9 for p, s in scores.items())
+    assert abs(sum(map(math.exp, fitted.values())) - 1) < 1e-9
+    trie, least, longest = {}, min(fitted.values()), max(map(len, fitted))
+    for r in found[:40]:
+        for w in (texts[r.doc_id] or "").split():
+            if w not in trie:
+                trie[w] = brute_tokens("▁" + w, fitted, least, longest)
+        assert r.n_tokens == sum(trie[w] for w in (texts[r.doc_id] or "").split())
     assert len(found) == len(texts)
 
 
+def test_token_scores_odd_rows(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    scores = brute_scores([t for _, t in ODD])
+    fitted = token_counts.fit(odd(spark), path)
+    assert all(abs(fitted[p] - s) < 1e-9 for p, s in scores.items())
+    assert len(set(token_counts.fit(odd(spark, ODD[:0]), path).values())) == 1
+
+
 def test_token_counts_odd_rows(spark):
     found = token_counts.count_tokens(odd(spark), SCORES).select("doc_id", "text", "n_pre_tokens").collect()
     assert Counter((r.doc_id, r.text) for r in found) == Counter(ODD)
