@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,3 +100,29 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         seen = state
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()).distinct()
 
+
+
+def ordered_sha256(chunks: DataFrame, key: str, order: list[str], text: str, between: str) -> DataFrame:
+    """chunks (key string, order..., text) -> key, sha256: of a key's texts in this order, with `between` between them.
+
+    A digest needs its bytes in turn, so a key's chunks pass one task; they are sorted by Spark and streamed, and the
+    task holds a batch of them at a time.
+    """
+    def run(batches):
+        now, digest = None, None
+        for batch in batches:
+            out = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if digest is not None and k == now:
+                    digest.update(between.encode())
+                else:
+                    if digest is not None:
+                        out.append((now, digest.hexdigest()))
+                    now, digest = k, hashlib.sha256()
+                digest.update(t.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in range(2)], names=["key", "sha256"])
+        if digest is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (now, digest.hexdigest())], names=["key", "sha256"])
+
+    rows = chunks.repartition(partitions(chunks.sparkSession), key).sortWithinPartitions(key, *order)
+    return rows.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, "key string, sha256 string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablesmith.llm import decontaminate, fingerprints, jaccard, language, licenses, packing, sharding, token_counts, url_filter, warc
+from tablesmith.llm import decontaminate, fingerprints, jaccard, language, licenses, packing, prefix_trie, repair, sharding, squares, token_counts, url_filter, warc
 from tablesmith.llm import sql
 
 
@@ -60,8 +60,20 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(_table(spark, sf_dir, "documents"))
 
 
+def op11_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return squares.digests(squares.pack_online(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json")))
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audited(_table(spark, sf_dir, "conversations"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op2_best_fit_packing, op3_warc, op4_license_scan, op5_language_id, op6_decontamination, op7_ngram_jaccard, op8_sharding, op9_token_counts, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_url_filter, op2_best_fit_packing, op3_warc, op4_license_scan, op5_language_id, op6_decontamination, op7_ngram_jaccard, op8_sharding, op9_token_counts, op10_fingerprints, op11_online_packing, op12_structure_repair, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
