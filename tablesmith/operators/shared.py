@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -24,3 +24,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written_and_counted(df: DataFrame, name: str, counts: dict[str, Column]) -> tuple[DataFrame, dict]:
+    """As written, with aggregates of the rows that come from the pass that writes them."""
+    seen = Observation()
+    made = written(df.observe(seen, *[c.alias(n) for n, c in counts.items()]), name)
+    return made, seen.get

@@ -1,10 +1,12 @@
-"""Run catalog: run tables as Parquet folders, history, status log, settings, cascade deletes."""
+"""Run catalog: run tables under a versioned manifest, history, status log, settings, cascade deletes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablesmith.plans.manifest import Change, Manifest
+
 #: The tables of the catalog with their columns.
 TABLES = {
     "runs": "run_id string, query string, config string, run_type string, created_at long",
@@ -17,10 +19,11 @@ TABLES = {
     "row_sources": "run_id string, entity_row_id string, url string, title string, snippet string, created_at long",
     "image_results": "run_id string, idx long, image_url string, thumbnail_url string, title string, source_url string, width long, height long, score double, created_at long",
     "run_logs": "run_id string, id long, level string, message string, at long",
+    "run_batches": "run_id string, batch long, pages_fetched long, pages_failed long, rows long, valid long, llm_calls long, llm_micros long, millis long, stop_reason string",
     "settings": "key string, value string, version long",
 }
 TERMINAL = ("completed", "failed", "cancelled")
-DEFAULTS = {"target_row_count": "50", "max_budget_usd": "1.00", "max_duration_seconds": "600", "saturation_threshold": "0.05", "min_confidence_threshold": "0.5", "dedup_similarity_threshold": "0.85", "search_results_per_query": "20", "max_extraction_text_chars": "12000"}
+DEFAULTS = {"target_row_count": "50", "max_budget_usd": "1.00", "max_duration_seconds": "600", "saturation_threshold": "0.05", "min_confidence_threshold": "0.5", "dedup_similarity_threshold": "0.85", "search_results_per_query": "20", "max_extraction_text_chars": "12000", "enable_content_truncation": "true", "max_page_size_kb": "5000", "max_parallel_extractions": "3"}
 
 
 def latest_status(log: DataFrame) -> DataFrame:
@@ -50,42 +53,46 @@ def cascade_delete(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, D
 
 
 class Catalog:
-    """Tables in a folder, one subfolder each, partitioned by run where they have one."""
+    """The tables of all runs in a folder, under a versioned manifest; a run is a scope, settings have none.
+
+    Reads are of the last version. What belongs together is written by one change (see :meth:`change`).
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.manifest = Manifest(spark, self.root)
+
+    def change(self, run_id: str = "", reads: list[str] = ()) -> CatalogChange:
+        return CatalogChange(self.manifest, run_id, reads)
+
+    def _rows(self, table: str, folders: list[str]) -> DataFrame:
+        kinds = TABLES[table]
+        return self.spark.read.schema(kinds).parquet(*folders) if folders else self.spark.createDataFrame([], kinds)
 
     def read(self, table: str) -> DataFrame:
-        empty = self.spark.createDataFrame([], TABLES[table])
-        try:
-            return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{table}").select(*empty.columns)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return empty
-
-    def append(self, table: str, rows: DataFrame) -> None:
-        names = [x.split()[0] for x in TABLES[table].split(", ")]
-        have = set(rows.columns)
-        kinds = dict(x.split() for x in TABLES[table].split(", "))
-        rows = rows.select(*[(F.col(n) if n in have else F.lit(None)).cast(kinds[n]).alias(n) for n in names])
-        writer = rows.write.mode("append")
-        (writer.partitionBy("run_id") if "run_id" in names else writer).parquet(f"{self.root}/{table}")
+        self.manifest.refresh()
+        return self._rows(table, self.manifest.folders(table))
 
     def of_run(self, table: str, run_id: str) -> DataFrame:
-        return self.read(table).where(F.col("run_id") == run_id)
+        """A run's rows; other runs' folders aren't read."""
+        self.manifest.refresh()
+        return self._rows(table, self.manifest.folders(table, run_id))
+
+    def append(self, table: str, rows: DataFrame, run_id: str = "", key: str | None = None) -> None:
+        change = self.change(run_id)
+        change.put(table, rows, key)
+        change.finish()
 
     def replace_run(self, table: str, run_id: str, rows: DataFrame) -> None:
         """Put rows in the place of the run's rows (rows may be made from them): an update of a status or a group."""
-        from tablesmith.operators.shared import written
-
-        kept = written(rows.withColumn("run_id", F.lit(run_id)), table)
-        self._drop(table, run_id)
-        self.append(table, kept)
+        change = self.change(run_id)
+        change.replace(table, rows)
+        change.finish()
 
     def pending(self, run_id: str) -> DataFrame:
         """The work queue: search results that are still to be fetched, in order of rank."""
-        return self.of_run("search_results", run_id).where(F.col("status") == "pending").orderBy("rank", "result_id")
+        fetched = self.of_run("fetched_pages", run_id).select("result_id")
+        return self.of_run("search_results", run_id).where("status = 'pending'").join(fetched, "result_id", "left_anti").orderBy("rank", "result_id")
 
     def set_schema(self, run_id: str, columns: str, confirmed: bool, at: int) -> None:
         self.replace_run("run_schemas", run_id, self.spark.createDataFrame([(columns, confirmed, at)], "columns string, confirmed boolean, created_at long"))
@@ -94,33 +101,38 @@ class Catalog:
         """The run's row of run_schemas, or None."""
         return self.of_run("run_schemas", run_id).first()
 
-    def log(self, run_id: str, at: int, message: str, level: str = "info", number: int = 0) -> None:
-        self.append("run_logs", self.spark.createDataFrame([(run_id, number, level, message, at)], TABLES["run_logs"]))
-
     def settings(self) -> DataFrame:
         """key, value: the defaults, and the last value that was set for each key."""
         last = self.read("settings").groupBy("key").agg(F.max_by("value", "version").alias("value"))
         return upsert(self.spark.createDataFrame(sorted(DEFAULTS.items()), "key string, value string"), last, "key")
 
     def set_setting(self, key: str, value: str) -> None:
+        change = self.change()
         version = self.read("settings").agg(F.coalesce(F.max("version"), F.lit(0))).first()[0] + 1
-        self.append("settings", self.spark.createDataFrame([(key, value, version)], TABLES["settings"]))
-
-    def set_status(self, run_id: str, seq: int, status: str, at: int, error: str | None = None, stats: str | None = None) -> None:
-        row = self.spark.createDataFrame([(run_id, seq, status, error, stats, at)], TABLES["run_status"])
-        self.append("run_status", row)
-
-    def _drop(self, table: str, run_id: str) -> None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/run_id={run_id}")
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        change.put("settings", self.spark.createDataFrame([(key, value, version)], TABLES["settings"]), f"{version}")
+        change.finish()
 
     def delete(self, run_id: str) -> None:
-        """Drop the run's partition of every table."""
-        for n, kinds in TABLES.items():
-            if "run_id" in kinds:
-                self._drop(n, run_id)
+        """Drop the run's rows of every table."""
+        change = self.change(run_id)
+        change.drop()
+        change.finish()
+
+    def vacuum(self) -> int:
+        """Delete folders that lost or deleted runs have left; see Manifest.vacuum."""
+        return self.manifest.vacuum(list(TABLES))
 
     def runs(self, limit: int | None = 50, offset: int = 0) -> DataFrame:
         """History: newest first; all runs, in any order, without a limit."""
         found = self.read("runs").join(latest_status(self.read("run_status")), "run_id", "left")
         return found if limit is None else found.orderBy(F.desc("created_at"), "run_id").offset(offset).limit(limit)
+
+
+class CatalogChange(Change):
+    """A change whose rows get their table's columns (absent ones null) and the run's id."""
+
+    def _write(self, do, table, rows, key, counts):
+        have = set(rows.columns) | {"run_id"}
+        rows = rows.withColumn("run_id", F.lit(self.scope))
+        kinds = [x.split() for x in TABLES[table].split(", ")]
+        return super()._write(do, table, rows.select(*[(F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in kinds]), key, counts)

@@ -16,15 +16,17 @@ from tablesmith.plans.planning import TextModel, decode
 
 CHUNK = 15
 LEAST_SCORE = 0.7
+#: The score of images that the model couldn't judge.
+UNRANKED = 0.5
 
 
 def image_queries(spark: SparkSession, query: str, model: TextModel | None = None) -> DataFrame:
-    """query_id, query_text: the model's searches, the original first, 12 at most; without a model, or where its answer
-    is no list of texts, the static variations."""
+    """query_id, query_text: the model's searches, the original first, 12 at most; without a model, or where its call
+    fails or its answer is no list of texts, the static variations."""
     one = spark.createDataFrame([(query,)], "q string")
     try:
         made = [x for x in decode(model.complete("image_queries", query), list) if isinstance(x, str) and x.strip()] if model else []
-    except ValueError:
+    except Exception:
         made = []
     queries = cap_queries(F.array(*[F.lit(x) for x in made]), F.col("q")) if made else query_variations(F.col("q"))
     return one.select(F.posexplode(queries).alias("query_id", "query_text")).withColumn("query_id", F.col("query_id").cast("long"))
@@ -64,15 +66,21 @@ def zip_scores(chunks: DataFrame) -> DataFrame:
 
 
 def score_images(images: DataFrame, query: str, model: TextModel, size: int = CHUNK) -> DataFrame:
-    """Adds score to images (idx, title, ...): the model judges them in chunks of `size`, in order of idx."""
+    """Adds score to images (idx, title, ...): the model judges them in chunks of `size`, in order of idx; those of a
+    chunk for which its call fails are UNRANKED."""
     item = F.struct(*images.columns)
     chunks = images.withColumn("chunk", F.floor(F.col("idx") / size)).groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("idx", item.alias("item")))).alias("of"))
     chunks = chunks.select("chunk", F.transform("of", lambda x: x["item"]).alias("items"))  # `size` items at most
 
     def ask(frames):
         for f in frames:
-            made = [model.complete("scores", json.dumps({"query": query, "titles": [t or "" for t in titles]})) for titles in f["titles"]]
-            yield pd.DataFrame({"chunk": f["chunk"], "response": made})
+            yield pd.DataFrame({"chunk": f["chunk"], "response": [one(titles) for titles in f["titles"]]})
+
+    def one(titles) -> str:
+        try:
+            return model.complete("scores", json.dumps({"query": query, "titles": [t or "" for t in titles]}))
+        except Exception:
+            return json.dumps([UNRANKED] * len(titles))
 
     asked = written(chunks, "chunks")
     answers = asked.select("chunk", F.transform("items", lambda x: x["title"]).alias("titles")).mapInPandas(ask, "chunk long, response string")

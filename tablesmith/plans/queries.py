@@ -617,7 +617,8 @@ def image_export(s, d):
 @query()
 def page_entities(s, d):
     fields = [Field("name", "text", True), Field("source", "url", True), Field("length", "number")]
-    rows = valid_only(validate(engine.in_order(engine.page_rows(table(s, d, "pages"), fields)), fields, 0.1))
+    rows = shared.written(engine.page_rows(table(s, d, "pages"), fields), "extracted")  # pages are parsed once
+    rows = valid_only(validate(engine.in_order(rows), fields, 0.1))
     return engine.dedup_rows(rows, "name", fields).select("name", "source", "length", "confidence", "member_count", F.array_join("sources", "; ").alias("sources"))
 
 

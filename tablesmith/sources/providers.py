@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import time
 from collections.abc import Callable
 from typing import Any, Protocol
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesmith.operators.dedup import first_by_key
+from tablesmith.operators.shared import written
 
 
 class Retryable(Exception):
@@ -21,16 +23,25 @@ class Retryable(Exception):
         self.hint = hint
 
 
+def worth_retrying(e: Exception) -> bool:
+    """Whether an error is Retryable, or that of a job of which a task raised one."""
+    return isinstance(e, Retryable) or "providers.Retryable" in str(e)
+
+
 def with_retry(call: Callable[[], Any], retries: int = 2, initial: float = 2.0, factor: float = 2.0, most: float = 30.0, sleep: Callable[[float], None] = time.sleep) -> Any:
-    """call(), repeated up to `retries` times after Retryable errors, with growing waits; other errors pass at once."""
+    """call(), repeated up to `retries` times after Retryable errors, with growing waits; other errors pass at once.
+
+    Errors of a lazy frame come when it is written: the call has to write it.
+    """
     delay = initial
     for attempt in range(retries + 1):
         try:
             return call()
-        except Retryable as e:
-            if attempt == retries:
+        except Exception as e:
+            if attempt == retries or not worth_retrying(e):
                 raise
-            sleep(min(e.hint if e.hint is not None else delay, most))
+            hint = getattr(e, "hint", None)
+            sleep(min(hint if hint is not None else delay, most))
             delay = min(delay * factor, most)
 
 
@@ -77,11 +88,16 @@ def collect_results(results: DataFrame) -> DataFrame:
 
 
 def fetch(urls: DataFrame, pages: DataFrame, most_bytes: int = 5_000 * 1024) -> DataFrame:
-    """urls (url, ...) -> with html and error (not_found, too_large or null), from a table of pages."""
-    body = first_by_key(pages.select("page_id", "url", "html"), "url", ["page_id"]).select("url", "html")
+    """urls (url, ...) -> with html and error (not_found, http_status, too_large or null), from a table of pages; the
+    status of a page, where the table has any, must be 200 to 299."""
+    names = [c for c in ("url", "html", "status") if c in pages.columns]
+    body = first_by_key(pages.select("page_id", *names), "url", ["page_id"]).select(*names)
     out = urls.join(body, "url", "left")
-    error = F.when(F.col("html").isNull(), "not_found").when(F.octet_length("html") > most_bytes, "too_large")
-    return out.withColumn("error", error).withColumn("html", F.when(F.col("error").isNull(), F.col("html")))
+    error = F.when(F.col("html").isNull(), "not_found")
+    if "status" in pages.columns:
+        error = error.when(~F.col("status").between(200, 299), "http_status")
+    error = error.when(F.octet_length("html") > most_bytes, "too_large")
+    return out.withColumn("error", error).withColumn("html", F.when(F.col("error").isNull(), F.col("html"))).drop("status")
 
 
 def decode_rows(answer: str) -> list[tuple[str, float]]:
@@ -119,18 +135,35 @@ class AnswerExtractor:
 
 
 class FallbackSearch:
-    """Searches with the first provider, again after errors worth it, then with the second."""
+    """Searches with the first provider, again after errors worth it, then with the second.
+
+    Results are written, so that errors of lazy providers are met here. If a search for all queries fails, each query
+    is searched by itself (a run has a few dozen), and only those that fail go to the second provider.
+    """
 
     def __init__(self, primary: SearchProvider, fallback: SearchProvider | None = None, retries: int = 2, sleep: Callable[[float], None] = time.sleep):
         self.primary, self.fallback, self.retries, self.sleep = primary, fallback, retries, sleep
 
-    def search(self, queries: DataFrame) -> DataFrame:
+    def _all(self, provider: SearchProvider, queries: DataFrame, retries: int) -> DataFrame:
+        return with_retry(lambda: written(provider.search(queries), "found"), retries, sleep=self.sleep)
+
+    def _one(self, query: DataFrame) -> DataFrame:
         try:
-            return with_retry(lambda: self.primary.search(queries), self.retries, sleep=self.sleep)
+            return self._all(self.primary, query, self.retries)
         except Exception:
             if self.fallback is None:
                 raise
-            return with_retry(lambda: self.fallback.search(queries), self.retries, sleep=self.sleep)
+            return self._all(self.fallback, query, 0)
+
+    def search(self, queries: DataFrame) -> DataFrame:
+        try:
+            return self._all(self.primary, queries, 0)
+        except Exception:
+            rows = queries.collect()
+            if not rows:
+                raise
+            each = [self._one(queries.sparkSession.createDataFrame([r], queries.schema)) for r in rows]
+            return functools.reduce(DataFrame.unionByName, each)
 
 
 def rate_limit_slots(requests: DataFrame, interval_ms: int = 2000, burst: int = 3) -> DataFrame:
@@ -159,23 +192,43 @@ class TitleExtractor:
         return [(json.dumps(data, ensure_ascii=False), min(1.0, len(text) / 1000))] if title else []
 
 
-def extract(docs: DataFrame, model: ModelProvider, fields: list, most_chars: int | None = 12_000) -> DataFrame:
-    """docs (url, title, text) of more than 50 bytes -> data, confidence, source_url, source_title, place (from 0 in
-    the document); a failing document gives no rows. The model sees the first most_chars characters of a text, all of it if that is None."""
+def answers(docs: DataFrame, model: ModelProvider, fields: list, most_chars: int | None = 12_000, retries: int = 3, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """docs (url, title, text) of more than 50 bytes -> one row for each call of the model: url, title, rows (data,
+    confidence), error, prompt_tokens, completion_tokens.
+
+    The model sees the first most_chars characters of a text, all of it if that is None. A call is repeated after
+    errors worth it; a document whose call fails has its error and no rows. Tokens are those that the model tells
+    (usage(), of its last call), else a quarter of the characters. Write the result before using it twice: the model
+    is called for every use.
+    """
     text = F.col("text") if most_chars is None else F.left("text", F.lit(most_chars))
     gated = docs.where(F.octet_length("text") > 50).select("url", "title", text.alias("text"))
 
+    def ask(r) -> tuple:
+        rows, error = [], None
+        try:
+            rows = [{"data": d, "confidence": c} for d, c in with_retry(lambda: model.extract(r.url, r.title, r.text, fields), retries, most=60.0, sleep=sleep)]
+        except Exception as e:
+            error = f"{type(e).__name__}: {e}"[:500]
+        told = model.usage() if hasattr(model, "usage") else (-(-len(r.text) // 4), -(-sum(len(x["data"]) for x in rows) // 4))
+        return r.url, r.title, rows, error, *told
+
     def run(frames):
         for f in frames:
-            made = []
-            for r in f.itertuples():
-                try:
-                    made += [(d, c, r.url, r.title, k) for k, (d, c) in enumerate(model.extract(r.url, r.title, r.text, fields))]
-                except ValueError:
-                    continue
-            yield pd.DataFrame(made, columns=["data", "confidence", "source_url", "source_title", "place"])
-
-    return gated.mapInPandas(run, "data string, confidence double, source_url string, source_title string, place long")
+            yield pd.DataFrame([ask(r) for r in f.itertuples()], columns=["url", "title", "rows", "error", "prompt_tokens", "completion_tokens"])
+
+    return gated.mapInPandas(run, "url string, title string, rows array<struct<data:string,confidence:double>>, error string, prompt_tokens long, completion_tokens long")
+
+
+def answered_rows(told: DataFrame) -> DataFrame:
+    """Answers -> data, confidence, source_url, source_title, place (from 0 in the document)."""
+    x = told.select("url", "title", F.posexplode("rows").alias("place", "r"))
+    return x.select("r.data", "r.confidence", F.col("url").alias("source_url"), F.col("title").alias("source_title"), F.col("place").cast("long"))
+
+
+def extract(docs: DataFrame, model: ModelProvider, fields: list, most_chars: int | None = 12_000) -> DataFrame:
+    """The rows of the model's answers; see answers."""
+    return answered_rows(answers(docs, model, fields, most_chars))
 
 
 def robots_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
