@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,9 +31,11 @@ END_ID = 1
 #: Entries of each of the two generations of a worker's cache of encoded chunks, and the longest chunk it keeps (bytes).
 CACHE_ENTRIES, CACHE_CHUNK = 150_000, 48
 #: Characters encoded at a time.
-SLICE = 1_000_000
+SLICE = 2_000_000
 #: Lower-case letters of Latin-1 in UTF-8: normalising leaves them as they are, and a word of them is one pre-token.
 _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+_MARKS = b".,;:!?)"
+_SURROGATE = re.compile("[\ud800-\udfff]")
 #: The character that stands for a byte in a byte-level vocabulary: itself if it can be printed, else the next from 256 on.
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _AS_TEXT = dict(zip((b for b in range(256) if b not in _PRINTED), range(256, 512)))
@@ -72,41 +75,67 @@ class Encoder:
         self.new.update(zip(chunks, found, strict=True))
 
     def _add(self, missing: set[bytes]) -> None:
-        """Put chunks in the cache. A full stop or comma after an ASCII letter or digit is a pre-token of its own, so
-        only what stands before it is encoded."""
-        new = self.new
-        cut = [c for c in missing if c[-1] in b".," and len(c) > 1 and c[-2] < 128 and c[-2:-1].isalnum()]
-        rest = missing.difference(cut).union([c[:-1] for c in cut], (b".", b",")).difference(new)
-        for c in (c for c in rest if _LETTERS.fullmatch(c)):
-            word = c.decode() if c.isascii() else c.decode("latin-1").translate(_AS_TEXT)
-            new[c] = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-        rest = rest.difference(new)
-        odd = [c for c in rest if b"<|" in c]
-        plain = list(rest.difference(odd))
+        """Put chunks in the cache. A mark after a letter or digit is a pre-token of its own, so only what stands before
+        it is encoded."""
+        new, tokenize, simple = self.new, self.model.tokenize, _LETTERS.fullmatch
+        new[b""] = b""  # stands before and after white space at the ends of a text
+        missing.discard(b"")
+        cut = [c for c in missing if c[-1] in _MARKS and (c[-2:-1].isalnum() or c[-2:-1] > b"\x7f" and simple(c[:-1]))]
+        rest = missing.difference(cut)
+        rest.update([c[:-1] for c in cut], [c[-1:] for c in cut])
+        odd, plain = [], []
+        for c in rest:
+            if c in new:
+                continue
+            if c.isalpha() and c.islower():
+                new[c] = array("I", [t.id for t in tokenize(c.decode())]).tobytes()
+            elif simple(c):
+                new[c] = array("I", [t.id for t in tokenize(c.decode("latin-1").translate(_AS_TEXT))]).tobytes()
+            else:
+                (odd if b"<|" in c else plain).append(c)
         for part in [odd, *(plain[i : i + 4096] for i in range(0, len(plain), 4096))]:
             if part:
                 self._encode(part)
         new.update((c, new[c[:-1]] + new[c[-1:]]) for c in cut)
 
+    def _found(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of distinct chunks."""
+        new, old = self.new, self.old
+        missing = [c for c in chunks if c not in new]
+        again = [c for c in missing if c in old]
+        new.update((c, old[c]) for c in again)
+        self._add(set(missing).difference(again))
+        found = [new[c] for c in chunks]
+        for c in missing:
+            if len(c) > CACHE_CHUNK:
+                del new[c]
+        if len(new) > CACHE_ENTRIES:
+            self.old, self.new = new, {}
+        return found
+
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         if not self.by_words:
             for e in self.batch(texts, add_special_tokens=False):
                 yield array("I", e.ids).tobytes()
             return
-        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        # the ids don't depend on the case of A to Z, but the strings of special tokens do
-        chunks = [(r if b"<|" in r else r.lower()).split() for r in raw]
-        wanted = set().union(*chunks).difference(self.new)
-        self.new.update((c, self.old[c]) for c in wanted.intersection(self.old))
-        self._add(wanted.difference(self.new))
-        get = self.new.__getitem__
-        for c in chunks:
-            yield b"".join(map(get, c))
-        for c in wanted:
-            if len(c) > CACHE_CHUNK:
-                del self.new[c]
-        if len(self.new) > CACHE_ENTRIES:
-            self.old, self.new = self.new, {}
+        if any("<|" in t or not t.isascii() and _SURROGATE.search(t) for t in texts):
+            # the ids don't depend on the case of A to Z, but the strings of special tokens do
+            chunks = [(r if b"<|" in r else r.lower()).split() for r in (t.encode("utf-8", "surrogatepass") for t in texts)]
+            distinct = list(set().union(*chunks))
+            get = dict(zip(distinct, self._found(distinct), strict=True)).__getitem__
+            for c in chunks:
+                yield b"".join(map(get, c))
+            return
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+        coded = lists.flatten().dictionary_encode()
+        _, at, raw = coded.dictionary.buffers()
+        at, raw = np.frombuffer(at, np.int64, len(coded.dictionary) + 1).tolist(), raw.to_pybytes() if raw else b""
+        found = self._found([raw[a:b] for a, b in zip(at, at[1:], strict=False)])
+        made = pa.array(found, pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(made.buffers()[1], np.int64, len(made) + 1)[lists.offsets.to_numpy()] if len(made) else [0] * len(lists.offsets)
+        data = made.buffers()[2] or b""
+        for a, b in zip(ends, ends[1:], strict=False):
+            yield bytes(data[a:b])
 
 
 def _by_words(path: str) -> bool:
