@@ -75,3 +75,25 @@ def append_until(rows: DataFrame, path: str, checkpoint: str, stop: Callable[[Da
 
 def stream_table(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
+
+
+def drained(appending: Appending) -> Appending:
+    """Waits until all that a stream's source has now is written, then ends the stream; for sources that admit a part
+    of it at a time."""
+    try:
+        appending.query.processAllAvailable()
+    except StreamingQueryException:
+        if not appending.stopped:
+            raise
+    appending.stop()
+    return appending
+
+
+def sessions(events: DataFrame, key: str, at: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """Sessions of a key, batch or stream: key, start, last, n. Events of a key that are less than `gap` apart are one.
+
+    In a stream a session comes once the watermark has passed its end; rows older than the watermark are dropped, and
+    counted by metrics.Counters (late).
+    """
+    w = F.session_window(at, gap)
+    return events.withWatermark(at, late).groupBy(key, w).agg(F.min(at).alias("start"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n")).drop("session_window")
