@@ -1,4 +1,7 @@
-"""Tables whose columns can be added and renamed: columns are told by field ids in the Parquet files."""
+"""Tables whose columns can be added and renamed: a column has an id for good, which is its name in the Parquet files.
+
+(Spark's own field ids in Parquet files don't allow a new column under the old name of a renamed one.)
+"""
 
 from __future__ import annotations
 
@@ -9,7 +12,12 @@ from pyspark.sql.types import DataType, StructField, StructType
 
 from tablesmith.plans.manifest import Change, Manifest
 
-FIELD_ID = "parquet.field.id"
+ID = "id"
+
+
+def _stored(field: StructField) -> str:
+    """A column's name in files."""
+    return f"c{field.metadata[ID]}"
 
 
 class EvolvingTable:
@@ -18,8 +26,6 @@ class EvolvingTable:
 
     def __init__(self, spark: SparkSession, root: str, name: str):
         self.spark, self.name, self.manifest = spark, name, Manifest(spark, root)
-        spark.conf.set("spark.sql.parquet.fieldId.write.enabled", "true")
-        spark.conf.set("spark.sql.parquet.fieldId.read.enabled", "true")
 
     def schema(self) -> StructType:
         self.manifest.refresh()
@@ -38,7 +44,7 @@ class EvolvingTable:
     def add_column(self, name: str, kind: DataType) -> None:
         """A new column, null in the rows that are there; its id is beyond all that the table ever had."""
         change, fields = self._change(), self.schema().fields
-        self._set(change, [*fields, StructField(name, kind, True, {FIELD_ID: 1 + max((f.metadata[FIELD_ID] for f in fields), default=0)})])
+        self._set(change, [*fields, StructField(name, kind, True, {ID: 1 + max((f.metadata[ID] for f in fields), default=0)})])
 
     def rename_column(self, old: str, new: str) -> None:
         change, fields = self._change(), self.schema().fields
@@ -49,10 +55,13 @@ class EvolvingTable:
     def append(self, rows: DataFrame) -> None:
         """Rows of the present columns, by name; refused if the columns are changed meanwhile."""
         change, schema = self._change(), self.schema()
-        change.put(self.name, rows.select(*[rows[f.name].cast(f.dataType).alias(f.name, metadata=f.metadata) for f in schema.fields]))
+        change.put(self.name, rows.select(*[rows[f.name].cast(f.dataType).alias(_stored(f)) for f in schema.fields]))
         change.finish()
 
     def read(self) -> DataFrame:
         schema = self.schema()
         folders = self.manifest.folders(self.name, self.name)
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        stored = StructType([StructField(_stored(f), f.dataType, True) for f in schema.fields])
+        return self.spark.read.schema(stored).parquet(*folders).toDF(*schema.fieldNames())

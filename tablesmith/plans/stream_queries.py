@@ -51,10 +51,10 @@ def source_stream(s: SparkSession, d: str) -> DataFrame:
     return streamed(rows.select("page_id", "url", F.octet_length("html").cast("long").alias("n_bytes")), checkpoint)
 
 
-@query("""with recursive o as (select user_id as key, event_id as seq, ts as at, row_number() over (partition by user_id order by ts, event_id) as k from events),
-g(key, k, seq, at, hit, fetched_at) as (select key, k, seq, at, false, at from o where k = 1 union all
- select o.key, o.k, o.seq, o.at, o.at < g.fetched_at + interval 3600 second, case when o.at < g.fetched_at + interval 3600 second then g.fetched_at else o.at end from g join o on o.key = g.key and o.k = g.k + 1)
-select key, seq, hit, epoch_us(fetched_at) as fetched_us from g""")
+@query("""with recursive o as (select user_id as key, event_id as seq, ts, row_number() over (partition by user_id order by ts, event_id) as k from events),
+g(key, k, seq, hit, fetched) as (select key, k, seq, false, ts from o where k = 1 union all
+ select o.key, o.k, o.seq, o.ts < g.fetched + interval 3600 second, case when o.ts < g.fetched + interval 3600 second then g.fetched else o.ts end from g join o on o.key = g.key and o.k = g.k + 1)
+select key, seq, hit, epoch_us(fetched) as fetched_us from g""")
 def ttl_cache(s: SparkSession, d: str) -> DataFrame:
     """Requests by user, of which an entry serves those of the next 3,600 seconds."""
     e = table(s, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"))
