@@ -79,7 +79,9 @@ class _Scan:
         self.kinds = to_arrow_schema(schema)
         self.whole = {f.name: f.dataType.typeName() in ("long", "integer", "short", "byte", "string") for f in schema.fields}
 
-    def read(self, part: Rows) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Rows | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # Spark reads a source without partitions so
+            return
         fs, _ = _opened(self.path)
         at = 0
         for batch in pq.ParquetFile(fs.open_input_file(part.file)).iter_batches(batch_size=2_000, row_groups=[part.number], columns=self.columns):
