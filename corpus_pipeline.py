@@ -39,6 +39,16 @@ def _document() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), own)
 
 
+def _free(docs: DataFrame, *names: str) -> list[str]:
+    """These names, or longer ones that no column of docs has, whatever its case."""
+    taken, found = {c.lower() for c in docs.columns}, []
+    for n in names:
+        while n in taken:
+            n += "_"
+        found.append(n)
+    return found
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each component of similar documents one row: that with the smallest doc_id.
 
@@ -46,15 +56,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     a doc_id are compared like others and stay only where no row with one is similar. Texts without words are similar to
     none; such rows stay, one for each doc_id (and one of those without any).
     """
-    keyed = docs.withColumn("__document", _document())
-    found = materialize(jaccard.group_similar(keyed.select(F.col("__document").alias("doc_id"), "text"), size=NEAR_WORDS, percent=NEAR_PERCENT), "components")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__document")).distinct()
-    several = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__document")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__document")
-    left = keyed.join(gone, "__document", "left_anti")
+    document, place = _free(docs, "__document", "__row")
+    keyed = docs.withColumn(document, _document())
+    found = materialize(jaccard.group_similar(keyed.select(F.col(document).alias("doc_id"), "text"), size=NEAR_WORDS, percent=NEAR_PERCENT), "components")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(document)).distinct()
+    several = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(document)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(document)
+    left = keyed.join(gone, document, "left_anti")
     # rows of one document are few but for repeated ids; the window's limit keeps one row of each task before the shuffle
-    first = F.row_number().over(Window.partitionBy("__document").orderBy(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    repeated = left.join(several, "__document", "left_semi").withColumn("__row", first).where(F.col("__row") == 1)
-    return left.join(several, "__document", "left_anti").select(*docs.columns).unionByName(repeated.select(*docs.columns))
+    first = F.row_number().over(Window.partitionBy(document).orderBy(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    repeated = left.join(several, document, "left_semi").withColumn(place, first).where(F.col(place) == 1)
+    return left.join(several, document, "left_anti").select(*docs.columns).unionByName(repeated.select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,9 +75,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     row stays where another row of its doc_id is contaminated. Texts are told apart by a 64-bit hash.
     """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    keyed = docs.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    gone = decontaminate.decontaminate(keyed.select(F.col("__text").alias("doc_id"), "text"), benchmark).where("contaminated").select(F.col("doc_id").alias("__text")).distinct()
-    return keyed.join(gone, "__text", "left_anti").select(*docs.columns)
+    (key,) = _free(docs, "__text")
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    gone = decontaminate.decontaminate(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark).where("contaminated").select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
