@@ -115,11 +115,12 @@ def _ranges(rows: DataFrame, buckets: int) -> DataFrame:
     width = max(1, -(-(hi - lo + 1) // (64 * buckets)))
     made, end = [], hi
     for bucket, start in enumerate(starts):
-        made += [{"cell": cell, "lo": start, "hi": end, "bucket": bucket} for cell in range((start - lo) // width, (end - lo) // width + 1)]
+        made.append({"lo": start, "hi": end, "bucket": bucket})
         end = start - 1
-    table = _table(spark, made, "cell:bigint,lo:bigint,hi:bigint,bucket:int")
-    cell = F.floor((F.col("_key").cast("decimal(20,0)") - F.lit(lo).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("long")
-    return rows.withColumn("cell", cell).join(F.broadcast(table), "cell").where(F.col("_key").between(F.col("lo"), F.col("hi"))).drop("cell", "lo", "hi")
+    whole = lambda c: F.floor((F.col(c).cast("decimal(20,0)") - F.lit(lo).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("long")
+    # a range is a literal of the plan; its cells are made by the executors
+    table = _table(spark, made, "lo:bigint,hi:bigint,bucket:int").withColumn("cell", F.explode(F.sequence(whole("lo"), whole("hi"))))
+    return rows.withColumn("cell", whole("_key")).join(F.broadcast(table), "cell").where(F.col("_key").between(F.col("lo"), F.col("hi"))).drop("cell", "lo", "hi")
 
 
 def edit_with_next(docs: DataFrame) -> DataFrame:
