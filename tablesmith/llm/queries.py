@@ -20,7 +20,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    return url_filter.filter_urls(pages, url_filter.labels_of(pages, _table(spark, sf_dir, "labels")))
+    labels = url_filter.text_labels(pages, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return url_filter.filter_urls(pages, labels)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,11 @@ RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 RULE_TOKENS, SUPPORT, LEAST_ROWS, CONFIDENCE, CONVICTION = 3, 0.002, 10, 0.5, 1.5
 
 
+#: Labelled documents that toxic words are told from at most, and words that are kept at most, those in most documents
+#: first. A word is toxic if this share of its documents are, with one clean document added to them.
+FIT_LABELS, TOXIC_WORDS, WORD_SHARE = 200_000, 1_000, 0.9
+
+
 def host(url: Column) -> Column:
     """After the first :// up to /, ?, # or the end, A to Z lower-cased; empty for null or without ://."""
     found = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
@@ -144,6 +149,34 @@ def labels_of(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return pages.select("page_id", "url").join(told, "page_id").select("url", F.when(F.col("toxic") > 0, "block").otherwise("allow").alias("label"))
 
 
+def words(text: Column) -> Column:
+    """Distinct runs of letters, lower case."""
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), lambda w: w != ""))
+
+
+def toxic_words(documents: DataFrame, labels: DataFrame, most: int = FIT_LABELS) -> list[str]:
+    """Words by which labelled documents (doc_id, text; doc_id, toxic) are told to be toxic.
+
+    Counted over whole texts of all labelled documents up to `most`, those with the smallest hashes of their doc_id.
+    """
+    told = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic is not null")
+    told = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    each = documents.select("doc_id", "text").join(told, "doc_id").select((F.col("toxic") > 0).cast("long").alias("toxic"), F.explode(words(F.col("text"))).alias("word"))
+    counts = each.groupBy("word").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n"))
+    best = counts.where(F.col("bad") >= WORD_SHARE * (F.col("n") + 1)).orderBy(F.desc("bad"), "word").limit(TOXIC_WORDS)
+    return [r["word"] for r in best.collect()]
+
+
+def text_labels(pages: DataFrame, documents: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """(url, label) of all pages (url, html): block where the text between the tags has a toxic word, else allow. None
+    where no word is known to be toxic."""
+    bad = toxic_words(documents, labels)
+    if not bad:
+        return None
+    own = words(F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", " "))
+    return pages.select("url", F.when(F.arrays_overlap(own, F.array(*map(F.lit, bad))), "block").otherwise("allow").alias("label"))
+
+
 def filter_urls(pages: DataFrame, labels: DataFrame | None = None, rules: list[tuple[str, str]] = RULES, default: str = "allow", support: float = SUPPORT, confidence: float = CONFIDENCE, conviction: float = CONVICTION, least_rows: int = LEAST_ROWS) -> DataFrame:
     """Judge every page (page_id, url): page_id, host, path, rule, verdict, and the mined rule that fits.
 
