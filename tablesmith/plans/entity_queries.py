@@ -33,11 +33,11 @@ def same_url_merge(s: SparkSession, d: str) -> DataFrame:
     return graph.merged_by_url(p, "source_url", ["segment"]).select("segment", "confidence", "member_count", F.array_join("sources", "; ").alias("sources"))
 
 
-@query("""with n as (select distinct p_name || ' ' || p_brand as name from part), j as (select x.name as a, y.name as b, jaro_winkler_similarity(x.name, y.name) as v from n x join n y on x.name < y.name)
+@query("""with n as (select distinct p_type || ' ' || p_brand as name from part), j as (select x.name as a, y.name as b, jaro_winkler_similarity(x.name, y.name) as v from n x join n y on x.name < y.name)
 select a, b, round(v, 6) as similarity, case when v >= 0.95 then 'same' when v >= 0.85 then 'likely' else 'possible' end as tier from j where v >= 0.85""")
 def similar_names(s: SparkSession, d: str) -> DataFrame:
-    """Part names with their brand that are likely or surely the same."""
-    n = table(s, d, "part").select(F.concat_ws(" ", "p_name", "p_brand").alias("name"))
+    """Part types with their brand that are likely or surely the same."""
+    n = table(s, d, "part").select(F.concat_ws(" ", "p_type", "p_brand").alias("name"))
     return names.similar_names(n, names.TIERS["likely"]).select("a", "b", F.round("similarity", 6).alias("similarity"), "tier")
 
 
