@@ -84,3 +84,32 @@ def data_url(content: Column, content_type: Column) -> Column:
 def stringify_cell(data: Column, name: str) -> Column:
     """A field of a JSON object as a cell: strings raw, null or missing empty, anything else compact JSON."""
     return F.coalesce(F.get_json_object(data, f"$['{name}']"), F.lit(""))
+
+
+def utf8_lossy(content: Column) -> Column:
+    """Bytes as text: each longest broken piece of a character becomes U+FFFD."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
+def decode_strict(body: Column, kinds: dict[str, str]) -> Column:
+    """JSON objects as struct<value, error>: every field of kinds {name: type} must be there, not null and of its type.
+
+    error is null, or `not json` (no object, or one that is cut off), `missing: <the first such field>` or `wrong type`;
+    value is null then. Fields that kinds doesn't name are passed over. A null body is no JSON.
+    """
+    value = F.from_json(body, "struct<" + ", ".join(f"`{n}`: {t}" for n, t in kinds.items()) + ">", {"mode": "PERMISSIVE"})
+    loose = F.from_json(body, "map<string, string>")
+    gone = F.coalesce(*[F.when(F.element_at(loose, n).isNull(), n) for n in kinds])
+    wrong = F.coalesce(*[F.when(value[n].isNull(), "wrong type") for n in kinds])
+    error = F.when(loose.isNull(), "not json").when(gone.isNotNull(), F.concat(F.lit("missing: "), gone)).otherwise(wrong)
+    return F.struct(F.when(error.isNull(), value).alias("value"), error.alias("error"))
+
+
+def format_date(at: Column) -> Column:
+    """Month/day/year without leading zeros, in the session's time zone."""
+    return F.date_format(at, "M/d/yyyy")
+
+
+def score_percent(score: Column) -> Column:
+    """A score of 0 to 1 as whole per cents, halves upward."""
+    return F.floor(score * 100 + 0.5)

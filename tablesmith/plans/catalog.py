@@ -41,10 +41,10 @@ def insert_absent(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.unionByName(new.join(old, key, "left_anti"))
 
 
-def typed_settings(settings: DataFrame, kinds: dict[str, tuple[str, str]]) -> DataFrame:
-    """One row with each key of kinds {key: (type, default)}; absent or unparsable values become the default."""
+def typed_settings(settings: DataFrame, kinds: dict[str, tuple[str, str]], *by: str) -> DataFrame:
+    """One row (for each `by`) with each key of kinds {key: (type, default)}; absent or unparsable values become the default."""
     value = lambda k: F.max(F.when(F.col("key") == k, F.col("value")))
-    return settings.agg(*[F.coalesce(value(k).try_cast(t), F.lit(d).cast(t)).alias(k) for k, (t, d) in kinds.items()])
+    return settings.groupBy(*by).agg(*[F.coalesce(value(k).try_cast(t), F.lit(d).cast(t)).alias(k) for k, (t, d) in kinds.items()])
 
 
 def cascade_delete(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:

@@ -252,7 +252,7 @@ class ResearchEngine:
             if batch.isEmpty():
                 break
             change = self._step(run_id)
-            fetched = written(providers.fetch(batch.select("result_id", "url"), self.pages, most), "fetched")
+            fetched = written(providers.fetch(batch.select("result_id", "url"), self.pages, most, parsed_only=True), "fetched")
             docs = fetched.where("error is null").select("url", parse_html("html").alias("p")).select("url", "p.title", "p.text")
             docs = docs.repartition(max(1, int(float(config["max_parallel_extractions"])))) if self.model else docs
             told = providers.answers(docs, self.model or providers.TitleExtractor(), fields, cut if self.model else None)

@@ -112,13 +112,17 @@ def robots_filter(s, d):
     return providers.robots_allowed(p, rules).select("page_id", "path")
 
 
-_IMAGES = [("a", '{"results":[{"title":"t","url":"http://p/1","thumbnail":{"src":"http://t/1"},"properties":{"url":"http://i/1","width":4,"height":3}},{"title":"u","properties":{"url":"http://i/2"}}]}'), ("b", "{}")]
-
-
-@query(f"""with r as (select q, unnest(from_json(j->'results', '["JSON"]')) as x from {literal(_IMAGES, "q, j")})
-select q, x->>'$.properties.url' as image_url, coalesce(x->>'$.thumbnail.src', x->>'$.properties.url') as thumbnail_url, coalesce(x->>'$.url', '') as source_url, (x->>'$.properties.width')::bigint as width from r""")
+@query("""select (c_custkey // 20)::varchar as q, 'http://i/' || c_custkey as image_url, case when c_custkey % 2 > 0 then 'http://t/' || c_custkey else 'http://i/' || c_custkey end as thumbnail_url,
+case when c_custkey % 3 = 0 then 'http://p/' || c_custkey else '' end as source_url, case when c_custkey % 5 > 0 then c_custkey end as width from customer where (c_custkey // 20) % 7 > 0""")
 def image_results_parse(s, d):
-    r = responses.image_results(values(s, _IMAGES, "query_id string, body string"))
+    """Answers of 20 results, made from the customers; every seventh has none."""
+    k = F.col("c_custkey")
+    at = lambda x: F.concat(F.lit(f"http://{x}/"), k)
+    one = F.struct(F.col("c_name").alias("title"), F.when(k % 3 == 0, at("p")).alias("url"), F.when(k % 2 > 0, F.struct(at("t").alias("src"))).alias("thumbnail"), F.struct(at("i").alias("url"), F.when(k % 5 > 0, k).alias("width"), F.lit(3).alias("height")).alias("properties"))
+    page = F.floor(k / 20).alias("page")
+    body = F.when(F.col("page") % 7 > 0, F.to_json(F.struct(F.col("results")))).otherwise("{}")
+    made = table(s, d, "customer").groupBy(page).agg(F.collect_list(one).alias("results"))
+    r = responses.image_results(made.select(F.col("page").cast("string").alias("query_id"), body.alias("body")))
     return r.select(F.col("query_id").alias("q"), "image_url", "thumbnail_url", "source_url", "width")
 
 
@@ -239,13 +243,19 @@ def data_url(s, d):
     return table(s, d, "documents").select("doc_id", X.data_url(F.col("text").cast("binary"), F.lit("text/plain")).alias("url"))
 
 
-_SETTINGS = [("target_row_count", "75"), ("max_budget_usd", "x"), ("saturation_threshold", "0.1")]
 _KINDS = {"target_row_count": ("bigint", "50"), "max_budget_usd": ("double", "1.00"), "saturation_threshold": ("double", "0.05"), "dedup_similarity_threshold": ("double", "0.85")}
 
 
-@query(f"select {', '.join(f'''coalesce(max(try_cast(case when key = '{k}' then value end as {t})), {v}::{t}) as {k}''' for k, (t, v) in _KINDS.items())} from {literal(_SETTINGS, 'key, value')}")
+@query("""select o_orderkey as run_id, case when o_orderkey % 5 > 0 then o_custkey % 90 else 50 end as target_row_count, case when o_orderkey % 3 > 0 then (o_orderkey % 10 + 0.5)::double else 1.0::double end as max_budget_usd,
+case when o_orderkey % 4 > 0 then 0.1::double else 0.05::double end as saturation_threshold, 0.85::double as dedup_similarity_threshold from orders""")
 def typed_settings(s, d):
-    return catalog.typed_settings(values(s, _SETTINGS, "key string, value string"), _KINDS)
+    """The settings of a run for each order: some absent, null or no numbers."""
+    k = F.col("o_orderkey")
+    pair = lambda name, value: F.struct(F.lit(name).alias("key"), value.cast("string").alias("value"))
+    budget = F.when(k % 3 > 0, F.concat(k % 10, F.lit(".5"))).otherwise("x")
+    told = F.array(pair("target_row_count", F.when(k % 5 > 0, F.col("o_custkey") % 90)), pair("max_budget_usd", budget), pair("saturation_threshold", F.lit("0.1")))
+    rows = table(s, d, "orders").select(k.alias("run_id"), F.explode(F.when(k % 4 > 0, told).otherwise(F.slice(told, 1, 2))).alias("x"))
+    return catalog.typed_settings(rows.select("run_id", "x.*"), _KINDS, "run_id")
 
 
 # C: filters and validation
@@ -548,19 +558,25 @@ def normalize_names(s, d):
     return table(s, d, "part").select("p_partkey", X.normalize_name(F.concat(F.lit("  "), "p_name", F.lit(" "))).alias("name"))
 
 
-@query("select l_orderkey, l_linenumber::bigint as l_linenumber, printf('%.2f', l_extendedprice / 7) as price from lineitem where l_extendedprice < 90000000")
+@query("select l_orderkey, l_linenumber::bigint as l_linenumber, printf('%.2f', l_extendedprice / 7) as price from lineitem")
 def format_2dp(s, d):
     return table(s, d, "lineitem").select("l_orderkey", long("l_linenumber"), X.format_2dp(F.col("l_extendedprice") / 7).alias("price"))
 
 
-_SCORES = [("[0.5, 2, -1]", 3), ("Scores: [0.9] ok", 2), ("none", 2), ("[0.1, 0.2, 0.3]", 2), ("[]", 1), ("[1, x]", 2)]
-_PARSED = [[0.5, 1.0, 0.0], [0.9, 0.0], [0.0, 0.0], [0.1, 0.2], [0.0], [0.0, 0.0]]
-
-
-@query(f"select r, k::bigint as k, score::double as score from {literal([(r, k, v) for (r, _), vs in zip(_SCORES, _PARSED, strict=True) for k, v in enumerate(vs)], 'r, k, score')}")
+@query(r"""with a as (select event_id, event_id % 10 as v, [3, 2, 2, 2, 1, 2][event_id % 6 + 1] as n from events),
+b as (select event_id, n, case event_id % 6 when 0 then '[0.' || v || ', 2, -1]' when 1 then 'Scores: [0.' || v || '] ok' when 2 then 'none' when 3 then '[0.1, null, 0.3]' when 4 then '[]' else '[0.' || v || ', x]' end as r from a),
+c as (select event_id, n, case when json_valid(j) then j::double[] end as vs from (select event_id, n, regexp_extract(r, '\[.*\]', 0) as j from b))
+select event_id, k::bigint as k, coalesce(least(1.0, greatest(0.0, vs[k + 1])), 0.0)::double as score from c, range(0, c.n) t(k)""")
 def parse_scores(s, d):
-    v = values(s, _SCORES, "r string, n int")
-    return v.select("r", F.posexplode(X.parse_scores(F.col("r"), F.col("n"))).alias("k", "score")).withColumn("k", F.col("k").cast("long"))
+    k, v = F.col("event_id"), F.concat(F.lit("[0."), F.col("event_id") % 10)
+    shape = k % 6
+    response = (
+        F.when(shape == 0, F.concat(v, F.lit(", 2, -1]"))).when(shape == 1, F.concat(F.lit("Scores: "), v, F.lit("] ok"))).when(shape == 2, "none")
+        .when(shape == 3, "[0.1, null, 0.3]").when(shape == 4, "[]").otherwise(F.concat(v, F.lit(", x]")))
+    )
+    n = F.array(*[F.lit(x) for x in (3, 2, 2, 2, 1, 2)])[shape.cast("int")]
+    made = table(s, d, "events").select("event_id", response.alias("r"), n.alias("n"))
+    return made.select("event_id", F.posexplode(X.parse_scores(F.col("r"), F.col("n"))).alias("k", "score")).withColumn("k", F.col("k").cast("long"))
 
 
 @query("""with p as (select distinct p_name as q from part), a as (select q, list_filter([q, case when lower(q) not like '%photo%' and lower(q) not like '%image%' and lower(q) not like '%picture%' then q || ' photos' end,
@@ -571,9 +587,10 @@ def query_variations(s, d):
     return p.select("q", F.posexplode(X.query_variations(F.col("q"))).alias("k", "variation")).withColumn("k", F.col("k").cast("long"))
 
 
-@query("select k, least(2.0 * power(2.0, k), 30.0) as seconds from range(0, 8) t(k)")
+@query("select l_orderkey, l_linenumber::bigint as attempt, least(2.0 * power(2.0, l_linenumber), 30.0)::double as seconds from lineitem")
 def backoff_schedule(s, d):
-    return s.range(8).select(F.col("id").alias("k"), X.backoff_seconds(F.col("id"), 2.0, 2.0, 30.0).alias("seconds"))
+    """The waits of each order's call, whose lines are its attempts."""
+    return table(s, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("attempt"), X.backoff_seconds(F.col("l_linenumber"), 2.0, 2.0, 30.0).alias("seconds"))
 
 
 @query("select c_custkey, c_custkey % 3 as agent, case when c_custkey // 60 > 0 then (c_custkey // 60) || 'm ' || (c_custkey % 60) || 's' else c_custkey || 's' end as elapsed from customer")
@@ -581,16 +598,48 @@ def format_elapsed(s, d):
     return table(s, d, "customer").select("c_custkey", F.pmod(F.col("c_custkey"), F.lit(3)).cast("long").alias("agent"), X.format_elapsed(F.col("c_custkey")).alias("elapsed"))
 
 
-@query("select unnest(['pending', 'interpreting', 'planning', 'completed']) as state, unnest(['pending', 'running', 'running', 'completed']) as status")
+_STATES = ["pending", "interpreting", "schema_planning", "searching", "extracting", "paused", "completed", "failed", "cancelled"]
+
+
+@query(f"select event_id, {_STATES!r}[event_id % 9 + 1] as state, case when event_id % 9 between 1 and 4 then 'running' else {_STATES!r}[event_id % 9 + 1] end as status from events")
 def status_map(s, d):
-    v = values(s, [("pending",), ("interpreting",), ("planning",), ("completed",)], "state string")
-    return v.select("state", X.run_status(F.col("state")).alias("status"))
+    state = F.array(*[F.lit(x) for x in _STATES])[(F.col("event_id") % 9).cast("int")]
+    return table(s, d, "events").select("event_id", state.alias("state")).withColumn("status", X.run_status(F.col("state")))
 
 
-@query("select '- name (text, required): full name' || chr(10) || '- site (url): home' as prompt")
+@query("""select l_orderkey, string_agg('- c' || l_linenumber || ' (' || case when l_partkey % 2 = 0 then 'text' else 'url' end || case when l_linenumber = 1 then ', required' else '' end || '): part ' || l_partkey, chr(10) order by l_linenumber, l_partkey) as prompt
+from lineitem group by 1""")
 def prompt_columns(s, d):
-    v = values(s, [([("name", "text", True, "full name"), ("site", "url", False, "home")],)], "c array<struct<name:string,type:string,required:boolean,description:string>>")
-    return v.select(X.prompt_columns(F.col("c")).alias("prompt"))
+    """A table definition for each order, whose lines are its columns."""
+    n, part = F.col("l_linenumber"), F.col("l_partkey")
+    column = F.struct(n.alias("n"), part.alias("part"), F.concat(F.lit("c"), n).alias("name"), F.when(part % 2 == 0, "text").otherwise("url").alias("type"), (n == 1).alias("required"), F.concat(F.lit("part "), part).alias("description"))
+    made = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(column)).alias("c"))
+    return made.select("l_orderkey", X.prompt_columns(F.col("c")).alias("prompt"))
+
+
+@query("select doc_id, chr(65533) || text || chr(65533) as text from documents where text is not null")
+def utf8_lossy(s, d):
+    """Whole texts as bytes, with one that is never valid before them and half a character after them."""
+    t = table(s, d, "documents").where("text is not null")
+    broken = F.concat(F.unhex(F.lit("FF")), F.encode("text", "UTF-8"), F.unhex(F.lit("C3")))
+    return t.select("doc_id", X.utf8_lossy(broken).alias("text"))
+
+
+@query("""select c_custkey, case when c_custkey % 5 > 0 then c_name end as name, case when c_custkey % 5 > 0 then c_nationkey::bigint end as nation,
+case c_custkey % 5 when 0 then case c_custkey % 3 when 0 then 'not json' when 1 then 'missing: nation' else 'wrong type' end end as error from customer""")
+def strict_decode(s, d):
+    """Answers made from customers, decoded strictly; a fifth are cut off, lack a field or have one of another type."""
+    k = F.col("c_custkey")
+    whole = F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")))
+    lame = F.when(k % 3 == 0, F.expr("left(body, length(body) - 1)")).when(k % 3 == 1, F.to_json(F.struct(F.col("c_name").alias("name")))).otherwise(F.to_json(F.struct(F.col("c_name").alias("name"), F.lit("far").alias("nation"))))
+    made = table(s, d, "customer").withColumn("body", whole).withColumn("body", F.when(k % 5 > 0, F.col("body")).otherwise(lame))
+    x = X.decode_strict(F.col("body"), {"name": "string", "nation": "bigint"})
+    return made.select("c_custkey", x.alias("x")).select("c_custkey", "x.value.*", "x.error")
+
+
+@query("select event_id, strftime(ts, '%-m/%-d/%Y') as day, floor(event_id % 1000 / 1000.0::double * 100.0::double + 0.5::double)::bigint as percent from events")
+def shown_values(s, d):
+    return table(s, d, "events").select("event_id", X.format_date(F.col("ts")).alias("day"), X.score_percent(F.col("event_id") % 1000 / 1000).alias("percent"))
 
 
 # B: exports

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablesmith.functions.text import utf8_lossy
 from tablesmith.operators.dedup import first_by_key
 from tablesmith.operators.shared import written
 
@@ -87,17 +88,22 @@ def collect_results(results: DataFrame) -> DataFrame:
     return first_by_key(results, "url", ["priority", "query_id", "position"])
 
 
-def fetch(urls: DataFrame, pages: DataFrame, most_bytes: int = 5_000 * 1024) -> DataFrame:
-    """urls (url, ...) -> with html and error (not_found, http_status, too_large or null), from a table of pages; the
-    status of a page, where the table has any, must be 200 to 299."""
+def fetch(urls: DataFrame, pages: DataFrame, most_bytes: int = 5_000 * 1024, parsed_only: bool = False) -> DataFrame:
+    """urls (url, ...) -> with html and error (invalid_url, not_found, too_large, http_status or null), from a table of pages.
+
+    The status of a page, where the table has any, must be 200 to 299. A binary html is decoded, broken bytes replaced;
+    its bytes are measured before. With parsed_only a URL without a scheme and a host isn't looked up.
+    """
     names = [c for c in ("url", "html", "status") if c in pages.columns]
     body = first_by_key(pages.select("page_id", *names), "url", ["page_id"]).select(*names)
+    wanted = F.col("url").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#\s]") if parsed_only else F.lit(True)
     out = urls.join(body, "url", "left")
-    error = F.when(F.col("html").isNull(), "not_found")
-    if "status" in pages.columns:
-        error = error.when(~F.col("status").between(200, 299), "http_status")
+    error = F.when(~F.coalesce(wanted, F.lit(False)), "invalid_url").when(F.col("html").isNull(), "not_found")
     error = error.when(F.octet_length("html") > most_bytes, "too_large")
-    return out.withColumn("error", error).withColumn("html", F.when(F.col("error").isNull(), F.col("html"))).drop("status")
+    if "status" in pages.columns:
+        error = error.when(~F.coalesce(F.col("status").between(200, 299), F.lit(False)), "http_status")
+    html = utf8_lossy(F.col("html")) if dict(pages.dtypes)["html"] == "binary" else F.col("html")
+    return out.withColumn("error", error).withColumn("html", F.when(F.col("error").isNull(), html)).drop("status")
 
 
 def decode_rows(answer: str) -> list[tuple[str, float]]:
@@ -134,37 +140,67 @@ class AnswerExtractor:
         return decode_rows(self.complete("extract", json.dumps({"columns": [f.name for f in fields], "title": title, "url": url, "text": text}, ensure_ascii=False)))
 
 
+class GaveUp(Exception):
+    """A call that failed though it was repeated; nobody above repeats it."""
+
+
+class RoutedModel:
+    """A text model made of several: roles names the one for a role ("extract", "scores", ...), others go to `default`.
+
+    A call is repeated three times after errors worth it, at 2 seconds, growing to 60; other errors pass at once. To
+    extract rows use AnswerExtractor(routed.complete).
+    """
+
+    def __init__(self, models: dict[str, Any], default: str, roles: dict[str, str] | None = None, retries: int = 3, sleep: Callable[[float], None] = time.sleep):
+        self.models, self.default, self.roles, self.retries, self.sleep = models, default, roles or {}, retries, sleep
+        if gone := {default, *self.roles.values()} - set(models):
+            raise ValueError(f"no such model: {', '.join(sorted(gone))}")
+
+    def complete(self, role: str, content: str) -> str:
+        model = self.models[self.roles.get(role, self.default)]
+        try:
+            return with_retry(lambda: model.complete(role, content), self.retries, most=60.0, sleep=self.sleep)
+        except Retryable as e:
+            raise GaveUp(f"{role}: {e}") from None
+
+
 class FallbackSearch:
-    """Searches with the first provider, again after errors worth it, then with the second.
+    """Searches (pages or images) with the first provider, again after errors worth it, then with the second.
 
     Results are written, so that errors of lazy providers are met here. If a search for all queries fails, each query
     is searched by itself (a run has a few dozen), and only those that fail go to the second provider.
     """
 
-    def __init__(self, primary: SearchProvider, fallback: SearchProvider | None = None, retries: int = 2, sleep: Callable[[float], None] = time.sleep):
+    def __init__(self, primary: Any, fallback: Any | None = None, retries: int = 2, sleep: Callable[[float], None] = time.sleep):
         self.primary, self.fallback, self.retries, self.sleep = primary, fallback, retries, sleep
 
-    def _all(self, provider: SearchProvider, queries: DataFrame, retries: int) -> DataFrame:
-        return with_retry(lambda: written(provider.search(queries), "found"), retries, sleep=self.sleep)
+    def _all(self, verb: str, provider: Any, queries: DataFrame, retries: int) -> DataFrame:
+        return with_retry(lambda: written(getattr(provider, verb)(queries), "found"), retries, sleep=self.sleep)
 
-    def _one(self, query: DataFrame) -> DataFrame:
+    def _one(self, verb: str, query: DataFrame) -> DataFrame:
         try:
-            return self._all(self.primary, query, self.retries)
+            return self._all(verb, self.primary, query, self.retries)
         except Exception:
             if self.fallback is None:
                 raise
-            return self._all(self.fallback, query, 0)
+            return self._all(verb, self.fallback, query, 0)
 
-    def search(self, queries: DataFrame) -> DataFrame:
+    def _search(self, verb: str, queries: DataFrame) -> DataFrame:
         try:
-            return self._all(self.primary, queries, 0)
+            return self._all(verb, self.primary, queries, 0)
         except Exception:
             rows = queries.collect()
             if not rows:
                 raise
-            each = [self._one(queries.sparkSession.createDataFrame([r], queries.schema)) for r in rows]
+            each = [self._one(verb, queries.sparkSession.createDataFrame([r], queries.schema)) for r in rows]
             return functools.reduce(DataFrame.unionByName, each)
 
+    def search(self, queries: DataFrame) -> DataFrame:
+        return self._search("search", queries)
+
+    def search_images(self, queries: DataFrame) -> DataFrame:
+        return self._search("search_images", queries)
+
 
 def rate_limit_slots(requests: DataFrame, interval_ms: int = 2000, burst: int = 3) -> DataFrame:
     """requests (host, at_ms, seq) -> with slot_ms, the earliest time at which each may go: a token bucket per host.
