@@ -9,6 +9,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -279,12 +280,13 @@ def test_sharding_is_exact_and_whole(spark, sf):
     assert place(again) == place(found) != place(sharding.shuffle_shards(docs, seed=7).collect())
 
 
-def test_sharding_is_uniform(spark):
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_sharding_is_uniform(spark, blocks):
     """Over many seeds each of 12 rows (in 3 partitions) is in each of the 12 places about equally often."""
     docs = spark.range(0, 12, 1, 3).withColumnRenamed("id", "doc_id").withColumn("text", F.lit("t"))
     seen, runs = np.zeros((12, 12)), 60
     for seed in range(runs):
-        for r in sharding.shuffle_shards(docs, shards=4, seed=seed, blocks=1).collect():
+        for r in sharding.shuffle_shards(docs, shards=4, seed=seed, blocks=blocks).collect():
             seen[r.doc_id, 3 * r.shard + r.slot] += 1
     assert seen.sum(axis=0).tolist() == [runs] * 12
     chi = ((seen - runs / 12) ** 2 / (runs / 12)).sum()
@@ -295,12 +297,15 @@ def test_sharding_odd_rows(spark):
     found = sharding.shuffle_shards(odd(spark), shards=5)
     assert Counter((r.doc_id, r.text) for r in found.collect()) == Counter(ODD)
     assert sharding.shuffle_shards(odd(spark, [])).count() == 0
+    clash = odd(spark).withColumnsRenamed({"shard": "Shard", "score": "SLOT", "n_chars": "_KEY", "source": "_Block"})
+    found = sharding.shuffle_shards(clash, shards=2)
+    assert found.columns[-2:] == ["shard", "slot"] and Counter((r.doc_id, r.text) for r in found.collect()) == Counter(ODD)
 
 
 @settings(deadline=None, max_examples=50)
 @given(st.lists(st.integers(0, 30), min_size=1, max_size=9), st.integers(1, 6), st.integers(0, 1000))
 def test_matrix_has_its_margins(counts, shards, seed):
-    sizes = sharding.block_sizes(sum(counts), shards, 2)
+    sizes = sharding.shard_sizes(sum(counts), 2 * shards)
     made = np.array([sharding.matrix_row(i, np.array(counts), sizes, seed) for i in range(len(counts))])
     assert (made >= 0).all() and made.sum(axis=1).tolist() == counts and made.sum(axis=0).tolist() == sizes.tolist()
 
@@ -317,6 +322,26 @@ def test_draws_are_hypergeometric():
         sharding.POPULATION = old
 
 
+@pytest.mark.parametrize(("good", "bad", "sample"), [(40, 60, 30), (1, 9, 3), (700, 300, 990), (12, 5_000, 4_000)])
+def test_probabilities_are_exact(good, bad, sample):
+    for k in range(max(0, sample - bad), min(good, sample) + 1):
+        exact = Fraction(math.comb(good, k) * math.comb(bad, sample - k), math.comb(good + bad, sample))
+        own = sharding.log_probability(k, good, bad, sample)
+        assert abs(own - (math.log(exact.numerator) - math.log(exact.denominator))) < 1e-9
+
+
+@pytest.mark.parametrize(("good", "bad", "sample"), [(10**12, 7 * 10**12, 3 * 10**12), (10**13, 10**13, 10**6), (3 * 10**9, 10, 10**9)])
+def test_large_draws(good, bad, sample):
+    """Mean and spread at populations beyond numpy's, within five standard errors; margins kept."""
+    rng, n, runs = np.random.default_rng(3), good + bad, 300
+    own = [sharding._large(rng, good, bad, sample) for _ in range(runs)]
+    assert all(max(0, sample - bad) <= k <= min(good, sample) for k in own)
+    mean, spread = sample * (good / n), math.sqrt(sample * (good / n) * (bad / n) * ((n - sample) / (n - 1)))
+    z = [(k - mean) / spread for k in own]
+    assert abs(np.mean(z)) < 5 / math.sqrt(runs)
+    assert abs(np.var(z) - 1) < 5 * math.sqrt(2 / runs)
+
+
 # language
 
 
