@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
+import array
+import functools
+import itertools
 import math
+import zlib
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.operators.shared import written
+from tablesmith.operators.shared import written, written_and_counted
 
 THRESHOLD = 0.85
+#: Characters of a segment from which names are told by segments; keys and pairs that a task sends on at a time.
+SEGMENT, KEYS = 6, 50_000
+#: Columns of a matrix of trigrams; names of a block, those compared with a block at a time, blocks of fewer names, and
+#: tasks that compare blocks at most.
+GRAMS, BLOCK, TILE, BLOCKS, TASKS = 1_024, 4_096, 256, 16, 1_000
 
 
 def first_by_key(rows: DataFrame, key: str, order: list) -> DataFrame:
@@ -58,18 +71,28 @@ def _edits(n: int, threshold: float) -> int:
     return 2 * math.floor((1 - threshold) * n + 1e-9)
 
 
+def _by_segments(short: int, long: int, threshold: float) -> bool:
+    """Whether names of these lengths are similar only if they share a segment of at least SEGMENT characters."""
+    return short // (_edits(long, threshold) + 1) >= SEGMENT
+
+
+def _partners(n: int, threshold: float) -> range:
+    """The lengths of names that can be similar to one of n characters."""
+    return range(math.ceil(threshold * n - 1e-9), math.floor(n / threshold + 1e-9) + 1)
+
+
 def _signatures(threshold: float, longer: bool):
     """Keys that similar names share: with e edits, one of e + 1 segments of the shorter name stands in the longer."""
 
     def keys(name: str):
         n = len(name)
-        partners = range(math.ceil(threshold * n - 1e-9), n + 1) if longer else range(n, math.floor(n / threshold + 1e-9) + 1)
-        for m in partners:
+        for m in _partners(n, threshold):
+            if (m > n) if longer else (m < n):
+                continue
             short, long = (m, n) if longer else (n, m)
-            e = _edits(long, threshold)
-            if short <= e:
-                yield f"{short} {long}"
+            if not _by_segments(short, long, threshold):
                 continue
+            e = _edits(long, threshold)
             size, extra, at = short // (e + 1), short % (e + 1), 0
             for i in range(e + 1):
                 w = size + (i >= e + 1 - extra)
@@ -79,22 +102,99 @@ def _signatures(threshold: float, longer: bool):
 
     def run(frames):
         for f in frames:
-            made = [(n, k) for n in f["name"] for k in dict.fromkeys(keys(n))]
-            yield pd.DataFrame(made, columns=["name", "key"])
+            each = ((n, k) for n in f["name"] for k in dict.fromkeys(keys(n)))
+            while made := list(itertools.islice(each, KEYS)):
+                yield pd.DataFrame(made, columns=["name", "key"])
+
+    return run
+
+
+@functools.cache
+def _dense(n: int, threshold: float) -> bool:
+    """Whether a name of n characters can be similar to one with which it needn't share a segment."""
+    return not all(_by_segments(min(m, n), max(m, n), threshold) for m in _partners(n, threshold))
+
+
+def _grams(threshold: float):
+    """Names that can be similar to some that share no segment, with their trigrams (the second of a kind is another
+    than the first) as numbers below GRAMS."""
+
+    def numbers(name: str) -> bytes:
+        seen: Counter[str] = Counter()
+        out = array.array("H")
+        for k in range(len(name) - 2):
+            g = name[k : k + 3]
+            out.append(zlib.crc32(g.encode(), seen[g]) % GRAMS)
+            seen[g] += 1
+        return out.tobytes()
+
+    def run(frames):
+        for f in frames:
+            made = [(n, len(n), numbers(n)) for n in f["name"] if _dense(len(n), threshold)]
+            yield pd.DataFrame(made, columns=["name", "n", "grams"])
 
     return run
 
 
+def _in_blocks(threshold: float):
+    """Pairs of two blocks (or of one) that can be similar: enough trigrams in common, told by products of counts.
+
+    An insertion, deletion or replacement takes 3 trigrams of the longer name at most, a transposition 4. Numbers that
+    trigrams share only make a product greater, so no pair is lost.
+    """
+
+    def counts(grams: list[bytes]) -> np.ndarray:
+        at = np.repeat(np.arange(len(grams)), [len(g) // 2 for g in grams])
+        flat = at * GRAMS + np.frombuffer(b"".join(grams), np.uint16)
+        return np.bincount(flat, minlength=len(grams) * GRAMS).reshape(-1, GRAMS).astype(np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        i, j, own = t.column("i")[0].as_py(), t.column("j")[0].as_py(), t.column("p").to_numpy()
+        left, right = (t.filter(pa.array(own == x)) for x in (i, j))
+        names, others = left.column("name").combine_chunks(), right.column("name").combine_chunks()
+        wide, n, m = counts(right.column("grams").to_pylist()).T, left.column("n").to_numpy(), right.column("n").to_numpy()
+        top = int(max(n.max(initial=0), m.max(initial=0)))
+        most = np.array([_edits(x, threshold) // 2 for x in range(top + 1)])
+        for k in range(0, len(n), TILE):
+            longest, shortest = (f(n[k : k + TILE, None], m[None]) for f in (np.maximum, np.minimum))
+            allowed = most[longest]
+            near = (counts(left.column("grams")[k : k + TILE].to_pylist()) @ wide >= longest - 2 - 4 * allowed) & (shortest >= longest - allowed)
+            a, b = np.nonzero(near)
+            a += k
+            apart = a < b if i == j else np.ones(len(a), bool)
+            apart &= shortest[a - k, b] // (2 * allowed[a - k, b] + 1) < SEGMENT  # others are told by segments
+            a, b = a[apart], b[apart]
+            for s in range(0, len(a), KEYS):
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(a[s : s + KEYS])), others.take(pa.array(b[s : s + KEYS]))], names=["x", "y"])
+
+    return run
+
+
+def _block_pairs(names: DataFrame, threshold: float) -> DataFrame:
+    """(x, y) of distinct names that can be similar though they needn't share a segment: each block of at most about
+    BLOCK names meets each other, a task holds two of them, and what it finds goes out in batches."""
+    made, counted = written_and_counted(names.mapInPandas(_grams(threshold), "name string, n long, grams binary"), "grams", {"n": F.count(F.lit(1))})
+    n = counted["n"]
+    blocks = max(-(-n // BLOCK), min(BLOCKS, -(-n // 256)), 1)
+    p, q = F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = made.withColumn("p", p).withColumn("q", q).select(F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "name", "n", "grams")
+    return dealt.repartition(min(blocks * (blocks + 1) // 2, TASKS), "i", "j").groupBy("i", "j").applyInArrow(_in_blocks(threshold), "x string, y string")
+
+
 def fuzzy_pairs(names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, dl) of distinct non-empty names with 1 - dl / longest >= threshold, a < b; threshold above 0.
 
-    Candidates share a segment by place and length, so nothing is compared with all names of a length; a native
-    Levenshtein bound comes before the exact distance.
+    Where similar names must share a long segment, candidates do so by place and length, and nothing is compared with
+    all names of a length. Otherwise (names of 60 characters at 0.85 share 3 of them at least) every two names are
+    compared, in blocks, by their trigrams: the time grows with the square of the distinct names, the memory of a task
+    doesn't. A native Levenshtein bound comes before the exact distance.
     """
-    names = names.where("name <> ''").select("name").distinct()
+    names = written(names.where("name <> ''").select("name").distinct(), "names")
     short, long = (names.mapInPandas(_signatures(threshold, x), "name string, key string") for x in (False, True))
-    pairs = short.withColumnRenamed("name", "x").join(long.withColumnRenamed("name", "y"), "key").where("x <> y")
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = short.withColumnRenamed("name", "x").join(long.withColumnRenamed("name", "y"), "key").where("x <> y").select("x", "y")
+    ordered = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
+    pairs = pairs.select(*ordered).distinct().unionByName(_block_pairs(names, threshold).select(*ordered))
     longest = F.greatest(F.length("a"), F.length("b"))
     near = pairs.where(F.levenshtein("a", "b") <= 2 * F.floor((1 - threshold) * longest + 1e-9))
     return near.withColumn("dl", damerau_distance("a", "b").cast("long")).where(1.0 - F.col("dl") / longest >= threshold)

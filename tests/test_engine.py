@@ -6,6 +6,7 @@ import random
 import zipfile
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +56,20 @@ def test_fuzzy_groups_against_greedy_loop(spark, threshold):
     assert {r.seq: r.leader for r in found.collect()} == brute_groups(rows, threshold)
 
 
+def test_pairs_of_long_names_against_all_pairs_and_what_a_task_holds(spark):
+    rng = random.Random(3)
+    bases = ["".join(rng.choice("etao nhis") for _ in range(60)) for _ in range(60)]
+    swapped = lambda n, k: n[:k] + n[k + 1] + n[k] + n[k + 2 :]
+    names = sorted({x for b in bases for x in (b, b[7:], swapped(swapped(b, 5), 30)[1:-4], "".join("x" if k % 7 == 0 else c for k, c in enumerate(b)), b[:4])})
+    for threshold in (0.85, 0.96):
+        near = lambda x, y: 1.0 - dedup.damerau(x, y) / max(len(x), len(y)) >= threshold  # noqa: B023, E731
+        want = {(x, y) for k, x in enumerate(names) for y in names[k + 1 :] if min(len(x), len(y)) >= threshold * max(len(x), len(y)) and near(x, y)}
+        assert {(r.a, r.b) for r in dedup.fuzzy_pairs(spark.createDataFrame([(n,) for n in names], "name string"), threshold).collect()} == want and want
+    many = pd.DataFrame({"name": ["".join(rng.choice("etao nhis") for _ in range(60)) for _ in range(500)]})
+    for threshold in (0.85, 0.96):  # before, one frame of millions of keys
+        assert max((len(f) for f in dedup._signatures(threshold, True)(iter([many]))), default=0) <= 50_000
+
+
 def test_damerau():
     assert [dedup.damerau(*p) for p in (("ca", "abc"), ("", "ab"), ("apple inc", "apple inc."), ("ab", "ba"), ("é", "e"))] == [2, 2, 1, 1, 1]
 
