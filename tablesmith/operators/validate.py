@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -29,13 +30,22 @@ class Field(NamedTuple):
     description: str = ""
 
 
-def _field(f: Field) -> tuple[Column, Column, Column, Column]:
-    """(present and not null, is a string, the string, is a number) of a field."""
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once however often it is used; a filter on an expression that Spark has
+    moved to the scan would compute it for each use."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _read(f: Field, v: Column) -> Column:
+    """A struct of a field: there (present and not null), is_text, text, is_number."""
     path = f"$['{f.name}']"
-    value = F.try_variant_get(F.col("_v"), path, "variant")
-    kind = F.schema_of_variant(value)
-    there = value.isNotNull() & ~F.is_variant_null(value)
-    return there, kind == "STRING", F.try_variant_get(F.col("_v"), path, "string"), kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)")
+
+    def told(value: Column) -> Column:
+        kind = F.schema_of_variant(value)
+        there = value.isNotNull() & ~F.is_variant_null(value)
+        return F.struct(there.alias("there"), (kind == "STRING").alias("is_text"), F.try_variant_get(value, "$", "string").alias("text"), kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)").alias("is_number"))
+
+    return _once(F.try_variant_get(v, path, "variant"), told)
 
 
 def _said(message: str, name: str, text: Column) -> Column:
@@ -44,8 +54,8 @@ def _said(message: str, name: str, text: Column) -> Column:
     return F.concat(F.lit(before), text, F.lit(after))
 
 
-def _type_issue(f: Field) -> Column:
-    there, is_text, text, is_number = _field(f)
+def _type_issue(f: Field, x: Column) -> Column:
+    there, is_text, text, is_number = (x[n] for n in ("there", "is_text", "text", "is_number"))
     if f.type == "number":
         wrong = F.when(is_text & ~text.rlike(NUMBER), _said(NOT_NUMBER_TEXT, f.name, text)).when(~is_text & ~is_number, NOT_NUMBER % f.name)
         return F.when(there, wrong)
@@ -55,21 +65,25 @@ def _type_issue(f: Field) -> Column:
     return F.when(there & is_text & ~good[f.type], _said(NOT_A[f.type], f.name, text))
 
 
-def _required_issue(f: Field) -> Column:
-    there, is_text, text, _ = _field(f)
+def _required_issue(f: Field, x: Column) -> Column:
     if not f.required:
         return F.lit(None).cast("string")
-    return F.when(~F.coalesce(there, F.lit(False)) | (is_text & (text == "")), MISSING % f.name)
+    return F.when(~F.coalesce(x["there"], F.lit(False)) | (x["is_text"] & (x["text"] == "")), MISSING % f.name)
 
 
 def validate(rows: DataFrame, fields: list[Field], min_confidence: float = 0.5) -> DataFrame:
     """Adds issues (array) and is_valid to rows (data JSON, confidence, ...): confidence, then required, then types."""
-    v = F.col("_v")
-    is_object = v.isNotNull() & F.schema_of_variant(v).startswith("OBJECT")
     low = F.when(F.col("confidence") < min_confidence, F.concat(F.lit("Confidence "), format_2dp(F.col("confidence")), F.lit(f" below threshold {min_confidence:.2f}")))
-    fields_ = [F.when(is_object, c) for c in [*map(_required_issue, fields), *map(_type_issue, fields)]]
-    issues = F.array_compact(F.array(low, *fields_, F.when(~F.coalesce(is_object, F.lit(False)), NOT_OBJECT)))
-    return rows.withColumn("_v", F.try_parse_json(F.col("data"))).withColumn("issues", issues).drop("_v").withColumn("is_valid", F.size("issues") == 0)
+
+    def issues(x: Column) -> Column:
+        each = [made(f, x[f"f{k}"]) for made in (_required_issue, _type_issue) for k, f in enumerate(fields)]
+        return F.array_compact(F.array(low, *[F.when(x["is_object"], c) for c in each], F.when(~x["is_object"], NOT_OBJECT)))
+
+    def read(v: Column) -> Column:
+        is_object = F.coalesce(v.isNotNull() & F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+        return _once(F.struct(is_object.alias("is_object"), *[_read(f, v).alias(f"f{k}") for k, f in enumerate(fields)]), issues)
+
+    return rows.withColumn("issues", _once(F.try_parse_json(F.col("data")), read)).withColumn("is_valid", F.size("issues") == 0)
 
 
 def valid_only(validated: DataFrame) -> DataFrame:
