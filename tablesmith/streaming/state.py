@@ -4,45 +4,62 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+#: Groups that keys are dealt to; each keeps the state of its keys, so a micro-batch costs a call a group, not a key.
+BUCKETS = 512
+
+
+def _bucket(key: str) -> Column:
+    """A key's group; rows without a key are one of their own."""
+    return F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(BUCKETS))).cast("int").alias("_bucket")
+
+
+def _keys(bucket: int, column: pd.Series) -> list:
+    return [None] * len(column) if bucket < 0 else column.tolist()
+
+
 def cached(requests: DataFrame, ttl_s: int = 3600, late: str = "0 seconds") -> DataFrame:
     """A stream of requests (key, seq, at timestamp) -> key, seq, at, hit, fetched_at.
 
     A key's entry is fetched by the first request and lives ttl_s seconds; a request that comes then or later fetches it
     anew, others are hits and don't lengthen its life. Requests go by (at, seq) within a micro-batch, so batches have to
-    come in order of time; those older than the watermark are dropped by Spark. A key's state is one time, removed by a
-    timer once the entry has expired. Memory: the rows of a key in one micro-batch.
+    come in order of time; those not newer than the watermark are dropped by Spark. A key's state is one time; keys share
+    BUCKETS states, of which entries expired by the watermark are left out, and a timer removes what nobody asks for.
+    Memory: the rows and live entries of a bucket in one micro-batch.
     """
-    keep = np.timedelta64(ttl_s, "s")
+    keep = ttl_s * 1_000_000
 
-    def serve(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def serve(bucket: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(frames).sort_values(["at", "seq"], ignore_index=True)
-        at = rows["at"].to_numpy()
-        fetched, hit, done = np.empty(len(at), at.dtype), np.ones(len(at), bool), 0
-        now = np.datetime64(state.get[0], "us") if state.exists else None
-        while done < len(at):
-            if now is None or at[done] - now >= keep:
-                now, hit[done] = at[done], False
-            end = max(done + 1, int(np.searchsorted(at, now + keep, "left")))
-            fetched[done:end] = now
-            done = end
-        state.update((int(now.astype("datetime64[us]").astype("int64")),))
-        expires = int((now + keep).astype("datetime64[ms]").astype("int64"))
-        state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
-        yield rows.assign(hit=hit, fetched_at=fetched)[["key", "seq", "at", "hit", "fetched_at"]]
+        rows = pd.concat(frames).sort_values(["us", "seq"], ignore_index=True)
+        held = dict(zip(*state.get, strict=True)) if state.exists else {}
+        fetched, hit = [], []
+        for key, at in zip(_keys(bucket[0], rows["key"]), rows["us"].tolist(), strict=True):
+            last = held.get(key)
+            hit.append(last is not None and at - last < keep)
+            if not hit[-1]:
+                held[key] = last = at
+            fetched.append(last)
+        now = state.getCurrentWatermarkMs()
+        live = {k: t for k, t in held.items() if t + keep > now * 1000}
+        if live:
+            state.update((list(live), list(live.values())))
+            state.setTimeoutTimestamp(max((max(live.values()) + keep) // 1000, now) + 1)
+        elif state.exists:
+            state.remove()
+        yield rows.assign(hit=hit, fetched=fetched)[["key", "seq", "us", "hit", "fetched"]]
 
     key = next(t for n, t in requests.dtypes if n == "key")
-    rows = requests.select("key", "seq", F.col("at").cast("timestamp").alias("at")).withWatermark("at", late)
-    return rows.groupBy("key").applyInPandasWithState(serve, f"key {key}, seq long, at timestamp, hit boolean, fetched_at timestamp", "fetched long", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = requests.select("key", "seq", F.col("at").cast("timestamp").alias("at")).withWatermark("at", late).select(_bucket("key"), "key", "seq", "at", F.unix_micros("at").alias("us"))
+    served = rows.groupBy("_bucket").applyInPandasWithState(serve, f"key {key}, seq long, us long, hit boolean, fetched long", f"keys array<{key}>, fetched array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return served.select("key", "seq", F.timestamp_micros("us").alias("at"), "hit", F.timestamp_micros("fetched").alias("fetched_at"))
 
 
 def why(rows: float, cost: float, elapsed: float, new: float, total: float, limits: dict) -> str | None:
@@ -61,26 +78,33 @@ def stopping(batches: DataFrame, limits: dict) -> DataFrame:
     which their run stops, with rows_so_far and reason; as flow.early_stop.
 
     The state of a run is what its batches have come to and what the last one brought; a batch is looked at by that
-    before it is let in. It is kept in the query's checkpoint, so a stream that is cut anywhere goes on with the same
-    totals. Batches go by seq within a micro-batch, and micro-batches have to come in that order.
+    before it is let in. Runs share BUCKETS states. They are kept in the query's checkpoint, so a stream that is cut
+    anywhere goes on with the same totals. Batches go by seq within a micro-batch, and micro-batches have to come in
+    that order.
     """
     names = ["new_rows", "total_rows", "cost_micros", "elapsed_s"]
 
-    def admit(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows, cost, elapsed, new, total = state.get if state.exists else (0, 0, 0.0, 0, 0)
-        stopped = state.exists and why(rows, cost, elapsed, new, total, limits) is not None
+    def admit(bucket: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {run: told for run, *told in zip(*state.get, strict=True)} if state.exists else {}
+        stopped = {}
         out = []
-        for r in pd.concat(frames).sort_values("seq").itertuples():
-            if stopped:
-                break
-            new, total, more, elapsed = (getattr(r, n) for n in names)
+        came = pd.concat(frames).sort_values("seq")
+        for run, seq, new, total, more, elapsed in zip(_keys(bucket[0], came["run_id"]), *(came[n].tolist() for n in ("seq", *names)), strict=True):
+            if run not in stopped:
+                stopped[run] = run in held and why(*held[run], limits) is not None
+            if stopped[run]:
+                continue
+            rows, cost = held[run][:2] if run in held else (0, 0)
             rows, cost = rows + new, cost + more
             reason = why(rows, cost, elapsed, new, total, limits)
-            stopped = reason is not None
-            out.append((key[0], r.seq, rows, reason))
-        state.update((int(rows), int(cost), float(elapsed), int(new), int(total)))
+            held[run], stopped[run] = [rows, cost, elapsed, new, total], reason is not None
+            out.append((run, seq, rows, reason))
+        runs = list(held)
+        rows, cost, elapsed, new, total = zip(*held.values(), strict=True)
+        state.update((runs, *(list(map(int, x)) for x in (rows, cost)), list(map(float, elapsed)), *(list(map(int, x)) for x in (new, total))))
         yield pd.DataFrame(out, columns=["run_id", "seq", "rows_so_far", "reason"])
 
     run = next(t for n, t in batches.dtypes if n == "run_id")
-    rows = batches.select("run_id", "seq", *names)
-    return rows.groupBy("run_id").applyInPandasWithState(admit, f"run_id {run}, seq long, rows_so_far long, reason string", "rows long, cost long, elapsed double, new long, total long", "append", GroupStateTimeout.NoTimeout)
+    rows = batches.select(_bucket("run_id"), "run_id", "seq", *names)
+    kept = f"runs array<{run}>, rows array<long>, cost array<long>, elapsed array<double>, new array<long>, total array<long>"
+    return rows.groupBy("_bucket").applyInPandasWithState(admit, f"run_id {run}, seq long, rows_so_far long, reason string", kept, "append", GroupStateTimeout.NoTimeout)

@@ -124,3 +124,15 @@ def test_sessions_and_late_rows(spark, tmp_path):
 def test_files_are_in_turn(spark):
     kept, path = stream_queries.in_turn(spark.range(50).orderBy(F.rand(3)), "id")
     assert [r.id for g in tables.groups(path) for r in spark.read.parquet(g.file).collect()] == list(range(50))
+
+
+def test_runs_share_states_and_stop_as_before(spark, tmp_path):
+    limits = {"target_rows": 30, "max_cost_micros": 60_000, "max_seconds": 70, "saturation": 0.05}
+    rows = [(k % 900 or None, k, k % 7, 20, 5000, float(k % 60)) for k in range(6000)]
+    df = spark.createDataFrame(rows, "run_id long, seq long, new_rows long, total_rows long, cost_micros long, elapsed_s double")
+    made = run(state.stopping(follow(spark, tmp_path, df, "seq", 2500), limits), tmp_path)
+    columns = ["run_id", "seq", "rows_so_far", "reason"]
+    key = lambda r: (r[0] or 0, r[1])
+    assert sorted(map(tuple, out(spark, tmp_path).select(*columns).collect()), key=key) == sorted(map(tuple, flow.early_stop(df, limits).select(*columns).collect()), key=key)
+    told = [p["stateOperators"][0]["numRowsTotal"] for p in made.query.recentProgress if p["stateOperators"]]
+    assert 0 < max(told) <= state.BUCKETS + 1  # before, a state a run
