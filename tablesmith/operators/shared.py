@@ -19,10 +19,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet and read back: cuts the lineage, survives lost executors."""
+def written(df: DataFrame, name: str, **options) -> DataFrame:
+    """df written as Parquet, with the writer's options, and read back: cuts the lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

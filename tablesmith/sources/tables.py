@@ -21,8 +21,9 @@ from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StructType
 
 NAME = "tablesmith"
-#: Rows that a look at the stream admits, unless told by the option rowsPerBatch; and rows a task of it reads at most.
-ADMITTED, TASK_ROWS = 100_000, 20_000
+#: Rows that a look at the stream admits, unless told by the option rowsPerBatch; rows a task of it reads at most, but
+#: a row group is read by few tasks, as each decodes it from its beginning.
+ADMITTED, TASK_ROWS, GROUP_TASKS = 100_000, 20_000, 4
 _COMPARE = {EqualTo: pc.equal, GreaterThan: pc.greater, GreaterThanOrEqual: pc.greater_equal, LessThan: pc.less, LessThanOrEqual: pc.less_equal}
 
 
@@ -85,6 +86,8 @@ class _Scan:
         fs, _ = _opened(self.path)
         at = 0
         for batch in pq.ParquetFile(fs.open_input_file(part.file)).iter_batches(batch_size=2_000, row_groups=[part.number], columns=self.columns):
+            if at >= part.stop:
+                break
             low, high = max(part.start - at, 0), min(part.stop - at, batch.num_rows)
             at += batch.num_rows
             if low < high:
@@ -148,7 +151,8 @@ class TableStreamReader(_Scan, DataSourceStreamReader):
         found, at = [], 0
         for g in self._groups():
             low, high = max(start["rows"] - at, 0), min(end["rows"] - at, g.rows)
-            found += [Rows(g.file, g.number, k, min(k + TASK_ROWS, high)) for k in range(low, high, TASK_ROWS)]
+            step = max(TASK_ROWS, -(-g.rows // GROUP_TASKS))
+            found += [Rows(g.file, g.number, k, min(k + step, high)) for k in range(low, high, step)]
             at += g.rows
         return found
 

@@ -126,6 +126,19 @@ def test_files_are_in_turn(spark):
     assert [r.id for g in tables.groups(path) for r in spark.read.parquet(g.file).collect()] == list(range(50))
 
 
+@pytest.mark.parametrize("name", ["ttl_cache", "event_sessions"])
+def test_no_request_is_late_where_times_come_again(spark, sf, tmp_path, name):
+    """Events of further users at the same times, with later numbers: each copy gives what the first gives."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    m = e.agg(F.max("event_id") + 1, F.max("user_id") + 1).first()
+    copies = e.crossJoin(spark.range(3).withColumnRenamed("id", "k")).withColumns({"event_id": F.col("event_id") + F.col("k") * m[0], "user_id": F.col("user_id") + F.col("k") * m[1]}).drop("k")
+    copies.write.parquet(f"{tmp_path}/events.parquet")
+    whole, once = (getattr(stream_queries, name)(spark, d) for d in (str(tmp_path), sf))
+    by = "hit" if name == "ttl_cache" else "n"
+    found, expected = ({r[0]: r[1] for r in t.groupBy(by).count().collect()} for t in (whole, once))
+    assert found == {k: 3 * n for k, n in expected.items()}
+
+
 def test_runs_share_states_and_stop_as_before(spark, tmp_path):
     limits = {"target_rows": 30, "max_cost_micros": 60_000, "max_seconds": 70, "saturation": 0.05}
     rows = [(k % 900 or None, k, k % 7, 20, 5000, float(k % 60)) for k in range(6000)]
@@ -136,3 +149,13 @@ def test_runs_share_states_and_stop_as_before(spark, tmp_path):
     assert sorted(map(tuple, out(spark, tmp_path).select(*columns).collect()), key=key) == sorted(map(tuple, flow.early_stop(df, limits).select(*columns).collect()), key=key)
     told = [p["stateOperators"][0]["numRowsTotal"] for p in made.query.recentProgress if p["stateOperators"]]
     assert 0 < max(told) <= state.BUCKETS + 1  # before, a state a run
+
+
+def test_a_task_of_a_stream_reads_little_more_than_its_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_ROWS", 500)
+    kept, path = stream_queries.in_turn(spark.range(9000), "id")
+    assert kept.count() == 9000 and max(g.rows for g in tables.groups(path)) <= 500
+    spark.range(9000).coalesce(1).write.parquet(f"{tmp_path}/one")
+    reader = tables.TableStreamReader({"path": f"{tmp_path}/one", "progress": f"file://{tmp_path}/p"}, kept.schema)
+    parts = reader.partitions({"rows": 0}, {"rows": 9000})
+    assert len(parts) == tables.GROUP_TASKS and sum(b.num_rows for p in parts for b in reader.read(p)) == 9000  # before, 18 tasks that each decode all rows
