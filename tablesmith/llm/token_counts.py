@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from tablesmith.llm.common import small_batches
 NODES = 1_000_000
 #: Distinct pre-tokens that a task of :func:`fit` gathers before it cuts them.
 WORDS = 100_000
+#: Pre-tokens that are cut in one call.
+CUT = 10_000
 MARK = "▁"
 
 
@@ -45,9 +48,12 @@ def fit(docs: DataFrame, model_path: str) -> dict[str, float]:
         cutter, words, counts = sentencepiece.SentencePieceProcessor(model_proto=held.value), Counter(), np.zeros(size, np.int64)
 
         def cut() -> None:
-            for word, n in words.items():
-                for i in cutter.encode(word):
-                    counts[i] += n
+            found = list(words)
+            for k in range(0, len(found), CUT):
+                part = found[k : k + CUT]
+                ids = cutter.encode(part, num_threads=1)
+                met = np.fromiter(chain.from_iterable(ids), np.int64)
+                np.add.at(counts, met, np.repeat([words[w] for w in part], [len(x) for x in ids]))
             words.clear()
 
         for batch in batches:
@@ -99,28 +105,28 @@ class Trie:
         return n
 
     def count(self, word: str) -> int:
-        """Tokens of a pre-token."""
-        node, way, children = 0, [0], self.children
+        """Tokens of a pre-token. A new node's score comes from the pieces that end at its character, read backwards; way
+        has the nodes before each character."""
+        node, way, children, scores, tokens = 0, [0], self.children, self.scores, self.tokens
         for k, ch in enumerate(word):
             child = children.get(key := node << 21 | ord(ch))
             if child is None:
-                child = children[key] = self._forward(word, k, way)
+                score, before = self.ends.get(ch, (None, None))
+                best, first, start = scores[node] + (self.unknown if score is None else score), k, k
+                while before and start:
+                    start -= 1
+                    step = before.get(word[start])
+                    if step is None:
+                        break
+                    score, before = step
+                    if score is not None and (s := score + scores[way[start]]) >= best:
+                        best, first = s, start
+                child = children[key] = len(scores)
+                scores.append(best)
+                tokens.append(tokens[way[first]] + 1)
             way.append(child)
             node = child
-        return self.tokens[node]
-
-    def _forward(self, word: str, at: int, way: list[int]) -> int:
-        """A new node for the prefix that ends with the character at this place; way has the nodes before it."""
-        scores, step, start, first = self.scores, self.ends.get(word[at]), at, at
-        best = scores[way[at]] + (self.unknown if step is None or step[0] is None else step[0])
-        while step is not None and start:
-            start -= 1
-            step = step[1].get(word[start])
-            if step is not None and step[0] is not None and (s := step[0] + scores[way[start]]) >= best:
-                best, first = s, start
-        scores.append(best)
-        self.tokens.append(self.tokens[way[first]] + 1)
-        return len(scores) - 1
+        return tokens[node]
 
 
 def word_list(text: str | None) -> list[str]:
