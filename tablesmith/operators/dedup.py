@@ -8,11 +8,12 @@ import itertools
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,11 @@ from tablesmith.operators.shared import written, written_and_counted
 THRESHOLD = 0.85
 #: Characters of a segment from which names are told by segments; keys and pairs that a task sends on at a time.
 SEGMENT, KEYS = 6, 50_000
+#: Characters of a segment with gaps from which names are told by such segments; names and characters of a block of them,
+#: blocks of fewer names, pairs that are looked at a time, and a step's cost in pairs.
+GAPPED, NAMES, CHARS, FEW, PAIRS, STEP = 3, 65_536, 5_000_000, 8, 500_000, 2_000
+#: Classes of characters and levels of their counts in a sketch of half a name.
+CLASSES, LEVELS = 32, 8
 #: Columns of a matrix of trigrams; names of a block, those compared with a block at a time, blocks of fewer names, and
 #: tasks that compare blocks at most.
 GRAMS, BLOCK, TILE, BLOCKS, TASKS = 1_024, 4_096, 256, 16, 1_000
@@ -59,7 +65,7 @@ def damerau(a: str, b: str) -> int:
 
 
 def _damerau_all(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([damerau(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+    return pd.Series([None if x is None or y is None else damerau(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
 def damerau_distance(a: str, b: str) -> Column:
@@ -109,15 +115,26 @@ def _signatures(threshold: float, longer: bool):
     return run
 
 
+def _by_gaps(short: int, long: int, threshold: float) -> bool:
+    """Whether names of these lengths are told by segments with gaps: they share none of SEGMENT characters, but one of
+    GAPPED. Without an operation only equal names are similar."""
+    k = _edits(long, threshold) // 2
+    return k > 0 and not _by_segments(short, long, threshold) and (long - k) // (k + 1) >= GAPPED
+
+
+def _by_products(short: int, long: int, threshold: float) -> bool:
+    return _edits(long, threshold) > 0 and not _by_segments(short, long, threshold) and not _by_gaps(short, long, threshold)
+
+
 @functools.cache
-def _dense(n: int, threshold: float) -> bool:
-    """Whether a name of n characters can be similar to one with which it needn't share a segment."""
-    return not all(_by_segments(min(m, n), max(m, n), threshold) for m in _partners(n, threshold))
+def _any_partner(n: int, threshold: float, told: Callable[[int, int, float], bool]) -> bool:
+    """Whether a name of n characters can be similar to one from which it is told in this way."""
+    return any(told(min(m, n), max(m, n), threshold) for m in _partners(n, threshold))
 
 
 def _grams(threshold: float):
-    """Names that can be similar to some that share no segment, with their trigrams (the second of a kind is another
-    than the first) as numbers below GRAMS."""
+    """Names that can be similar to some that share no segment of either kind, with their trigrams (the second of a kind
+    is another than the first) as numbers below GRAMS."""
 
     def numbers(name: str) -> bytes:
         seen: Counter[str] = Counter()
@@ -130,7 +147,7 @@ def _grams(threshold: float):
 
     def run(frames):
         for f in frames:
-            made = [(n, len(n), numbers(n)) for n in f["name"] if _dense(len(n), threshold)]
+            made = [(n, len(n), numbers(n)) for n in f["name"] if _any_partner(len(n), threshold, _by_products)]
             yield pd.DataFrame(made, columns=["name", "n", "grams"])
 
     return run
@@ -156,6 +173,7 @@ def _in_blocks(threshold: float):
         wide, n, m = counts(right.column("grams").to_pylist()).T, left.column("n").to_numpy(), right.column("n").to_numpy()
         top = int(max(n.max(initial=0), m.max(initial=0)))
         most = np.array([_edits(x, threshold) // 2 for x in range(top + 1)])
+        by_gaps = np.array([_by_gaps(0, x, threshold) for x in range(top + 1)])
         for k in range(0, len(n), TILE):
             longest, shortest = (f(n[k : k + TILE, None], m[None]) for f in (np.maximum, np.minimum))
             allowed = most[longest]
@@ -164,6 +182,7 @@ def _in_blocks(threshold: float):
             a += k
             apart = a < b if i == j else np.ones(len(a), bool)
             apart &= shortest[a - k, b] // (2 * allowed[a - k, b] + 1) < SEGMENT  # others are told by segments
+            apart &= (allowed[a - k, b] > 0) & ~by_gaps[longest[a - k, b]]
             a, b = a[apart], b[apart]
             for s in range(0, len(a), KEYS):
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(a[s : s + KEYS])), others.take(pa.array(b[s : s + KEYS]))], names=["x", "y"])
@@ -172,8 +191,8 @@ def _in_blocks(threshold: float):
 
 
 def _block_pairs(names: DataFrame, threshold: float) -> DataFrame:
-    """(x, y) of distinct names that can be similar though they needn't share a segment: each block of at most about
-    BLOCK names meets each other, a task holds two of them, and what it finds goes out in batches."""
+    """(x, y) of distinct names that can be similar though they needn't share a segment of either kind: each block of at
+    most about BLOCK names meets each other, a task holds two of them, and what it finds goes out in batches."""
     made, counted = written_and_counted(names.mapInPandas(_grams(threshold), "name string, n long, grams binary"), "grams", {"n": F.count(F.lit(1))})
     n = counted["n"]
     blocks = max(-(-n // BLOCK), min(BLOCKS, -(-n // 256)), 1)
@@ -182,22 +201,212 @@ def _block_pairs(names: DataFrame, threshold: float) -> DataFrame:
     return dealt.repartition(min(blocks * (blocks + 1) // 2, TASKS), "i", "j").groupBy("i", "j").applyInArrow(_in_blocks(threshold), "x string, y string")
 
 
-def fuzzy_pairs(names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, dl) of distinct non-empty names with 1 - dl / longest >= threshold, a < b; threshold above 0.
+class _Block:
+    """Names in order of their lengths, with sums by which any segment is hashed, and sketches: a bit for each level that
+    the count of a class of characters reaches in half a name (halves) and in all of it (whole)."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, names: pa.Array):
+        n = pc.utf8_length(names).to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.argsort(n, kind="stable")
+        self.names, self.n = names.take(pa.array(order)), n[order]
+        flat = np.frombuffer("".join(self.names.to_pylist()).encode("utf-32-le"), np.uint32)
+        self.starts = np.concatenate([[0], np.cumsum(self.n)])[:-1]
+        self.inverse = self._powers(pow(self.BASE, -1, 1 << 64), len(flat))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * self._powers(self.BASE, len(flat)), dtype=np.uint64)])
+        at = np.repeat(np.arange(len(n)), self.n)
+        second = np.arange(len(flat)) - self.starts[at] >= self.n[at] // 2
+        counts = np.bincount((at * 2 + second) * CLASSES + flat % CLASSES, minlength=len(n) * 2 * CLASSES).reshape(len(n), 2, CLASSES)
+        self.halves, self.whole = self._sketch(counts.reshape(len(n), -1)), self._sketch(counts.sum(1))
+
+    @staticmethod
+    def _powers(base: int, n: int) -> np.ndarray:
+        """base to 0, 1, ... modulo 2^64."""
+        steps = np.full(n, base, np.uint64)
+        steps[:1] = 1
+        return np.cumprod(steps, dtype=np.uint64)
+
+    @staticmethod
+    def _sketch(counts: np.ndarray) -> list[np.ndarray]:
+        bits = ((1 << np.minimum(counts, LEVELS)) - 1).astype(np.uint8)
+        return [np.ascontiguousarray(c) for c in bits.view(np.uint64).T]
+
+    def slice(self, shortest: int, longest: int) -> tuple[int, int]:
+        """The names of these lengths."""
+        lo, hi = np.searchsorted(self.n, (shortest, longest + 1))
+        return int(lo), max(int(lo), int(hi))
+
+    def hashes(self, lo: int, hi: int, at: int, w: int) -> np.ndarray:
+        """Of the w characters from `at` of names, which have so many; equal ones have equal hashes."""
+        s = self.starts[lo:hi] + at
+        return (self.sums[s + w] - self.sums[s]) * self.inverse[s]
+
+
+def _segments(n: int, k: int) -> list[tuple[int, int]]:
+    """(place, size) of k + 1 segments of n characters with one between each two; those in the middle may be longer."""
+    size, extra, at, made = (n - k) // (k + 1), (n - k) % (k + 1), 0, []
+    first = (k + 1 - extra) // 2
+    for i in range(k + 1):
+        w = size + (first <= i < first + extra)
+        made.append((at, w))
+        at += w + 1
+    return made
+
+
+def _alike(x: _Block, y: _Block, a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs a of x and b of y, those whose counts of characters k operations can explain.
+
+    An operation moves two counts of the whole at most. In halves an insertion or deletion also moves the middle, by
+    half a character, and the one transposition that can lie over the middle moves four; lengths of different parity
+    have their middles half a character apart.
+    """
 
-    Where similar names must share a long segment, candidates do so by place and length, and nothing is compared with
-    all names of a length. Otherwise (names of 60 characters at 0.85 share 3 of them at least) every two names are
-    compared, in blocks, by their trigrams: the time grows with the square of the distinct names, the memory of a task
-    doesn't. A native Levenshtein bound comes before the exact distance.
+    def within(p: list[np.ndarray], q: list[np.ndarray], most) -> tuple[np.ndarray, np.ndarray]:
+        apart = np.zeros(len(a), np.uint16)
+        for u, v in zip(p, q, strict=True):
+            apart += np.bitwise_count(u[a] ^ v[b])
+        near = apart <= most
+        return a[near], b[near]
+
+    a, b = within(x.whole, y.whole, 2 * k)
+    return within(x.halves, y.halves, 2 * k + 2 + (x.n[a] - y.n[b]) % 2)
+
+
+def _matches(keys: np.ndarray, others: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places whose keys are equal, about PAIRS at a time; keys are in order."""
+    first = np.concatenate([[True], keys[1:] != keys[:-1]])
+    start = np.flatnonzero(first)
+    size = np.diff(np.concatenate([start, [len(keys)]]))
+    k = np.minimum(np.searchsorted(keys[start], others), len(start) - 1)
+    hit = np.flatnonzero(keys[start[k]] == others)
+    k = k[hit]
+    ends = np.cumsum(size[k])
+    cuts = np.searchsorted(ends, np.arange(PAIRS, ends[-1], PAIRS)) if len(ends) else []
+    for part in np.split(np.arange(len(hit)), cuts):
+        n = size[k[part]]
+        before = np.cumsum(n) - n
+        yield np.arange(n.sum()) + np.repeat(start[k[part]] - before, n), np.repeat(hit[part], n)
+
+
+def _gapped(x: _Block, y: _Block, equal: bool, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in x and in y of names that can be similar, the longer in x; as long ones only if `equal`. x may be y.
+
+    A name is cut into k + 1 segments with a character between each two. An operation touches one of them at most, also
+    a transposition, and with what it deletes between no more than it costs. So there is a segment i that stands in the
+    other name after exactly i operations, k - i at most behind it: at most so many characters from its place.
     """
+    for n in map(int, np.unique(x.n)):
+        k = _edits(n, threshold) // 2
+        if not _by_gaps(0, n, threshold):
+            continue
+        most = min(n - (not equal), SEGMENT * (2 * k + 1) - 1)  # longer ones are told by segments
+        (lo, hi), (from_, to) = x.slice(n, n), y.slice(n - k, most)
+        found, held = [], 0
+
+        def keep(a: np.ndarray, b: np.ndarray, k=k) -> np.ndarray:
+            if x is y:
+                fresh = (y.n[b] < x.n[a]) | (a < b)
+                a, b = a[fresh], b[fresh]
+            a, b = _alike(x, y, a, b, k)
+            return a * len(y.n) + b
+
+        def candidates(n=n, k=k, most=most, lo=lo, hi=hi, from_=from_, to=to):
+            if (hi - lo) * (to - from_) <= (k + 1) ** 2 // 2 * (STEP + 4 * (hi - lo + to - from_)):
+                step = max(1, PAIRS // max(1, to - from_))
+                for s in range(lo, hi, step):
+                    own = np.arange(s, min(s + step, hi))
+                    yield np.repeat(own, to - from_), np.tile(np.arange(from_, to), len(own))
+                return
+            for i, (at, w) in enumerate(_segments(n, k)):
+                keys = x.hashes(lo, hi, at, w)
+                order = np.argsort(keys)
+                keys = keys[order]
+                for d in range(-min(i, at), i + 1):
+                    s, e = y.slice(max(n - k, n + d - (k - i), at + d + w), min(most, n + d + (k - i)))
+                    if s < e:
+                        for a, b in _matches(keys, y.hashes(s, e, at + d, w)):
+                            yield order[a] + lo, b + s
+
+        for a, b in candidates() if from_ < to else ():
+            found.append(keep(a, b))
+            held += len(found[-1])
+            if held > PAIRS:
+                yield np.divmod(np.unique(np.concatenate(found)), len(y.n))
+                found, held = [], 0
+        if held:
+            yield np.divmod(np.unique(np.concatenate(found)), len(y.n))
+
+
+def _in_gapped_blocks(threshold: float):
+    """Pairs of two blocks (or of one) that share a segment with gaps and have like counts of characters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        i, j, own = t.column("i")[0].as_py(), t.column("j")[0].as_py(), t.column("p").to_numpy()
+        blocks = [t.filter(pa.array(own == k)).column("name").combine_chunks() for k in ((i,) if i == j else (i, j))]
+        if any(len(names) == 0 for names in blocks):
+            return
+        made = [_Block(names) for names in blocks]
+        x, y = made[0], made[-1]
+        for one, other, equal in [(x, x, True)] if x is y else [(x, y, True), (y, x, False)]:
+            for a, b in _gapped(one, other, equal, threshold):
+                for s in range(0, len(a), KEYS):
+                    yield pa.RecordBatch.from_arrays([one.names.take(pa.array(a[s : s + KEYS])), other.names.take(pa.array(b[s : s + KEYS]))], names=["x", "y"])
+
+    return run
+
+
+def _gapped_pairs(names: DataFrame, threshold: float) -> DataFrame:
+    """(x, y) of distinct names that are told by segments with gaps, some of them more than once: each block of at most
+    about NAMES names and CHARS characters meets each other, and a task holds two of them."""
+
+    def told(frames):
+        for f in frames:
+            yield f[[_any_partner(len(n), threshold, _by_gaps) for n in f["name"]]]
+
+    made, counted = written_and_counted(names.mapInPandas(told, "name string"), "gapped", {"n": F.count(F.lit(1)), "chars": F.sum(F.length("name"))})
+    n, chars = counted["n"], counted["chars"] or 0
+    blocks = max(-(-n // NAMES), -(-chars // CHARS), min(FEW, -(-n // 256)), 1)
+    p, q = F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = made.withColumn("p", p).withColumn("q", q).select(F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "name")
+    return dealt.repartition(min(blocks * (blocks + 1) // 2, TASKS), "i", "j").groupBy("i", "j").applyInArrow(_in_gapped_blocks(threshold), "x string, y string")
+
+
+def _near_pairs(names: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, lev, longest) of distinct non-empty names, a < b, whose Levenshtein distance lev doesn't tell them apart."""
     names = written(names.where("name <> ''").select("name").distinct(), "names")
     short, long = (names.mapInPandas(_signatures(threshold, x), "name string, key string") for x in (False, True))
     pairs = short.withColumnRenamed("name", "x").join(long.withColumnRenamed("name", "y"), "key").where("x <> y").select("x", "y")
     ordered = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
     pairs = pairs.select(*ordered).distinct().unionByName(_block_pairs(names, threshold).select(*ordered))
-    longest = F.greatest(F.length("a"), F.length("b"))
-    near = pairs.where(F.levenshtein("a", "b") <= 2 * F.floor((1 - threshold) * longest + 1e-9))
-    return near.withColumn("dl", damerau_distance("a", "b").cast("long")).where(1.0 - F.col("dl") / longest >= threshold)
+
+    def near(pairs: DataFrame) -> DataFrame:
+        told = pairs.withColumn("longest", F.greatest(F.length("a"), F.length("b"))).withColumn("lev", F.levenshtein("a", "b"))
+        return told.where(F.col("lev") <= 2 * F.floor((1 - threshold) * F.col("longest") + 1e-9))
+
+    return near(pairs).unionByName(near(_gapped_pairs(names, threshold).select(*ordered)).distinct())
+
+
+def fuzzy_pairs(names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, dl) of distinct non-empty names with 1 - dl / longest >= threshold, a < b; threshold above 0.
+
+    Where similar names must share a long segment, candidates do so by place and length, and nothing is compared with
+    all names of a length. Where the segments are short but GAPPED characters at least with gaps between them (names of
+    60 characters at 0.85: 5), names meet in blocks, and candidates share such a segment and have like counts of
+    characters in their halves. Other names are compared each with each, in blocks, by their trigrams: that time grows
+    with the square of the distinct names, the memory of a task doesn't. A native Levenshtein bound comes before the
+    exact distance.
+    """
+    near = _near_pairs(names, threshold).withColumn("dl", damerau_distance("a", "b").cast("long"))
+    return near.where(1.0 - F.col("dl") / F.col("longest") >= threshold).select("a", "b", "dl")
+
+
+def similar_pairs(names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b) of fuzzy_pairs, without distances: most pairs are told by Levenshtein's, which is no smaller."""
+    pairs = _near_pairs(names, threshold).withColumn("settled", 1.0 - F.col("lev") / F.col("longest") >= threshold)
+    open_ = pairs.withColumn("x", F.when(~F.col("settled"), F.col("a"))).withColumn("y", F.when(~F.col("settled"), F.col("b")))
+    return open_.withColumn("dl", damerau_distance("x", "y")).where(F.col("settled") | (1.0 - F.col("dl") / F.col("longest") >= threshold)).select("a", "b")
 
 
 def fuzzy_groups(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -208,7 +417,7 @@ def fuzzy_groups(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     over the graph of similar names: a name leads once all smaller neighbours are members of other groups.
     """
     nodes = rows.where("name <> ''").groupBy("name").agg(F.min("seq").alias("s"))
-    pairs = fuzzy_pairs(rows.select("name"), threshold)
+    pairs = similar_pairs(rows.select("name"), threshold)
     edges = pairs.join(nodes.select(F.col("name").alias("a"), F.col("s").alias("sa")), "a").join(nodes.select(F.col("name").alias("b"), F.col("s").alias("sb")), "b")
     edges = written(edges.select(F.least("sa", "sb").alias("lo"), F.greatest("sa", "sb").alias("hi")), "pairs")
     state = written(nodes.select("s", F.lit(None).cast("boolean").alias("leads")), "state")

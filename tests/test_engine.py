@@ -7,6 +7,7 @@ import zipfile
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +71,42 @@ def test_pairs_of_long_names_against_all_pairs_and_what_a_task_holds(spark):
         assert max((len(f) for f in dedup._signatures(threshold, True)(iter([many]))), default=0) <= 50_000
 
 
+def test_names_of_60_characters_meet_by_segments_with_gaps(spark, monkeypatch):
+    rng = random.Random(11)
+    draw = lambda n: "".join(rng.choices("etaoinshrdlcumwfgyp. ", k=n))
+    segments = dedup._segments(60, 9)
+    planted = []
+    for _ in range(200):  # one operation in, or at the end of, each segment but one
+        name = list(draw(60))
+        base, left = "".join(name), rng.randrange(10)
+        for j in sorted({*range(10)} - {left}, reverse=True):
+            at = segments[j][0] + rng.randrange(segments[j][1])
+            match rng.randrange(4):
+                case 0:
+                    name[at] = draw(1)
+                case 1:
+                    del name[at]
+                case 2:
+                    name.insert(at, draw(1))
+                case _:
+                    at = max(0, segments[j][0] - 1)
+                    name[at : at + 2] = name[at : at + 2][::-1]
+        planted.append((base, "".join(name)))
+    names = sorted({x for p in planted for x in p} | {draw(60) for _ in range(1500)})
+    assert sum(map(len, dedup._grams(0.85)(iter([pd.DataFrame({"name": names})])))) == 0  # before, each was compared with each
+    looked, alike = [], dedup._alike
+    monkeypatch.setattr(dedup, "_alike", lambda x, y, a, b, k: looked.append(len(a)) or alike(x, y, a, b, k))
+    halves = [dedup._Block(pa.array(names[k::2])) for k in (0, 1)]
+    met = [(b, b, True) for b in halves] + [(halves[0], halves[1], True), (halves[1], halves[0], False)]
+    found = {frozenset((x.names[int(i)].as_py(), y.names[int(j)].as_py())) for x, y, equal in met for a, b in dedup._gapped(x, y, equal, 0.85) for i, j in zip(a, b, strict=True)}
+    near = {frozenset(p) for p in planted if p[0] != p[1] and 1.0 - dedup.damerau(*p) / max(map(len, p)) >= 0.85}
+    assert len(near) > 150 and near <= found
+    assert sum(looked) < 0.2 * len(names) ** 2 / 2
+    few = spark.createDataFrame([(x,) for p in planted[:30] for x in p], "name string")
+    told = {(r.a, r.b) for r in dedup.fuzzy_pairs(few).collect()}
+    assert told == {(r.a, r.b) for r in dedup.similar_pairs(few).collect()} and {frozenset(p) for p in told} >= near & {frozenset(p) for p in planted[:30]}
+
+
 def test_damerau():
     assert [dedup.damerau(*p) for p in (("ca", "abc"), ("", "ab"), ("apple inc", "apple inc."), ("ab", "ba"), ("é", "e"))] == [2, 2, 1, 1, 1]
 
