@@ -24,9 +24,9 @@ THRESHOLD = 0.85
 SEGMENT, KEYS = 6, 50_000
 #: Characters of a segment with gaps from which names are told by such segments; names and characters of a block of them,
 #: blocks of fewer names, pairs that are looked at a time, and a step's cost in pairs.
-GAPPED, NAMES, CHARS, FEW, PAIRS, STEP = 3, 65_536, 5_000_000, 8, 500_000, 2_000
-#: Classes of characters and levels of their counts in a sketch of half a name.
-CLASSES, LEVELS = 32, 8
+GAPPED, NAMES, CHARS, FEW, PAIRS, STEP = 3, 50_000, 4_000_000, 8, 200_000, 2_000
+#: Classes of characters, a multiple of 16, whose counts in half a name are sketched.
+CLASSES = 32
 #: Columns of a matrix of trigrams; names of a block, those compared with a block at a time, blocks of fewer names, and
 #: tasks that compare blocks at most.
 GRAMS, BLOCK, TILE, BLOCKS, TASKS = 1_024, 4_096, 256, 16, 1_000
@@ -202,35 +202,32 @@ def _block_pairs(names: DataFrame, threshold: float) -> DataFrame:
 
 
 class _Block:
-    """Names in order of their lengths, with sums by which any segment is hashed, and sketches: a bit for each level that
-    the count of a class of characters reaches in half a name (halves) and in all of it (whole)."""
+    """Names in order of their lengths, with sums by which any segment is hashed, and sketches of their halves: a bit for
+    each level that the count of a class of characters reaches, in fine and in coarse classes and levels."""
 
-    BASE = 0x9E3779B97F4A7C15
+    BASE, MIX = 0x9E3779B1, 0x85EBCA6B
 
-    def __init__(self, names: pa.Array):
+    def __init__(self, names: pa.Array, powers: np.ndarray, inverse: np.ndarray):
         n = pc.utf8_length(names).to_numpy(zero_copy_only=False).astype(np.int64)
         order = np.argsort(n, kind="stable")
         self.names, self.n = names.take(pa.array(order)), n[order]
-        flat = np.frombuffer("".join(self.names.to_pylist()).encode("utf-32-le"), np.uint32)
-        self.starts = np.concatenate([[0], np.cumsum(self.n)])[:-1]
-        self.inverse = self._powers(pow(self.BASE, -1, 1 << 64), len(flat))
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * self._powers(self.BASE, len(flat)), dtype=np.uint64)])
-        at = np.repeat(np.arange(len(n)), self.n)
-        second = np.arange(len(flat)) - self.starts[at] >= self.n[at] // 2
-        counts = np.bincount((at * 2 + second) * CLASSES + flat % CLASSES, minlength=len(n) * 2 * CLASSES).reshape(len(n), 2, CLASSES)
-        self.halves, self.whole = self._sketch(counts.reshape(len(n), -1)), self._sketch(counts.sum(1))
-
-    @staticmethod
-    def _powers(base: int, n: int) -> np.ndarray:
-        """base to 0, 1, ... modulo 2^64."""
-        steps = np.full(n, base, np.uint64)
-        steps[:1] = 1
-        return np.cumprod(steps, dtype=np.uint64)
-
-    @staticmethod
-    def _sketch(counts: np.ndarray) -> list[np.ndarray]:
-        bits = ((1 << np.minimum(counts, LEVELS)) - 1).astype(np.uint8)
-        return [np.ascontiguousarray(c) for c in bits.view(np.uint64).T]
+        together = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), self.names), "")[0].as_py()
+        self.codes = np.frombuffer(together.encode("utf-32-le"), np.uint32)
+        self.starts = np.concatenate([[0], np.cumsum(self.n)])
+        self.inverse, self.sums = inverse, np.zeros(len(self.codes) + 1, np.uint32)
+        np.cumsum((self.codes + np.uint32(1)) * powers[: len(self.codes)], dtype=np.uint32, out=self.sums[1:])
+
+    def sketch(self, classes: np.ndarray) -> None:
+        self.fine, self.coarse = np.empty((len(self.n), CLASSES // 4), np.uint64), np.empty((len(self.n), CLASSES // 16), np.uint64)
+        for s in range(0, len(self.n), BLOCK):
+            n, starts = self.n[s : s + BLOCK], self.starts[s : s + BLOCK + 1]
+            at = np.repeat(np.arange(len(n)), n)
+            second = np.arange(len(at)) - (starts[:-1] - starts[0])[at] >= (n // 2)[at]
+            counts = np.bincount((at * 2 + second) * CLASSES + classes[self.codes[starts[0] : starts[-1]]], minlength=len(n) * 2 * CLASSES).reshape(len(n), 2, CLASSES)
+            fine = ((1 << np.minimum(counts, 8)) - 1).astype(np.uint8)
+            coarse = ((1 << np.minimum(counts[..., : CLASSES // 2] + counts[..., : CLASSES // 2 - 1 : -1], 4)) - 1).astype(np.uint8)
+            self.fine[s : s + BLOCK] = fine.reshape(len(n), -1).view(np.uint64)
+            self.coarse[s : s + BLOCK] = (coarse[..., ::2] | coarse[..., 1::2] << 4).reshape(len(n), -1).view(np.uint64)
 
     def slice(self, shortest: int, longest: int) -> tuple[int, int]:
         """The names of these lengths."""
@@ -238,9 +235,32 @@ class _Block:
         return int(lo), max(int(lo), int(hi))
 
     def hashes(self, lo: int, hi: int, at: int, w: int) -> np.ndarray:
-        """Of the w characters from `at` of names, which have so many; equal ones have equal hashes."""
+        """16 bits of the w characters from `at` of names, which have so many; equal ones have equal hashes."""
         s = self.starts[lo:hi] + at
-        return (self.sums[s + w] - self.sums[s]) * self.inverse[s]
+        return ((self.sums[s + w] - self.sums[s]) * self.inverse[s] >> np.uint32(16)).astype(np.uint16)
+
+
+def _powers(first: int, base: int, n: int) -> np.ndarray:
+    """first times base to 0, 1, ..., n modulo 2^32."""
+    steps = np.full(n + 1, base, np.uint32)
+    steps[0] = first
+    return np.cumprod(steps, dtype=np.uint32, out=steps)
+
+
+def _blocks(*names: pa.Array) -> list[_Block]:
+    """Blocks whose sketches can be compared: frequent characters are classes of their own where there are enough."""
+    most = max(pc.sum(pc.utf8_length(x)).as_py() or 0 for x in names)
+    powers, inverse = _powers(1, _Block.BASE, most), _powers(_Block.MIX, pow(_Block.BASE, -1, 1 << 32), most)
+    made = [_Block(x, powers, inverse) for x in names]
+    counts = sum(np.bincount(x.codes, minlength=0x110000) for x in made)
+    classes, weights = np.arange(len(counts)) % CLASSES, np.zeros(CLASSES)
+    for c in np.argsort(-counts, kind="stable")[: 8 * CLASSES]:
+        classes[c] = np.argmin(weights)
+        weights[classes[c]] += counts[c]
+    for x in made:
+        x.sketch(classes)
+        del x.codes
+    return made
 
 
 def _segments(n: int, k: int) -> list[tuple[int, int]]:
@@ -254,39 +274,25 @@ def _segments(n: int, k: int) -> list[tuple[int, int]]:
     return made
 
 
-def _alike(x: _Block, y: _Block, a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of pairs a of x and b of y, those whose counts of characters k operations can explain.
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of rows of two sketches, how many bits are different: no more than the counts of characters in both halves.
 
-    An operation moves two counts of the whole at most. In halves an insertion or deletion also moves the middle, by
-    half a character, and the one transposition that can lie over the middle moves four; lengths of different parity
-    have their middles half a character apart.
+    k operations move 2 k + 3 of these counts at most: 2 each, where an insertion or deletion moves the middle by half a
+    character; a transposition moves only the middle's, 4 of them; and lengths of different parity have their middles
+    half a character apart (1).
     """
+    bits = np.bitwise_count(x ^ y)
+    return bits[:, 0] + bits[:, 1] if bits.shape[1] == 2 else bits.sum(1, dtype=np.uint16)
+
 
-    def within(p: list[np.ndarray], q: list[np.ndarray], most) -> tuple[np.ndarray, np.ndarray]:
-        apart = np.zeros(len(a), np.uint16)
-        for u, v in zip(p, q, strict=True):
-            apart += np.bitwise_count(u[a] ^ v[b])
-        near = apart <= most
-        return a[near], b[near]
-
-    a, b = within(x.whole, y.whole, 2 * k)
-    return within(x.halves, y.halves, 2 * k + 2 + (x.n[a] - y.n[b]) % 2)
-
-
-def _matches(keys: np.ndarray, others: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of places whose keys are equal, about PAIRS at a time; keys are in order."""
-    first = np.concatenate([[True], keys[1:] != keys[:-1]])
-    start = np.flatnonzero(first)
-    size = np.diff(np.concatenate([start, [len(keys)]]))
-    k = np.minimum(np.searchsorted(keys[start], others), len(start) - 1)
-    hit = np.flatnonzero(keys[start[k]] == others)
-    k = k[hit]
-    ends = np.cumsum(size[k])
-    cuts = np.searchsorted(ends, np.arange(PAIRS, ends[-1], PAIRS)) if len(ends) else []
-    for part in np.split(np.arange(len(hit)), cuts):
-        n = size[k[part]]
-        before = np.cumsum(n) - n
-        yield np.arange(n.sum()) + np.repeat(start[k[part]] - before, n), np.repeat(hit[part], n)
+def _matches(start: np.ndarray, size: np.ndarray, others: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place, k) for all places, from start[h] size[h] of them, of each h = others[k], about PAIRS at a time."""
+    n, first = size[others], start[others]
+    ends = np.cumsum(n)
+    cuts = [0, *np.searchsorted(ends, np.arange(PAIRS, ends[-1], PAIRS)), len(others)]
+    for s, e in itertools.pairwise(cuts):
+        if total := int(n[s:e].sum()):
+            yield np.arange(total) + np.repeat(first[s:e] - np.cumsum(n[s:e]) + n[s:e], n[s:e]), np.repeat(np.arange(s, e), n[s:e])
 
 
 def _gapped(x: _Block, y: _Block, equal: bool, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -300,36 +306,36 @@ def _gapped(x: _Block, y: _Block, equal: bool, threshold: float) -> Iterator[tup
         k = _edits(n, threshold) // 2
         if not _by_gaps(0, n, threshold):
             continue
-        most = min(n - (not equal), SEGMENT * (2 * k + 1) - 1)  # longer ones are told by segments
-        (lo, hi), (from_, to) = x.slice(n, n), y.slice(n - k, most)
+        least, most = n - k, min(n - (not equal), SEGMENT * (2 * k + 1) - 1)  # longer ones are told by segments
+        (lo, hi), (from_, to) = x.slice(n, n), y.slice(least, most)
         found, held = [], 0
 
-        def keep(a: np.ndarray, b: np.ndarray, k=k) -> np.ndarray:
-            if x is y:
-                fresh = (y.n[b] < x.n[a]) | (a < b)
-                a, b = a[fresh], b[fresh]
-            a, b = _alike(x, y, a, b, k)
-            return a * len(y.n) + b
-
-        def candidates(n=n, k=k, most=most, lo=lo, hi=hi, from_=from_, to=to):
+        def candidates(n=n, k=k, least=least, most=most, lo=lo, hi=hi, from_=from_, to=to):
             if (hi - lo) * (to - from_) <= (k + 1) ** 2 // 2 * (STEP + 4 * (hi - lo + to - from_)):
                 step = max(1, PAIRS // max(1, to - from_))
                 for s in range(lo, hi, step):
-                    own = np.arange(s, min(s + step, hi))
-                    yield np.repeat(own, to - from_), np.tile(np.arange(from_, to), len(own))
+                    a, b = np.repeat(np.arange(s, min(s + step, hi)), to - from_), np.tile(np.arange(from_, to), min(step, hi - s))
+                    near = _apart(x.coarse.take(a, 0), y.coarse.take(b, 0)) <= 2 * k + 3
+                    yield a[near], b[near]
                 return
             for i, (at, w) in enumerate(_segments(n, k)):
                 keys = x.hashes(lo, hi, at, w)
-                order = np.argsort(keys)
-                keys = keys[order]
+                order = np.argsort(keys, kind="stable")
+                size = np.bincount(keys, minlength=1 << 16)
+                start, coarse, order = np.cumsum(size) - size, x.coarse[lo:hi].take(order, 0), order + lo
                 for d in range(-min(i, at), i + 1):
-                    s, e = y.slice(max(n - k, n + d - (k - i), at + d + w), min(most, n + d + (k - i)))
+                    s, e = y.slice(max(least, n + d - (k - i), at + d + w), min(most, n + d + (k - i)))
                     if s < e:
-                        for a, b in _matches(keys, y.hashes(s, e, at + d, w)):
-                            yield order[a] + lo, b + s
+                        for a, b in _matches(start, size, y.hashes(s, e, at + d, w)):
+                            near = _apart(coarse.take(a, 0), y.coarse[s:e].take(b, 0)) <= 2 * k + 3
+                            yield order[a[near]], b[near] + s
 
         for a, b in candidates() if from_ < to else ():
-            found.append(keep(a, b))
+            if x is y:
+                fresh = (y.n[b] < n) | (a < b)
+                a, b = a[fresh], b[fresh]
+            near = _apart(x.fine.take(a, 0), y.fine.take(b, 0)) <= 2 * k + 2 + (n - y.n[b]) % 2
+            found.append(a[near] * len(y.n) + b[near])
             held += len(found[-1])
             if held > PAIRS:
                 yield np.divmod(np.unique(np.concatenate(found)), len(y.n))
@@ -344,10 +350,9 @@ def _in_gapped_blocks(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches)
         i, j, own = t.column("i")[0].as_py(), t.column("j")[0].as_py(), t.column("p").to_numpy()
-        blocks = [t.filter(pa.array(own == k)).column("name").combine_chunks() for k in ((i,) if i == j else (i, j))]
-        if any(len(names) == 0 for names in blocks):
-            return
-        made = [_Block(names) for names in blocks]
+        names = [t.filter(pa.array(own == k)).column("name").combine_chunks() for k in ((i,) if i == j else (i, j))]
+        del t, own
+        made = _blocks(*names)
         x, y = made[0], made[-1]
         for one, other, equal in [(x, x, True)] if x is y else [(x, y, True), (y, x, False)]:
             for a, b in _gapped(one, other, equal, threshold):

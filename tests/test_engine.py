@@ -94,9 +94,9 @@ def test_names_of_60_characters_meet_by_segments_with_gaps(spark, monkeypatch):
         planted.append((base, "".join(name)))
     names = sorted({x for p in planted for x in p} | {draw(60) for _ in range(1500)})
     assert sum(map(len, dedup._grams(0.85)(iter([pd.DataFrame({"name": names})])))) == 0  # before, each was compared with each
-    looked, alike = [], dedup._alike
-    monkeypatch.setattr(dedup, "_alike", lambda x, y, a, b, k: looked.append(len(a)) or alike(x, y, a, b, k))
-    halves = [dedup._Block(pa.array(names[k::2])) for k in (0, 1)]
+    looked, apart = [], dedup._apart
+    monkeypatch.setattr(dedup, "_apart", lambda x, y: looked.append(len(x)) or apart(x, y))
+    halves = dedup._blocks(*[pa.array(names[k::2]) for k in (0, 1)])
     met = [(b, b, True) for b in halves] + [(halves[0], halves[1], True), (halves[1], halves[0], False)]
     found = {frozenset((x.names[int(i)].as_py(), y.names[int(j)].as_py())) for x, y, equal in met for a, b in dedup._gapped(x, y, equal, 0.85) for i, j in zip(a, b, strict=True)}
     near = {frozenset(p) for p in planted if p[0] != p[1] and 1.0 - dedup.damerau(*p) / max(map(len, p)) >= 0.85}
