@@ -24,7 +24,7 @@ THRESHOLD = 0.85
 SEGMENT, KEYS = 6, 50_000
 #: Characters of a segment with gaps from which names are told by such segments; names and characters of a block of them,
 #: blocks of fewer names, pairs that are looked at a time, and a step's cost in pairs.
-GAPPED, NAMES, CHARS, FEW, PAIRS, STEP = 3, 50_000, 4_000_000, 8, 200_000, 2_000
+GAPPED, NAMES, CHARS, FEW, PAIRS, STEP = 3, 32_768, 2_500_000, 8, 200_000, 2_000
 #: Classes of characters, a multiple of 16, whose counts in half a name are sketched.
 CLASSES = 32
 #: Columns of a matrix of trigrams; names of a block, those compared with a block at a time, blocks of fewer names, and

@@ -19,6 +19,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000, size: int = 4_000_000) -> None:
+    """Lower the session's Arrow batches, so that a worker's memory doesn't follow the size of pages. Smaller settings
+    of the session's own stay."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(name).removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, most)
+
+
 def written(df: DataFrame, name: str, **options) -> DataFrame:
     """df written as Parquet, with the writer's options, and read back: cuts the lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)

@@ -14,7 +14,7 @@ from tablesmith.functions.html import parse_html
 from tablesmith.functions.text import data_url, format_2dp, normalize_name
 from tablesmith.operators import flow
 from tablesmith.operators.dedup import first_by_key, fuzzy_groups, merge_groups
-from tablesmith.operators.shared import written, written_and_counted
+from tablesmith.operators.shared import small_batches, written, written_and_counted
 from tablesmith.operators.validate import Field, valid_only, validate
 from tablesmith.plans import images, planning
 from tablesmith.plans.catalog import TERMINAL, Catalog, CatalogChange
@@ -29,6 +29,7 @@ SEARCH_MICROS = 5000
 
 def page_rows(pages: DataFrame, fields: list[Field], model=None, most_chars: int | None = 12_000) -> DataFrame:
     """pages (url, html) -> extracted rows with their place in the page. Only a model's texts are cut, not the offline extractor's."""
+    small_batches(pages.sparkSession)
     docs = pages.select("url", parse_html("html").alias("p")).select("url", "p.title", "p.text")
     return providers.extract(docs, model, fields, most_chars) if model else providers.extract(docs, providers.TitleExtractor(), fields, None)
 

@@ -107,6 +107,12 @@ def test_names_of_60_characters_meet_by_segments_with_gaps(spark, monkeypatch):
     assert told == {(r.a, r.b) for r in dedup.similar_pairs(few).collect()} and {frozenset(p) for p in told} >= near & {frozenset(p) for p in planted[:30]}
 
 
+def test_pages_go_to_python_in_small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    engine.page_rows(spark.createDataFrame([("http://a", "<title>a</title>")], "url string, html string"), [Field("name")])
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 2_000  # before, 10,000 pages at once
+
+
 def test_damerau():
     assert [dedup.damerau(*p) for p in (("ca", "abc"), ("", "ab"), ("apple inc", "apple inc."), ("ab", "ba"), ("é", "e"))] == [2, 2, 1, 1, 1]
 
